@@ -38,24 +38,23 @@ def ses_band(score: Column) -> Column:
     return band.otherwise(fixed.LOWEST_BAND)
 
 
-def percent_text(rate: Column) -> Column:
-    """A non-negative rate as text with one decimal, as C's ``%.1f`` rounds it.
+def percent_text(rate: str) -> str:
+    """SQL for a non-negative rate as text with one decimal, as C's ``%.1f`` rounds it.
 
     The double 100 * rate is rounded by its exact value, ties to even. Spark's
     own rounding works on the shortest decimal text of the double instead, and
     so errs where only that text is a tie. 20 * v is held exactly as the
-    unevaluated sum ``twenty + rest``: its floor is even below a half and odd
-    from a half up.
+    unevaluated sum of ``t`` and ``4v - (t - 16v)``: its floor is even below a
+    half and odd from a half up.
     """
-    v = rate.cast("double") * 100
-    twenty = v * 16 + v * 4
-    rest = v * 4 - (twenty - v * 16)
-    whole = F.floor(twenty) - F.when((F.floor(twenty) == twenty) & (rest < 0), 1).otherwise(0)
-    exact_tie = (F.floor(twenty) == twenty) & (rest == 0) & (whole % 2 == 1)
-    down = F.floor(whole / 2)
-    tenths = (
-        F.when(exact_tie, down + down % 2).when(whole % 2 == 1, down + 1).otherwise(down)
-    ).cast("bigint")
-    return F.concat(
-        F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%")
-    )
+    return f"""
+    transform(array(100 * double({rate})), v ->
+      transform(array(v * 16 + v * 4), t ->
+        transform(array(v * 4 - (t - v * 16)), rest ->
+          transform(array(floor(t) - if(floor(t) = t AND rest < 0, 1, 0)), w ->
+            transform(
+              array(w div 2 + CASE WHEN w % 2 = 0 THEN 0
+                                   WHEN floor(t) = t AND rest = 0 THEN (w div 2) % 2
+                                   ELSE 1 END),
+              tenths -> concat(string(tenths div 10), '.', string(tenths % 10), '%')
+            )[0])[0])[0])[0])[0]"""

@@ -7,78 +7,64 @@ number of segments is handled side by side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from caseflow import fixed_values as fixed
 
-# comparison order first: strength downwards, then trigger, then first seen
-_EVIDENCE = (
-    "struct<neg:int, trigger:string, seen:int, source:string, evidence_strength:int, "
-    "insight_index:int, signal_key:string, signal_value:array<string>>"
-)
+_NO_NAMES = "CAST(array() AS array<string>)"
 _SHOWN = (
     "source", "trigger", "evidence_strength", "insight_index", "signal_key", "signal_value",
 )
 
 
-def keyword_strength(text: Column, category: str) -> Column:
-    """Strength with which a sentence supports a category; NULL if it does not."""
-    lowered = F.lower(text)
-    hits = []
-    for rule_category, words, strength in fixed.KEYWORDS:
-        if rule_category == category:
-            found = F.contains(lowered, F.lit(words[0]))
-            for word in words[1:]:
-                found = found & F.contains(lowered, F.lit(word))
-            hits.append(F.when(found, strength))
-    return F.greatest(*hits) if len(hits) > 1 else hits[0]
-
-
-def _evidence(source: str, trigger: Column, strength: Column, seen: Column, **extra: Column) -> Column:
-    return F.struct(
-        (-strength).alias("neg"),
-        trigger.alias("trigger"),
-        seen.alias("seen"),
-        F.lit(source).alias("source"),
-        strength.alias("evidence_strength"),
-        extra.get("insight_index", F.lit(None)).alias("insight_index"),
-        extra.get("signal_key", F.lit(None)).alias("signal_key"),
-        extra.get("signal_value", F.lit(None)).alias("signal_value"),
-    ).cast(_EVIDENCE)
-
-
-def _category_evidence(category: str, sentences: Column, signals: dict[str, Column]) -> Column:
-    def from_sentence(text: Column, index: Column) -> Column:
-        strength = keyword_strength(text, category)
-        return F.when(
-            strength.isNotNull(), _evidence("insight", text, strength, index, insight_index=index)
-        )
-
-    items = F.transform(sentences, from_sentence)
+def keyword_strength(text: str, category: str) -> str:
+    """SQL for the strength with which a sentence supports a category, NULL if not."""
+    hits = [
+        "CASE WHEN "
+        + " AND ".join(f"contains(lower({text}), '{word}')" for word in words)
+        + f" THEN {strength} END"
+        for rule_category, words, strength in fixed.KEYWORDS
+        if rule_category == category
+    ]
+    return f"greatest({', '.join(hits)})" if len(hits) > 1 else hits[0]
+
+
+def _evidence(
+    source: str,
+    trigger: str,
+    strength: str,
+    seen: str,
+    insight_index: str = "NULL",
+    signal_key: str = "NULL",
+    signal_value: str = "NULL",
+) -> str:
+    """Fields in order of comparison: strength downwards, trigger, first seen."""
+    return f"""named_struct(
+      'neg', -({strength}), 'trigger', {trigger}, 'seen', int({seen}), 'source', '{source}',
+      'evidence_strength', {strength}, 'insight_index', int({insight_index}),
+      'signal_key', string({signal_key}), 'signal_value', CAST({signal_value} AS array<string>))"""
+
+
+def _category_evidence(category: str, signals: set[str]) -> str:
+    strength = keyword_strength("text", category)
+    found = f"""transform(_sentences, (text, i) ->
+      CASE WHEN {strength} IS NOT NULL
+           THEN {_evidence("insight", "text", strength, "i", insight_index="i")} END)"""
     for key, supported in fixed.SIGNALS.items():
         if supported == category and key in signals:
-            value = signals[key]
-            signal = F.when(
-                F.size(value) > 0,
-                _evidence(
-                    "signal", F.lit(key), F.lit(fixed.SIGNAL_STRENGTH), F.size(sentences),
-                    signal_key=F.lit(key), signal_value=value,
-                ),
+            given = _evidence(
+                "signal", f"'{key}'", str(fixed.SIGNAL_STRENGTH), "size(_sentences)",
+                signal_key=f"'{key}'", signal_value=f"signals.{key}",
             )
-            items = F.concat(items, F.array(signal))
-    return F.array_sort(F.array_compact(items))
+            found = f"concat({found}, array(CASE WHEN size(signals.{key}) > 0 THEN {given} END))"
+    return f"array_sort(array_compact({found}))"
 
 
-def _action(category: str, entry: tuple[str, int, str], evidence: Column) -> Column:
+def _action(category: str, entry: tuple[str, int, str], evidence: str) -> str:
     identifier, priority, text = entry
-    return F.struct(
-        F.lit(priority).alias("priority"),
-        F.lit(identifier).alias("id"),
-        F.lit(category).alias("category"),
-        F.lit(text).alias("recommendation"),
-        evidence.alias("evidence"),
-    )
+    return f"""named_struct('priority', {priority}, 'id', '{identifier}', 'category', '{category}',
+      'recommendation', '{text}', 'evidence', {evidence})"""
 
 
 def recommend(insights: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,76 +74,57 @@ def recommend(insights: DataFrame, keys: list[str]) -> DataFrame:
     and optionally name lists in ``signals``. Input rows without any match get
     the fallback actions.
     """
-    kind = insights.schema["insights"].dataType.elementType
-    raw = F.col("insights")
-    if kind.typeName() == "struct":
-        raw = F.transform(raw, lambda r: r["text"])
-    signals: dict[str, Column] = {}
+    element = insights.schema["insights"].dataType.elementType
+    texts = "insights.text" if isinstance(element, T.StructType) else "insights"
+    signals: set[str] = set()
     if "signals" in insights.columns:
-        signals = {
-            f.name: F.coalesce(F.col(f"signals.{f.name}"), F.array().cast("array<string>"))
-            for f in insights.schema["signals"].dataType.fields
-        }
-    df = insights.withColumn(
-        "_sentences", F.coalesce(raw, F.array().cast("array<string>"))
-    ).withColumns(
-        {
-            f"_{category}": _category_evidence(category, F.col("_sentences"), signals)
-            for category in fixed.ACTIONS
-        }
-    )
-    matched = F.array_compact(
-        F.array(
-            *[
-                F.when(F.size(f"_{category}") > 0, _action(category, entry, F.col(f"_{category}")))
-                for category, entry in fixed.ACTIONS.items()
-            ]
-        )
+        signals = set(insights.schema["signals"].dataType.fieldNames())
+    carried = [*keys, "signals"] if signals else keys
+
+    matched = ", ".join(
+        f"CASE WHEN size(_{c}) > 0 THEN {_action(c, entry, f'_{c}')} END"
+        for c, entry in fixed.ACTIONS.items()
     )
-    nothing_found = F.array(
-        _evidence(
-            "fallback", F.lit(fixed.FALLBACK_TRIGGER), F.lit(fixed.FALLBACK_STRENGTH), F.lit(0)
-        )
+    unmatched = _evidence(
+        "fallback", f"'{fixed.FALLBACK_TRIGGER}'", str(fixed.FALLBACK_STRENGTH), "0"
     )
-    fallback = F.array(
-        *[_action(c, entry, nothing_found) for c, entry in fixed.FALLBACK_ACTIONS.items()]
+    fallback = ", ".join(
+        _action(c, entry, f"array({unmatched})") for c, entry in fixed.FALLBACK_ACTIONS.items()
     )
-    ranked = (
-        df.withColumn("_matched", matched)
-        .select(
+    shown = "named_struct(" + ", ".join(f"'{n}', e.{n}" for n in _SHOWN) + ")"
+    return (
+        insights.selectExpr(*carried, f"coalesce({texts}, {_NO_NAMES}) AS _sentences")
+        .selectExpr(
             *keys,
-            F.inline(
-                F.array_sort(F.when(F.size("_matched") > 0, F.col("_matched")).otherwise(fallback))
-            ),
+            *[f"{_category_evidence(c, signals)} AS _{c}" for c in fixed.ACTIONS],
         )
-    )
-
-    def shown(e: Column) -> Column:
-        return F.struct(*[e[name].alias(name) for name in _SHOWN])
-
-    return ranked.select(
-        *keys,
-        "id",
-        "category",
-        "priority",
-        "recommendation",
-        F.transform("evidence", shown).alias("evidence"),
-        shown(F.col("evidence")[0]).alias("strongest_evidence"),
+        .selectExpr(*keys, f"array_compact(array({matched})) AS _matched")
+        .selectExpr(
+            *keys,
+            f"inline(array_sort(CASE WHEN size(_matched) > 0 THEN _matched ELSE array({fallback}) END))",
+        )
+        .selectExpr(
+            *keys,
+            "id",
+            "category",
+            "priority",
+            "recommendation",
+            f"transform(evidence, e -> {shown}) AS evidence",
+        )
+        .selectExpr("*", "evidence[0] AS strongest_evidence")
     )
 
 
 def evidence_rows(actions: DataFrame, keys: list[str]) -> DataFrame:
     """One row per piece of evidence, strongest first within its action."""
-    return actions.select(
-        *keys, "id", "category", F.posexplode("evidence").alias("evidence_rank", "_evidence")
+    return actions.selectExpr(
+        *keys, "id", "category", "posexplode(evidence) AS (evidence_rank, _evidence)"
     ).select(*keys, "id", "category", "evidence_rank", "_evidence.*")
 
 
 def evidence_json(actions: DataFrame) -> DataFrame:
     """Evidence as JSON text; fields that do not apply are left out."""
-    return actions.withColumns(
-        {
-            "evidence": F.to_json("evidence"),
-            "strongest_evidence": F.to_json("strongest_evidence"),
-        }
+    texts = {"evidence": "to_json(evidence)", "strongest_evidence": "to_json(strongest_evidence)"}
+    return actions.selectExpr(
+        *[f"{texts[c]} AS {c}" if c in texts else f"`{c}`" for c in actions.columns]
     )

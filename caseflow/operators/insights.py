@@ -1,161 +1,135 @@
 """KPI rows -> insight sentences and signals, one row in, one row out.
 
 A KPI frame may hold one row for the whole table or one per segment. All rules
-are expressions over the row and its bounded lists; nothing is shuffled.
+are SQL expressions over the row and its bounded lists; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from caseflow import fixed_values as fixed
 from caseflow.functions.scores import percent_text
 
-NAMES = "array<string>"
+_NO_NAMES = "CAST(array() AS array<string>)"
 
 
-def _number(df: DataFrame, name: str, default: Column | float = 0.0) -> Column:
-    default = default if isinstance(default, Column) else F.lit(default)
-    if name not in df.columns:
-        return default.cast("double")
-    return F.coalesce(F.col(name).cast("double"), default)
+def _number(df: DataFrame, name: str, default: str = "0.0D") -> str:
+    return f"coalesce(double({name}), {default})" if name in df.columns else f"double({default})"
 
 
-def with_defaults(df: DataFrame) -> DataFrame:
-    """The figures the rules read, under fixed names, with defaults filled in."""
+def _figures(df: DataFrame) -> list[str]:
+    """What the rules read, under fixed names, with defaults filled in."""
     compliance = _number(df, "sla_compliance_rate", _number(df, "sla_rate"))
-    band = F.col("ses_band") if "ses_band" in df.columns else F.lit(None).cast("string")
-    total = F.col("total_requests") if "total_requests" in df.columns else F.lit(0)
-    return df.withColumns(
-        {
-            "_compliance": compliance,
-            "_breach": _number(df, "sla_breach_rate", 1 - compliance),
-            "_backlog": _number(df, "backlog_ratio"),
-            "_avg_days": _number(df, "avg_resolution_time"),
-            "_p90_days": _number(df, "p90_resolution_time"),
-            "_band": F.coalesce(band, F.lit("unknown")),
-            "_total": F.coalesce(total.cast("bigint"), F.lit(0).cast("bigint")),
-        }
-    )
-
-
-def _names(df: DataFrame, column: str, field: str, limit: int) -> Column:
-    if column not in df.columns:
-        return F.array().cast(NAMES)
-    named = F.transform(
-        F.slice(column, 1, limit), lambda r: F.coalesce(r[field], F.lit(fixed.UNKNOWN_LABEL))
-    )
-    return F.coalesce(named, F.array().cast(NAMES))
-
-
-def _slow_boroughs(df: DataFrame) -> Column:
-    """Boroughs of some size that are clearly slower than the whole, slowest first."""
+    band = "ses_band" if "ses_band" in df.columns else "NULL"
+    total = "total_requests" if "total_requests" in df.columns else "NULL"
+    return [
+        f"{compliance} AS _compliance",
+        f"{_number(df, 'sla_breach_rate', f'1 - {compliance}')} AS _breach",
+        f"{_number(df, 'backlog_ratio')} AS _backlog",
+        f"{_number(df, 'avg_resolution_time')} AS _avg_days",
+        f"{_number(df, 'p90_resolution_time')} AS _p90_days",
+        f"coalesce({band}, 'unknown') AS _band",
+        f"coalesce(bigint({total}), 0L) AS _total",
+    ]
+
+
+def _priority_types(df: DataFrame) -> str:
+    if "complaint_type_impact_top" not in df.columns:
+        return _NO_NAMES
+    return f"""coalesce(
+      transform(slice(complaint_type_impact_top, 1, {fixed.PRIORITY_TYPES}),
+                t -> coalesce(t.complaint_type, '{fixed.UNKNOWN_LABEL}')),
+      {_NO_NAMES})"""
+
+
+def _slow_boroughs(df: DataFrame) -> str:
+    """Boroughs of some size that are clearly slower than the whole, slowest first.
+
+    The list position keeps the given order among equal averages.
+    """
     if "borough_stats" not in df.columns:
-        return F.array().cast(NAMES)
-    floor = F.greatest(
-        F.lit(fixed.SLOW_MIN_ROWS), (F.col("_total") * fixed.SLOW_MIN_SHARE).cast("bigint")
-    )
-    slow = F.filter(
-        # the list position keeps the given order among equal averages
-        F.transform(
-            "borough_stats",
-            lambda b, i: F.struct(
-                (-F.coalesce(b["avg_resolution_time"], F.lit(0.0))).alias("order"),
-                i.alias("position"),
-                F.coalesce(b["total_requests"], F.lit(0)).alias("rows"),
-                F.coalesce(b["borough"], F.lit(fixed.UNKNOWN_LABEL)).alias("name"),
-            ),
-        ),
-        lambda b: (b["rows"] >= floor)
-        & (-b["order"] > F.col("_avg_days") * fixed.SLOW_FACTOR)
-        & (F.col("_avg_days") > 0),
-    )
-    slowest = F.slice(F.array_sort(slow), 1, fixed.PRIORITY_BOROUGHS)
-    return F.coalesce(F.transform(slowest, lambda b: b["name"]), F.array().cast(NAMES))
+        return _NO_NAMES
+    return f"""coalesce(
+      transform(
+        slice(
+          array_sort(filter(
+            transform(borough_stats, (b, i) -> named_struct(
+              'order', -coalesce(double(b.avg_resolution_time), 0.0D), 'position', i,
+              'total', coalesce(b.total_requests, 0L),
+              'name', coalesce(b.borough, '{fixed.UNKNOWN_LABEL}'))),
+            b -> _avg_days > 0
+              AND b.total >= greatest({fixed.SLOW_MIN_ROWS}L, bigint(_total * {fixed.SLOW_MIN_SHARE}D))
+              AND -b.order > _avg_days * {fixed.SLOW_FACTOR}D)),
+          1, {fixed.PRIORITY_BOROUGHS}),
+        b -> b.name),
+      {_NO_NAMES})"""
+
+
+# (rule, condition, sentence)
+_RULES = (
+    (
+        "sla_below_target",
+        f"_compliance < {fixed.SLA_TARGET}D",
+        f"concat('Overall SLA compliance is ', {percent_text('_compliance')},"
+        f" ' (breach rate ', {percent_text('_breach')}, '), below a 90% target.')",
+    ),
+    (
+        "backlog_elevated",
+        f"_backlog > {fixed.BACKLOG_LIMIT}D",
+        f"concat('Backlog is elevated at ', {percent_text('_backlog')},"
+        " ' of requests, indicating unresolved workload accumulation.')",
+    ),
+    (
+        "long_tail",
+        f"_avg_days > {fixed.AVG_DAYS_LIMIT} OR _p90_days > {fixed.P90_DAYS_LIMIT}",
+        "'Resolution time distribution is stretched, with long-tail delays affecting user experience.'",
+    ),
+    (
+        "priority_types",
+        "size(_types) > 0",
+        "concat('Highest overall service-impact complaint categories are: ',"
+        " array_join(_types, ', '), '.')",
+    ),
+    (
+        "slow_boroughs",
+        "size(_slow) > 0",
+        "concat('Some boroughs have materially slower resolution performance than the system"
+        " average: ', array_join(_slow, ', '), '.')",
+    ),
+    (
+        "ses_alert",
+        "_band IN (" + ", ".join(f"'{b}'" for b in fixed.ALERT_BANDS) + ")",
+        "concat(\"System efficiency score is in the '\", _band,"
+        " \"' band and requires active operational intervention.\")",
+    ),
+)
+_STABLE = "Current performance indicators look stable with no major system-wide anomalies."
 
 
 def derive_insights(kpis: DataFrame) -> DataFrame:
     """Adds ``insights`` (array of rule and sentence, in rule order) and ``signals``."""
-    df = with_defaults(kpis)
-    df = df.withColumns(
-        {
-            "_types": _names(
-                df, "complaint_type_impact_top", "complaint_type", fixed.PRIORITY_TYPES
-            ),
-            "_slow": _slow_boroughs(df),
-        }
-    )
-
-    def fires(rule: str, condition: Column, *text: Column | str) -> Column:
-        parts = [F.lit(t) if isinstance(t, str) else t for t in text]
-        return F.when(
-            condition, F.struct(F.lit(rule).alias("rule"), F.concat(*parts).alias("text"))
-        )
-
-    rules = F.array_compact(
-        F.array(
-            fires(
-                "sla_below_target", F.col("_compliance") < fixed.SLA_TARGET,
-                "Overall SLA compliance is ", percent_text(F.col("_compliance")),
-                " (breach rate ", percent_text(F.col("_breach")), "), below a 90% target.",
-            ),
-            fires(
-                "backlog_elevated", F.col("_backlog") > fixed.BACKLOG_LIMIT,
-                "Backlog is elevated at ", percent_text(F.col("_backlog")),
-                " of requests, indicating unresolved workload accumulation.",
-            ),
-            fires(
-                "long_tail",
-                (F.col("_avg_days") > fixed.AVG_DAYS_LIMIT)
-                | (F.col("_p90_days") > fixed.P90_DAYS_LIMIT),
-                "Resolution time distribution is stretched, with long-tail delays affecting user experience.",
-            ),
-            fires(
-                "priority_types", F.size("_types") > 0,
-                "Highest overall service-impact complaint categories are: ",
-                F.array_join("_types", ", "), ".",
-            ),
-            fires(
-                "slow_boroughs", F.size("_slow") > 0,
-                "Some boroughs have materially slower resolution performance than the system average: ",
-                F.array_join("_slow", ", "), ".",
-            ),
-            fires(
-                "ses_alert", F.col("_band").isin(*fixed.ALERT_BANDS),
-                "System efficiency score is in the '", F.col("_band"),
-                "' band and requires active operational intervention.",
-            ),
-        )
-    )
-    stable = F.array(
-        F.struct(
-            F.lit("stable").alias("rule"),
-            F.lit(
-                "Current performance indicators look stable with no major system-wide anomalies."
-            ).alias("text"),
-        )
+    fired = ", ".join(
+        f"CASE WHEN {condition} THEN named_struct('rule', '{rule}', 'text', {sentence}) END"
+        for rule, condition, sentence in _RULES
     )
     return (
-        df.withColumn("_fired", rules)
-        .withColumns(
-            {
-                "insights": F.when(F.size("_fired") > 0, F.col("_fired")).otherwise(stable),
-                "signals": F.struct(
-                    F.col("_types").alias("priority_complaint_types"),
-                    F.col("_slow").alias("priority_boroughs"),
-                ),
-            }
+        kpis.selectExpr("*", *_figures(kpis))
+        .selectExpr(
+            "*", f"{_priority_types(kpis)} AS _types", f"{_slow_boroughs(kpis)} AS _slow"
+        )
+        .selectExpr("*", f"array_compact(array({fired})) AS _fired")
+        .selectExpr(
+            *[f"`{c}`" for c in kpis.columns],
+            f"""CASE WHEN size(_fired) > 0 THEN _fired
+                ELSE array(named_struct('rule', 'stable', 'text', '{_STABLE}')) END AS insights""",
+            "named_struct('priority_complaint_types', _types, 'priority_boroughs', _slow) AS signals",
         )
-        .select(*kpis.columns, "insights", "signals")
     )
 
 
 def insight_rows(insights: DataFrame, keys: list[str]) -> DataFrame:
     """One row per sentence, numbered from 0 within its KPI row."""
-    return insights.select(*keys, F.posexplode("insights").alias("insight_index", "_insight")).select(
-        *keys,
-        "insight_index",
-        F.col("_insight.rule").alias("rule"),
-        F.col("_insight.text").alias("insight"),
-    )
+    return insights.selectExpr(
+        *keys, "posexplode(insights) AS (insight_index, _insight)"
+    ).selectExpr(*keys, "insight_index", "_insight.rule AS rule", "_insight.text AS insight")

@@ -87,20 +87,20 @@ def measures(
 ) -> DataFrame:
     """Row-level KPI inputs; open means no parsed close time, whatever the status."""
     df = backfill(df, formats)
-    closed = F.col("closed_ts").isNotNull()
     created_day = F.to_date("created_ts")
+    age = times.age_in_days(created_day, as_of)
+    is_open = F.col("closed_ts").isNull()
     return df.withColumns(
         {
             DAYS: scores.non_negative(F.col(DAYS)),
             "sla_breach_int": F.col("sla_breach").cast("int"),
-            "is_open": (~closed).cast("int"),
-            "is_closed": closed.cast("int"),
+            "is_open": is_open.cast("int"),
+            "is_closed": (~is_open).cast("int"),
             "created_day": created_day,
-            "age_days": times.age_in_days(created_day, as_of),
+            "age_days": age,
+            "age_bucket": F.when(is_open, times.age_bucket(age)),
             **{name: scores.labelled(F.col(name)) for name in SEGMENTS if name in df.columns},
         }
-    ).withColumn(
-        "age_bucket", F.when(F.col("is_open") == 1, times.age_bucket(F.col("age_days")))
     )
 
 
@@ -108,83 +108,75 @@ def measures(
 
 
 def _tally_rows() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("total_requests"),
-        F.sum("is_open").alias("open_requests"),
-        F.sum("is_closed").alias("closed_requests"),
-        F.sum(DAYS).alias("days_sum"),
-        F.count(DAYS).alias("days_known"),
-        F.sum("sla_breach_int").alias("sla_breach_count"),
-        F.count("sla_breach_int").alias("sla_observed_count"),
-        F.sum(F.when(F.col("is_open") == 1, F.col("age_days"))).alias("open_age_sum"),
-        F.count(F.when(F.col("is_open") == 1, F.col("age_days"))).alias("open_age_known"),
-    ]
+    sources = (
+        "count(*)",
+        "sum(is_open)",
+        "sum(is_closed)",
+        f"sum({DAYS})",
+        f"count({DAYS})",
+        "sum(sla_breach_int)",
+        "count(sla_breach_int)",
+        "sum(if(is_open = 1, age_days, NULL))",
+        "count(if(is_open = 1, age_days, NULL))",
+    )
+    return [F.expr(f"{source} AS {name}") for source, name in zip(sources, TALLIES, strict=True)]
 
 
 def _add_tallies() -> list[Column]:
-    return [F.sum(name).alias(name) for name in TALLIES]
+    return [F.expr(f"sum({name}) AS {name}") for name in TALLIES]
 
 
 def _quantiles(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells per (keys, days) -> one row per keys with exact p50 and p90."""
-    span = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(DAYS)
-    whole = span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    running = cells.withColumns(
-        {
-            "_reached": F.sum("days_known").over(span),
-            "_known": F.sum("days_known").over(whole),
-        }
+    key = f"PARTITION BY {', '.join(keys) or '1'} ORDER BY {DAYS}"
+    running = cells.selectExpr(
+        "*",
+        f"sum(days_known) OVER ({key}) AS _reached",
+        f"sum(days_known) OVER ({key} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        " AS _known",
     )
-
-    def first_day_at(share: float) -> Column:
-        return F.min(F.when(F.col("_reached") >= share * F.col("_known"), F.col(DAYS)))
-
     return running.groupBy(*keys).agg(
         *_add_tallies(),
-        first_day_at(0.5).alias("median_resolution_time"),
-        first_day_at(0.9).alias("p90_resolution_time"),
+        F.expr(f"min(if(_reached >= 0.5D * _known, {DAYS}, NULL)) AS median_resolution_time"),
+        F.expr(f"min(if(_reached >= 0.9D * _known, {DAYS}, NULL)) AS p90_resolution_time"),
     )
 
 
-def _rates(df: DataFrame) -> DataFrame:
+def _kpi_columns(df: DataFrame) -> DataFrame:
     """Tallies -> reported figures; what is unknown is reported as 0."""
-    total = F.col("total_requests")
-    quantiles = [c for c in ("median_resolution_time", "p90_resolution_time") if c in df.columns]
-    counts = ("open_requests", "closed_requests", "sla_breach_count", "sla_observed_count")
-    return (
-        df.withColumns(
-            {
-                **{c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts},
-                **{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in quantiles},
-                "avg_resolution_time": scores.ratio(F.col("days_sum"), F.col("days_known")),
-                "avg_age_days": scores.ratio(F.col("open_age_sum"), F.col("open_age_known")),
-                "sla_breach_rate": scores.ratio(
-                    F.col("sla_breach_count"), F.col("sla_observed_count")
-                ),
-            }
-        )
-        .withColumns(
-            {
-                "open_rate": scores.ratio(F.col("open_requests"), total),
-                "closed_rate": scores.ratio(F.col("closed_requests"), total),
-                "sla_compliance_rate": 1 - F.col("sla_breach_rate"),
-            }
-        )
-        .drop("days_sum", "days_known", "open_age_sum", "open_age_known")
+    keys = [c for c in df.columns if c not in TALLIES and c not in _QUANTILES]
+    quantiles = [c for c in _QUANTILES if c in df.columns]
+    return df.selectExpr(
+        *keys,
+        "total_requests",
+        *[f"coalesce({c}, 0L) AS {c}" for c in TALLIES if c.endswith(("_requests", "_count"))
+          and c != "total_requests"],
+        *[f"coalesce(double({c}), 0.0D) AS {c}" for c in quantiles],
+        "coalesce(try_divide(days_sum, days_known), 0.0D) AS avg_resolution_time",
+        "coalesce(try_divide(open_age_sum, open_age_known), 0.0D) AS avg_age_days",
+        "coalesce(try_divide(sla_breach_count, sla_observed_count), 0.0D) AS sla_breach_rate",
+        "1 - coalesce(try_divide(sla_breach_count, sla_observed_count), 0.0D)"
+        " AS sla_compliance_rate",
+        "coalesce(try_divide(open_requests, total_requests), 0.0D) AS open_rate",
+        "coalesce(try_divide(closed_requests, total_requests), 0.0D) AS closed_rate",
     )
 
 
+_QUANTILES = ("median_resolution_time", "p90_resolution_time")
+
+
 def with_ses(df: DataFrame) -> DataFrame:
     """Efficiency score and band; the open rate is the backlog."""
-    return (
-        df.withColumns({"backlog_ratio": F.col("open_rate"), "sla_rate": F.col("sla_compliance_rate")})
-        .withColumn(
-            "ses_score",
-            scores.ses_score(
-                F.col("backlog_ratio"), F.col("sla_compliance_rate"), F.col("avg_resolution_time")
-            ),
-        )
-        .withColumn("ses_band", scores.ses_band(F.col("ses_score")))
+    score = scores.ses_score(
+        F.col("open_rate"), F.col("sla_compliance_rate"), F.col("avg_resolution_time")
+    )
+    return df.withColumns(
+        {
+            "backlog_ratio": F.col("open_rate"),
+            "sla_rate": F.col("sla_compliance_rate"),
+            "ses_score": score,
+            "ses_band": scores.ses_band(score),
+        }
     )
 
 
@@ -215,7 +207,7 @@ def segment_kpis(
         tallied = rows.groupBy(*keys).agg(*_tally_rows())
     else:
         raise ValueError(f"quantiles must be 'exact', 'approx' or None, not {quantiles!r}")
-    return _rates(tallied)
+    return _kpi_columns(tallied)
 
 
 # --- reports -------------------------------------------------------------------
@@ -264,14 +256,12 @@ def daily_trend(rows: DataFrame, points: int = fixed.TREND_POINTS) -> DataFrame:
     )
 
 
-def _with_impact(df: DataFrame, grand_total: Column) -> DataFrame:
-    return df.withColumn(
-        "volume_share", scores.ratio(F.col("total_requests"), grand_total)
-    ).withColumn(
-        "impact_score",
-        F.col("volume_share")
-        * F.col("sla_breach_rate")
-        * F.greatest(F.col("avg_resolution_time"), F.lit(0.0)),
+def _with_impact(df: DataFrame) -> DataFrame:
+    """Share of all rows, and impact; ``df`` is a bounded report with an ``all`` row."""
+    share = "coalesce(try_divide(total_requests, max(if(scope = 'all', total_requests, NULL)) OVER (PARTITION BY 1)), 0.0D)"
+    return df.selectExpr("*", f"{share} AS volume_share").selectExpr(
+        "*",
+        "volume_share * sla_breach_rate * greatest(avg_resolution_time, 0.0D) AS impact_score",
     )
 
 
@@ -283,20 +273,14 @@ def top_types(rows: DataFrame, top_n: int = fixed.TOP_N) -> DataFrame:
     """
     if "complaint_type" not in rows.columns:
         rows = rows.withColumn("complaint_type", F.lit(None).cast("string")).filter(F.lit(False))
-    scoped = _rates(_scoped(rows, ("all", "complaint_type")))
+    scoped = _kpi_columns(_scoped(rows, ("all", "complaint_type")))
     leading = scoped.orderBy(
         F.when(F.col("scope") == "all", 0).otherwise(1),
         F.desc("total_requests"),
         "complaint_type",
     ).limit(top_n + 1)
-    # at most top_n + 1 rows
-    total = F.max(F.when(F.col("scope") == "all", F.col("total_requests"))).over(
-        Window.partitionBy(F.lit(1))
-    )
-    shared = _with_impact(leading.withColumn("_total", total), F.col("_total"))
-    return _top(
-        shared.filter(F.col("scope") == "complaint_type"), ["complaint_type"], top_n
-    ).select(*TYPE_COLUMNS)
+    types = _with_impact(leading).filter(F.col("scope") == "complaint_type")
+    return _top(types, ["complaint_type"], top_n).select(*TYPE_COLUMNS)
 
 
 def type_impact(types: DataFrame, limit: int = fixed.IMPACT_LIMIT) -> DataFrame:
@@ -385,24 +369,22 @@ def _scoped(rows: DataFrame, scopes: Sequence[str]) -> DataFrame:
         *_tally_rows(), *[F.grouping(m).alias(f"_rolled_{m}") for m in markers]
     )
 
-    def member(scope: str) -> Column:
+    def member(scope: str) -> str:
         keys = [
-            (F.col(k) if k in SCOPE_KEYS[scope] else F.lit(None)).cast(kind).alias(k)
+            f"'{k}', CAST({k if k in SCOPE_KEYS[scope] else 'NULL'} AS {kind})"
             for k, kind in KEY_TYPES.items()
         ]
-        return F.struct(F.lit(scope).alias("scope"), *keys)
+        return f"named_struct('scope', '{scope}', {', '.join(keys)})"
 
-    memberships = F.coalesce(
-        *[
-            F.when(F.col(f"_rolled_{marker}") == 0, F.array(*[member(s) for s in wanted]))
-            for (wanted, _), marker in zip(grains, markers)
-        ]
+    memberships = " ".join(
+        f"WHEN _rolled_{marker} = 0 THEN array({', '.join(member(s) for s in wanted)})"
+        for (wanted, _), marker in zip(grains, markers)
     )
-    days = F.col(DAYS) if DAYS in columns else F.lit(None).cast("int").alias(DAYS)
-    spread = cells.select(*TALLIES, days, F.inline(memberships)).filter(
+    days = DAYS if DAYS in columns else f"CAST(NULL AS int) AS {DAYS}"
+    spread = cells.selectExpr(*TALLIES, days, f"inline(CASE {memberships} END)").filter(
         # undated rows are on no day, and closed rows have no age
-        ((F.col("scope") != "created_day") | F.col("created_day").isNotNull())
-        & ((F.col("scope") != "age_bucket") | F.col("age_bucket").isNotNull())
+        "(scope <> 'created_day' OR created_day IS NOT NULL)"
+        " AND (scope <> 'age_bucket' OR age_bucket IS NOT NULL)"
     )
     keys = ["scope", *KEY_TYPES]
     return _quantiles(spread.groupBy(*keys, DAYS).agg(*_add_tallies()), keys)
@@ -422,27 +404,32 @@ def kpi_cube(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Days rank by date, age buckets from young to old, all others by volume.
     """
-    scopes = available_scopes(rows)
-    scoped = with_ses(_rates(_scoped(rows, scopes)))
     limit_of = {
         "all": 1,
         "created_day": limits.trend_points,
         "agency_complaint_type": limits.agency_category,
         "age_bucket": len(fixed.AGE_BUCKETS) + 2,
     }
-    allowed = F.lit(limits.top_n)
-    for scope, limit in limit_of.items():
-        allowed = F.when(F.col("scope") == scope, limit).otherwise(allowed)
-    first = (
-        F.when(F.col("scope") == "created_day", -F.unix_date("created_day"))
-        .when(F.col("scope") == "age_bucket", times.age_bucket_rank(F.col("age_bucket")))
-        .otherwise(-F.col("total_requests"))
+    allowed = " ".join(f"WHEN '{scope}' THEN {limit}" for scope, limit in limit_of.items())
+    with_quantiles = ", ".join(f"'{scope}'" for scope in _GRAINS[0][0])
+    scoped = with_ses(_kpi_columns(_scoped(rows, available_scopes(rows))))
+    ranked = scoped.withColumns(
+        {
+            # known only where the scope's cells keep the day counts
+            **{c: F.expr(f"if(scope IN ({with_quantiles}), {c}, NULL)") for c in _QUANTILES},
+            "_first": F.when(F.col("scope") == "created_day", -F.unix_date("created_day"))
+            .when(F.col("scope") == "age_bucket", times.age_bucket_rank(F.col("age_bucket")))
+            .otherwise(-F.col("total_requests")),
+        }
+    ).selectExpr(
+        "* EXCEPT (_first)",
+        "row_number() OVER (PARTITION BY scope"
+        " ORDER BY _first, agency, complaint_type, borough, status) AS report_rank",
     )
-    order = Window.partitionBy("scope").orderBy(first, "agency", "complaint_type", "borough", "status")
     # the plain bound lets Spark cut each report on the map side already
     largest = max(limits.top_n, *limit_of.values())
-    return (
-        scoped.withColumn("report_rank", F.row_number().over(order)).filter((F.col("report_rank") <= largest) & (F.col("report_rank") <= allowed))
+    return ranked.filter(
+        f"report_rank <= {largest} AND report_rank <= CASE scope {allowed} ELSE {limits.top_n} END"
     )
 
 
@@ -458,74 +445,54 @@ _PACK_LISTS = {
 }
 
 
+def _fields(columns: Sequence[str], row: str = "", **renamed: str) -> str:
+    return ", ".join(f"'{renamed.get(c, c)}', {row}{c}" for c in columns)
+
+
 def kpi_pack(cube: DataFrame) -> DataFrame:
     """One row with the whole-table figures and every report as a list.
 
     Works on the bounded cube only (at most some hundred rows), so the single
     group that collects the lists does not grow with the data.
     """
-    total = F.max(F.when(F.col("scope") == "all", F.col("total_requests"))).over(
-        Window.partitionBy(F.lit(1))
-    )
-    rows = _with_impact(cube.withColumn("_total", total), F.col("_total"))
     # the trend lists its days upwards
-    rows = rows.withColumn(
-        "_place",
-        F.when(F.col("scope") == "created_day", -F.col("report_rank")).otherwise(
-            F.col("report_rank")
-        ),
-    ).withColumns({"open_count": F.col("open_requests")})
-
-    def listed(scope: str, columns: Sequence[str]) -> Column:
-        item = F.struct("_place", *columns)
-        return F.sort_array(F.collect_list(F.when(F.col("scope") == scope, item)))
-
-    def without_place(name: str, columns: Sequence[str]) -> Column:
-        renamed = {"total_requests": "volume"} if name == "time_trends" else {}
-        return F.transform(
-            name, lambda r: F.struct(*[r[c].alias(renamed.get(c, c)) for c in columns])
-        ).alias(name)
-
-    scalars = [F.max(F.when(F.col("scope") == "all", F.col(c))).alias(c) for c in SUMMARY_COLUMNS]
-    packed = rows.groupBy().agg(
-        *scalars, *[listed(scope, cols).alias(name) for name, (scope, cols) in _PACK_LISTS.items()]
-    )
-    packed = packed.select(
-        *SUMMARY_COLUMNS, *[without_place(n, cols) for n, (_, cols) in _PACK_LISTS.items()]
+    rows = _with_impact(cube).selectExpr(
+        "*",
+        "if(scope = 'created_day', -report_rank, report_rank) AS _place",
+        "open_requests AS open_count",
     )
-    by_impact = F.array_sort(
-        F.transform(
-            "top_complaint_types",
-            lambda t, i: F.struct((-t["impact_score"]).alias("o"), i.alias("i"), t.alias("t")),
-        )
-    )
-
-    def group(**fields: str) -> Column:
-        return F.struct(*[F.col(c).alias(name) for name, c in fields.items()])
+    lists = [
+        f"sort_array(collect_list(if(scope = '{scope}',"
+        f" named_struct('_place', _place, {_fields(columns)}), NULL))) AS {name}"
+        for name, (scope, columns) in _PACK_LISTS.items()
+    ]
+    whole = [f"max(if(scope = 'all', {c}, NULL)) AS {c}" for c in SUMMARY_COLUMNS]
+    packed = rows.groupBy().agg(*[F.expr(e) for e in (*whole, *lists)])
 
-    return packed.withColumns(
-        {
-            "volume": group(
-                total_requests="total_requests",
-                open_requests="open_requests",
-                closed_requests="closed_requests",
-                open_rate="open_rate",
-                closed_rate="closed_rate",
-            ),
-            "resolution": group(
-                avg_resolution_time="avg_resolution_time",
-                median_resolution_time="median_resolution_time",
-                p90_resolution_time="p90_resolution_time",
-            ),
-            "sla": group(
-                breach_count="sla_breach_count",
-                breach_rate="sla_breach_rate",
-                compliance_rate="sla_compliance_rate",
-                observed_count="sla_observed_count",
-            ),
-            "borough_stats": F.col("borough_performance"),
-            "complaint_type_impact_top": F.slice(
-                F.transform(by_impact, lambda e: e["t"]), 1, fixed.IMPACT_LIMIT
-            ),
-        }
+    shown = []
+    for name, (_, columns) in _PACK_LISTS.items():
+        renamed = {"total_requests": "volume"} if name == "time_trends" else {}
+        shown.append(
+            f"transform({name}, r -> named_struct({_fields(columns, 'r.', **renamed)})) AS {name}"
+        )
+    volume = ("total_requests", "open_requests", "closed_requests", "open_rate", "closed_rate")
+    resolution = ("avg_resolution_time", "median_resolution_time", "p90_resolution_time")
+    sla = {
+        "sla_breach_count": "breach_count",
+        "sla_breach_rate": "breach_rate",
+        "sla_compliance_rate": "compliance_rate",
+        "sla_observed_count": "observed_count",
+    }
+    return packed.selectExpr(*SUMMARY_COLUMNS, *shown).selectExpr(
+        "*",
+        f"named_struct({_fields(volume)}) AS volume",
+        f"named_struct({_fields(resolution)}) AS resolution",
+        f"named_struct({_fields(tuple(sla), **sla)}) AS sla",
+        "borough_performance AS borough_stats",
+        # equal impacts keep their order by volume
+        f"""slice(
+          transform(
+            array_sort(transform(top_complaint_types, (t, i) -> struct(-t.impact_score, i, t))),
+            e -> e.t),
+          1, {fixed.IMPACT_LIMIT}) AS complaint_type_impact_top""",
     )

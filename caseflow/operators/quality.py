@@ -8,19 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import fixed_values as fixed
-from caseflow.functions.scores import percent_text, ratio
+from caseflow.functions.scores import percent_text
 from caseflow.functions.times import parse_timestamp
 from caseflow.operators.schema import alias_map, alias_warnings, missing_fields
 
 
+_NO_NAMES = "CAST(array() AS array<string>)"
+
+
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace('"', '\\"')
+    return f'"{escaped}"'
+
+
 def _field_stats(df: DataFrame, formats: Sequence[str]) -> DataFrame:
     """One row: row count and an array with the figures of each required field.
 
-    The figures stay 0 if the table is empty or a required field is missing.
+    The figures stay 0 and unflagged if the table is empty or lacks a field.
     """
     missing = missing_fields(df)
     counts = [F.count(F.lit(1)).alias("row_count")]
@@ -32,31 +40,27 @@ def _field_stats(df: DataFrame, formats: Sequence[str]) -> DataFrame:
             ).alias(f"bad_{f}")
             for f in fixed.DATE_FIELDS
         ]
-
-    def figure(kind: str, field: str) -> Column:
-        known = not missing and (kind == "null" or field in fixed.DATE_FIELDS)
-        return F.col(f"{kind}_{field}") if known else F.lit(0).cast("bigint")
-
-    rows = F.col("row_count")
-    stats = [
-        F.struct(
-            F.lit(position).alias("position"),
-            F.lit(field).alias("field"),
-            F.lit(field not in missing).alias("present"),
-            figure("null", field).alias("null_count"),
-            ratio(figure("null", field), rows).alias("null_rate"),
-            figure("bad", field).alias("malformed_count"),
-            # nothing is flagged unless there are rows and all fields
-            (F.lit(not missing) & (rows > 0) & (figure("null", field) == rows)).alias("all_null"),
-            (
-                F.lit(not missing)
-                & (figure("null", field) < rows)
-                & (ratio(figure("null", field), rows) >= fixed.HIGH_NULL_RATE)
-            ).alias("high_null"),
+    checked = str(not missing).lower()
+    counted = []
+    for position, field in enumerate(fixed.REQUIRED_FIELDS):
+        nulls = "0L" if missing else f"null_{field}"
+        malformed = f"bad_{field}" if not missing and field in fixed.DATE_FIELDS else "0L"
+        counted.append(
+            f"named_struct('position', {position}, 'field', '{field}',"
+            f" 'present', {str(field not in missing).lower()},"
+            f" 'null_count', {nulls}, 'malformed_count', {malformed})"
         )
-        for position, field in enumerate(fixed.REQUIRED_FIELDS)
-    ]
-    return df.agg(*counts).select("row_count", F.array(*stats).alias("fields"))
+    return df.agg(*counts).selectExpr(
+        "row_count",
+        f"""transform(array({", ".join(counted)}), f -> named_struct(
+          'position', f.position, 'field', f.field, 'present', f.present,
+          'null_count', f.null_count,
+          'null_rate', coalesce(try_divide(f.null_count, row_count), 0.0D),
+          'malformed_count', f.malformed_count,
+          'all_null', {checked} AND row_count > 0 AND f.null_count = row_count,
+          'high_null', {checked} AND row_count > 0 AND f.null_count < row_count
+                       AND f.null_count / row_count >= {fixed.HIGH_NULL_RATE}D)) AS fields""",
+    )
 
 
 def field_quality(
@@ -79,74 +83,46 @@ def verdict(
     missing = missing_fields(df)
     renames = renames or {}
 
-    def texts(*messages: Column) -> Column:
-        return F.array_compact(F.array(*messages))
-
-    table_errors = texts(
-        F.when(F.col("row_count") == 0, F.lit("Input dataset is empty.")),
-        F.lit("Missing required fields: " + ", ".join(missing) if missing else None).cast("string"),
-    )
-
-    def each_field(message) -> Column:
-        return F.array_compact(F.transform("fields", message))
-
-    all_null = each_field(
-        lambda f: F.when(
-            f["all_null"], F.concat(F.lit("All records have null "), f["field"], F.lit("."))
-        )
-    )
-    malformed = each_field(
-        lambda f: F.when(
-            f["malformed_count"] > 0,
-            F.concat(
-                F.lit("Field '"), f["field"], F.lit("' contains "),
-                f["malformed_count"].cast("string"), F.lit(" malformed timestamp value(s)."),
-            ),
-        )
-    )
-    high_null = each_field(
-        lambda f: F.when(
-            f["high_null"],
-            F.concat(
-                F.lit("High null rate detected in '"), f["field"], F.lit("' ("),
-                percent_text(f["null_rate"]), F.lit(")."),
-            ),
+    def names(items: Sequence[str]) -> str:
+        return "array(" + ", ".join(_quoted(i) for i in items) + ")" if items else _NO_NAMES
+
+    absent = ["Missing required fields: " + ", ".join(missing)] if missing else []
+    is_date = "f.field IN (" + ", ".join(_quoted(d) for d in fixed.DATE_FIELDS) + ")"
+    return (
+        _field_stats(df, formats)
+        .selectExpr(
+            "row_count",
+            "fields",
+            f"""array_compact(concat(
+              array(CASE WHEN row_count = 0 THEN 'Input dataset is empty.' END),
+              {names(absent)},
+              transform(fields, f -> CASE WHEN f.all_null
+                THEN concat('All records have null ', f.field, '.') END),
+              transform(fields, f -> CASE WHEN f.malformed_count > 0
+                THEN concat("Field '", f.field, "' contains ", string(f.malformed_count),
+                            ' malformed timestamp value(s).') END))) AS errors""",
+            f"""array_compact(concat(
+              {names(alias_warnings(renames))},
+              transform(fields, f -> CASE WHEN f.high_null
+                THEN concat("High null rate detected in '", f.field, "' (",
+                            {percent_text("f.null_rate")}, ').') END))) AS warnings""",
         )
-    )
-    accepted = [F.lit(text) for text in alias_warnings(renames)]
-    warnings = F.concat(F.array(*accepted), high_null) if accepted else high_null
-
-    def names(items: Sequence[str]) -> Column:
-        return F.array(*[F.lit(i) for i in items]).cast("array<string>")
-
-    def per_field(value: str) -> Column:
-        return F.map_from_arrays(
-            F.transform("fields", lambda f: f["field"]), F.transform("fields", lambda f: f[value])
+        .selectExpr(
+            "size(errors) = 0 AS is_valid",
+            "row_count",
+            "errors",
+            "warnings",
+            f"{names(fixed.REQUIRED_FIELDS)} AS required_fields",
+            f"{names(df.columns)} AS available_fields",
+            f"{names(missing)} AS missing_fields",
+            f"map_from_arrays({names(list(renames))}, {names(list(renames.values()))})"
+            " AS alias_resolution",
+            "map_from_arrays(fields.field, fields.null_count) AS null_counts",
+            "map_from_arrays(fields.field, fields.null_rate) AS null_rates",
+            f"""map_from_entries(transform(filter(fields, f -> {is_date}),
+              f -> struct(f.field, f.malformed_count))) AS malformed_date_counts""",
+            "transform(filter(fields, f -> f.high_null), f -> f.field) AS high_null_fields",
         )
-
-    dates_only = F.filter("fields", lambda f: f["field"].isin(*fixed.DATE_FIELDS))
-    return _field_stats(df, formats).withColumns(
-        {"errors": F.concat(table_errors, all_null, malformed), "warnings": warnings}
-    ).select(
-        (F.size("errors") == 0).alias("is_valid"),
-        "row_count",
-        "errors",
-        "warnings",
-        names(fixed.REQUIRED_FIELDS).alias("required_fields"),
-        names(df.columns).alias("available_fields"),
-        names(missing).alias("missing_fields"),
-        F.map_from_arrays(names(list(renames)), names(list(renames.values()))).alias(
-            "alias_resolution"
-        ),
-        per_field("null_count").alias("null_counts"),
-        per_field("null_rate").alias("null_rates"),
-        F.map_from_arrays(
-            F.transform(dates_only, lambda f: f["field"]),
-            F.transform(dates_only, lambda f: f["malformed_count"]),
-        ).alias("malformed_date_counts"),
-        F.transform(F.filter("fields", lambda f: f["high_null"]), lambda f: f["field"]).alias(
-            "high_null_fields"
-        ),
     )
 
 

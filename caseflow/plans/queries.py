@@ -70,9 +70,7 @@ def _clean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value"
-    )
+    return views.table(spark, sf_dir, "events")
 
 
 def window_scan(spark, sf_dir):

@@ -17,32 +17,40 @@ SEGMENTS = ("agency", "complaint_type", "borough", "status")
 ALL_FIELDS = ("unique_key", "created", "due", "closed", *SEGMENTS)
 
 
+# the columns in use; a stated schema saves reading file footers to plan a query
+_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_brand string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _tickets(spark: SparkSession, sf_dir: str, segments: Sequence[str]) -> DataFrame:
     """Line items with the attributes that the wanted segments come from."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
-    )
+    orders = table(spark, sf_dir, "orders")
     if {"agency", "borough"} & set(segments):
-        customer = table(spark, sf_dir, "customer").select(
-            "c_custkey", "c_mktsegment", "c_nationkey"
-        )
+        customer = table(spark, sf_dir, "customer")
         if "borough" in segments:
-            nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-            region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-            area = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+            area = table(spark, sf_dir, "nation").join(
+                table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
+            )
             customer = customer.join(area, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-    tickets = (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_shipdate")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    tickets = table(spark, sf_dir, "lineitem").join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey"), "left"
     )
     if "complaint_type" in segments:
-        part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+        part = table(spark, sf_dir, "part")
         tickets = tickets.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     return tickets
 
