@@ -148,9 +148,7 @@ def _kpi_columns(df: DataFrame) -> DataFrame:
     quantiles = [c for c in _QUANTILES if c in df.columns]
     return df.selectExpr(
         *keys,
-        "total_requests",
-        *[f"coalesce({c}, 0L) AS {c}" for c in TALLIES if c.endswith(("_requests", "_count"))
-          and c != "total_requests"],
+        *[f"coalesce({c}, 0L) AS {c}" for c in TALLIES if c.endswith(("_requests", "_count"))],
         *[f"coalesce(double({c}), 0.0D) AS {c}" for c in quantiles],
         "coalesce(try_divide(days_sum, days_known), 0.0D) AS avg_resolution_time",
         "coalesce(try_divide(open_age_sum, open_age_known), 0.0D) AS avg_age_days",
@@ -445,6 +443,15 @@ _PACK_LISTS = {
 }
 
 
+# summary of a table without rows, as far as it is not 0
+_NO_ROWS = {
+    "sla_compliance_rate": "1.0D",
+    "sla_rate": "1.0D",
+    "ses_score": f"{fixed.SES_BACKLOG_WEIGHT}D + {fixed.SES_COMPLIANCE_WEIGHT}D + {fixed.SES_SPEED_WEIGHT}D",
+    "ses_band": f"'{fixed.SES_BANDS[0][1]}'",
+}
+
+
 def _fields(columns: Sequence[str], row: str = "", **renamed: str) -> str:
     return ", ".join(f"'{renamed.get(c, c)}', {row}{c}" for c in columns)
 
@@ -466,7 +473,10 @@ def kpi_pack(cube: DataFrame) -> DataFrame:
         f" named_struct('_place', _place, {_fields(columns)}), NULL))) AS {name}"
         for name, (scope, columns) in _PACK_LISTS.items()
     ]
-    whole = [f"max(if(scope = 'all', {c}, NULL)) AS {c}" for c in SUMMARY_COLUMNS]
+    whole = [
+        f"coalesce(max(if(scope = 'all', {c}, NULL)), {_NO_ROWS.get(c, '0')}) AS {c}"
+        for c in SUMMARY_COLUMNS
+    ]
     packed = rows.groupBy().agg(*[F.expr(e) for e in (*whole, *lists)])
 
     shown = []

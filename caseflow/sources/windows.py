@@ -132,10 +132,11 @@ def window_scan_or_latest(
     """``window_scan``, or the latest rows of the table if the window is empty.
 
     One lazy plan: whether the window holds a row is a scalar subquery, which
-    reads one column under the pushed-down window filter.
+    reads one column under the pushed-down window filter and stops at the first
+    row of each split.
     """
     inside = in_window(df, column, start, end)
-    any_inside = df.filter(inside).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
+    any_inside = df.filter(inside).limit(1).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     micros = _micros(df, column)
     marked = df.filter(inside | ~any_inside).withColumn(
         "_order", F.when(any_inside, micros).otherwise(-micros)

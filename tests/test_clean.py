@@ -1,0 +1,47 @@
+from __future__ import annotations
+
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from caseflow.operators import clean
+from tests.records import SCHEMA, jan
+
+
+def _row(key, created, agency="DOB"):
+    return (key, created, jan(5), None, agency, "Heat", "QUEENS")
+
+
+def test_undated_rows_go_and_null_keys_collapse(spark):
+    rows = [_row("1", None), _row(None, jan(1)), _row(None, jan(2)), _row("2", jan(3))]
+    kept = clean.clean(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["unique_key"] or "", r["created_date"]) for r in kept) == [("", jan(1)), ("2", jan(3))]
+
+
+def test_which_row_is_kept_does_not_depend_on_the_split(spark):
+    rows = [_row("1", jan(d), agency) for d in (3, 1, 2) for agency in ("B", None, "A")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for parts in (1, 3, 7):
+        kept = clean.clean(df.repartition(parts)).collect()
+        assert [(r["created_date"], r["agency"]) for r in kept] == [(jan(1), "A")]
+
+
+def test_hot_key(spark):
+    """A third of all rows share one key; each map task sends one of them on."""
+    n = 30_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 997).cast("string")).alias("unique_key"),
+        F.format_string("2026-01-%02dT00:00:00", 1 + F.col("id") % 28).alias("created_date"),
+        F.col("id").cast("string").alias("agency"),
+    ).repartition(6)
+    wanted = {}
+    for i in range(n):
+        key = "hot" if i % 3 == 0 else str(i % 997)
+        row = (f"2026-01-{1 + i % 28:02d}T00:00:00", str(i))
+        wanted[key] = min(wanted.get(key, row), row)
+    kept = clean.clean(df)
+    got = [(r["unique_key"], (r["created_date"], r["agency"])) for r in kept.collect()]
+    assert Counter(k for k, _ in got).most_common(1)[0][1] == 1
+    assert dict(got) == wanted
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 1, Partial" in plan

@@ -1,0 +1,54 @@
+"""All registered queries against SQL, and the shape of their plans."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as entry
+from tests.compare import connect, differences
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return connect(SF)
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_matches_sql(spark, connection, name):
+    assert differences(spark, connection, name, SF) is None
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) == set(entry.queries()) - {"median_approx"}
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"raw_snapshot", "processed_snapshot"}))
+def test_plan_has_no_cross_join_and_no_python(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas", "InArrow"):
+        assert operator not in plan
+
+
+def test_dedup_limits_before_the_shuffle(spark):
+    plan = entry.queries()["clean_dedup"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 1, Partial" in plan
+
+
+def test_window_reaches_the_scan(spark):
+    plan = entry.queries()["window_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_only_needed_columns_and_tables_are_read(spark):
+    plan = entry.queries()["kpi_top_agencies"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "part.parquet" not in plan and "region.parquet" not in plan
+    assert "l_suppkey" not in plan and "o_orderstatus" not in plan
+
+
+def test_cube_reads_the_rows_once(spark):
+    plan = entry.queries()["kpi_cube"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
