@@ -275,8 +275,8 @@ def top_types(rows: DataFrame, top_n: int = fixed.TOP_N) -> DataFrame:
     leading = scoped.orderBy(
         F.when(F.col("scope") == "all", 0).otherwise(1),
         F.desc("total_requests"),
-        "complaint_type",
-    ).limit(top_n + 1)
+        "first_key",
+    ).limit(top_n + 1).withColumnRenamed("first_key", "complaint_type")
     types = _with_impact(leading).filter(F.col("scope") == "complaint_type")
     return _top(types, ["complaint_type"], top_n).select(*TYPE_COLUMNS)
 
@@ -329,14 +329,8 @@ SCOPE_KEYS = {
     "agency_complaint_type": ("agency", "complaint_type"),
     "status": ("status",),
 }
-KEY_TYPES = {
-    "created_day": "date",
-    "complaint_type": "string",
-    "agency": "string",
-    "borough": "string",
-    "age_bucket": "string",
-    "status": "string",
-}
+# how the keys of any scope are held while all scopes share one frame
+_SHARED_KEYS = ("scope", "created_day", "first_key", "second_key")
 
 # scopes that share a first aggregate, and a column it always groups by
 _GRAINS = (
@@ -368,11 +362,13 @@ def _scoped(rows: DataFrame, scopes: Sequence[str]) -> DataFrame:
     )
 
     def member(scope: str) -> str:
-        keys = [
-            f"'{k}', CAST({k if k in SCOPE_KEYS[scope] else 'NULL'} AS {kind})"
-            for k, kind in KEY_TYPES.items()
-        ]
-        return f"named_struct('scope', '{scope}', {', '.join(keys)})"
+        keys = SCOPE_KEYS[scope]
+        day = "created_day" if "created_day" in keys else "NULL"
+        texts = [k for k in keys if k != "created_day"] + ["NULL", "NULL"]
+        return (
+            f"named_struct('scope', '{scope}', 'created_day', date({day}),"
+            f" 'first_key', string({texts[0]}), 'second_key', string({texts[1]}))"
+        )
 
     memberships = " ".join(
         f"WHEN _rolled_{marker} = 0 THEN array({', '.join(member(s) for s in wanted)})"
@@ -382,10 +378,22 @@ def _scoped(rows: DataFrame, scopes: Sequence[str]) -> DataFrame:
     spread = cells.selectExpr(*TALLIES, days, f"inline(CASE {memberships} END)").filter(
         # undated rows are on no day, and closed rows have no age
         "(scope <> 'created_day' OR created_day IS NOT NULL)"
-        " AND (scope <> 'age_bucket' OR age_bucket IS NOT NULL)"
+        " AND (scope <> 'age_bucket' OR first_key IS NOT NULL)"
     )
-    keys = ["scope", *KEY_TYPES]
-    return _quantiles(spread.groupBy(*keys, DAYS).agg(*_add_tallies()), keys)
+    return _quantiles(spread.groupBy(*_SHARED_KEYS, DAYS).agg(*_add_tallies()), _SHARED_KEYS)
+
+
+def _named_keys() -> list[str]:
+    """The shared keys under the names they have in each scope."""
+    named = []
+    for name in ("agency", "complaint_type", "borough", "age_bucket", "status"):
+        held = " ".join(
+            f"WHEN '{scope}' THEN {_SHARED_KEYS[2 + keys.index(name)]}"
+            for scope, keys in SCOPE_KEYS.items()
+            if name in keys
+        )
+        named.append(f"CASE scope {held} END AS {name}")
+    return named
 
 
 def available_scopes(rows: DataFrame) -> list[str]:
@@ -416,19 +424,19 @@ def kpi_cube(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
             # known only where the scope's cells keep the day counts
             **{c: F.expr(f"if(scope IN ({with_quantiles}), {c}, NULL)") for c in _QUANTILES},
             "_first": F.when(F.col("scope") == "created_day", -F.unix_date("created_day"))
-            .when(F.col("scope") == "age_bucket", times.age_bucket_rank(F.col("age_bucket")))
+            .when(F.col("scope") == "age_bucket", times.age_bucket_rank(F.col("first_key")))
             .otherwise(-F.col("total_requests")),
         }
     ).selectExpr(
         "* EXCEPT (_first)",
-        "row_number() OVER (PARTITION BY scope"
-        " ORDER BY _first, agency, complaint_type, borough, status) AS report_rank",
+        "row_number() OVER (PARTITION BY scope ORDER BY _first, first_key, second_key)"
+        " AS report_rank",
     )
     # the plain bound lets Spark cut each report on the map side already
     largest = max(limits.top_n, *limit_of.values())
     return ranked.filter(
         f"report_rank <= {largest} AND report_rank <= CASE scope {allowed} ELSE {limits.top_n} END"
-    )
+    ).selectExpr("* EXCEPT (first_key, second_key)", *_named_keys())
 
 
 _PACK_LISTS = {
