@@ -40,6 +40,15 @@ TIMESTAMP_FORMATS = (
 HIGH_NULL_RATE = 0.50
 UNKNOWN_LABEL = "Unknown"
 
+# --- messages of the checks ----------------------------------------------------
+
+ALIAS_MESSAGE = "Accepted alias '{alias}' was normalized to '{canonical}'."
+EMPTY_MESSAGE = "Input dataset is empty."
+MISSING_MESSAGE = "Missing required fields: {fields}"
+ALL_NULL_MESSAGE = "All records have null {field}."
+HIGH_NULL_MESSAGE = "High null rate detected in '{field}' ({rate})."
+MALFORMED_MESSAGE = "Field '{field}' contains {count} malformed timestamp value(s)."
+
 # --- scan limits -------------------------------------------------------------
 
 ROW_LIMIT = 25_000
@@ -79,6 +88,20 @@ SLOW_MIN_SHARE = 0.005
 PRIORITY_TYPES = 5
 PRIORITY_BOROUGHS = 3
 
+# --- insight sentences ---------------------------------------------------------
+
+SLA_SENTENCE = "Overall SLA compliance is {compliance} (breach rate {breach}), below a 90% target."
+BACKLOG_SENTENCE = (
+    "Backlog is elevated at {backlog} of requests, indicating unresolved workload accumulation."
+)
+LONG_TAIL_SENTENCE = "Resolution time distribution is stretched, with long-tail delays affecting user experience."
+TYPES_SENTENCE = "Highest overall service-impact complaint categories are: {names}."
+BOROUGHS_SENTENCE = "Some boroughs have materially slower resolution performance than the system average: {names}."
+BAND_SENTENCE = (
+    "System efficiency score is in the '{band}' band and requires active operational intervention."
+)
+STABLE_SENTENCE = "Current performance indicators look stable with no major system-wide anomalies."
+
 # --- recommended actions -----------------------------------------------------
 
 # category -> (id, priority, text)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from caseflow import fixed_values as fixed
+from caseflow.functions.texts import quoted
 
 _NO_NAMES = "CAST(array() AS array<string>)"
 _SHOWN = (
@@ -22,7 +23,7 @@ def keyword_strength(text: str, category: str) -> str:
     """SQL for the strength with which a sentence supports a category, NULL if not."""
     hits = [
         "CASE WHEN "
-        + " AND ".join(f"contains(lower({text}), '{word}')" for word in words)
+        + " AND ".join(f"contains(lower({text}), {quoted(word)})" for word in words)
         + f" THEN {strength} END"
         for rule_category, words, strength in fixed.KEYWORDS
         if rule_category == category
@@ -64,7 +65,7 @@ def _category_evidence(category: str, signals: set[str]) -> str:
 def _action(category: str, entry: tuple[str, int, str], evidence: str) -> str:
     identifier, priority, text = entry
     return f"""named_struct('priority', {priority}, 'id', '{identifier}', 'category', '{category}',
-      'recommendation', '{text}', 'evidence', {evidence})"""
+      'recommendation', {quoted(text)}, 'evidence', {evidence})"""
 
 
 def recommend(insights: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,7 +87,7 @@ def recommend(insights: DataFrame, keys: list[str]) -> DataFrame:
         for c, entry in fixed.ACTIONS.items()
     )
     unmatched = _evidence(
-        "fallback", f"'{fixed.FALLBACK_TRIGGER}'", str(fixed.FALLBACK_STRENGTH), "0"
+        "fallback", quoted(fixed.FALLBACK_TRIGGER), str(fixed.FALLBACK_STRENGTH), "0"
     )
     fallback = ", ".join(
         _action(c, entry, f"array({unmatched})") for c, entry in fixed.FALLBACK_ACTIONS.items()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from caseflow import fixed_values as fixed
 from caseflow.functions.scores import percent_text
+from caseflow.functions.texts import filled, quoted
 
 _NO_NAMES = "CAST(array() AS array<string>)"
 
@@ -71,40 +72,38 @@ _RULES = (
     (
         "sla_below_target",
         f"_compliance < {fixed.SLA_TARGET}D",
-        f"concat('Overall SLA compliance is ', {percent_text('_compliance')},"
-        f" ' (breach rate ', {percent_text('_breach')}, '), below a 90% target.')",
+        filled(
+            fixed.SLA_SENTENCE,
+            compliance=percent_text("_compliance"),
+            breach=percent_text("_breach"),
+        ),
     ),
     (
         "backlog_elevated",
         f"_backlog > {fixed.BACKLOG_LIMIT}D",
-        f"concat('Backlog is elevated at ', {percent_text('_backlog')},"
-        " ' of requests, indicating unresolved workload accumulation.')",
+        filled(fixed.BACKLOG_SENTENCE, backlog=percent_text("_backlog")),
     ),
     (
         "long_tail",
         f"_avg_days > {fixed.AVG_DAYS_LIMIT} OR _p90_days > {fixed.P90_DAYS_LIMIT}",
-        "'Resolution time distribution is stretched, with long-tail delays affecting user experience.'",
+        quoted(fixed.LONG_TAIL_SENTENCE),
     ),
     (
         "priority_types",
         "size(_types) > 0",
-        "concat('Highest overall service-impact complaint categories are: ',"
-        " array_join(_types, ', '), '.')",
+        filled(fixed.TYPES_SENTENCE, names="array_join(_types, ', ')"),
     ),
     (
         "slow_boroughs",
         "size(_slow) > 0",
-        "concat('Some boroughs have materially slower resolution performance than the system"
-        " average: ', array_join(_slow, ', '), '.')",
+        filled(fixed.BOROUGHS_SENTENCE, names="array_join(_slow, ', ')"),
     ),
     (
         "ses_alert",
-        "_band IN (" + ", ".join(f"'{b}'" for b in fixed.ALERT_BANDS) + ")",
-        "concat(\"System efficiency score is in the '\", _band,"
-        " \"' band and requires active operational intervention.\")",
+        f"_band IN ({', '.join(quoted(b) for b in fixed.ALERT_BANDS)})",
+        filled(fixed.BAND_SENTENCE, band="_band"),
     ),
 )
-_STABLE = "Current performance indicators look stable with no major system-wide anomalies."
 
 
 def derive_insights(kpis: DataFrame) -> DataFrame:
@@ -122,7 +121,8 @@ def derive_insights(kpis: DataFrame) -> DataFrame:
         .selectExpr(
             *[f"`{c}`" for c in kpis.columns],
             f"""CASE WHEN size(_fired) > 0 THEN _fired
-                ELSE array(named_struct('rule', 'stable', 'text', '{_STABLE}')) END AS insights""",
+                ELSE array(named_struct('rule', 'stable', 'text', {quoted(fixed.STABLE_SENTENCE)}))
+                END AS insights""",
             "named_struct('priority_complaint_types', _types, 'priority_boroughs', _slow) AS signals",
         )
     )

@@ -13,18 +13,13 @@ from pyspark.sql import functions as F
 
 from caseflow import fixed_values as fixed
 from caseflow.functions.scores import percent_text
+from caseflow.functions.texts import filled, quoted
 from caseflow.functions.times import parse_timestamp
 from caseflow.operators.schema import alias_map, alias_warnings, missing_fields
 
-
 _NO_NAMES = "CAST(array() AS array<string>)"
 
 
-def _quoted(text: str) -> str:
-    escaped = text.replace("\\", "\\\\").replace('"', '\\"')
-    return f'"{escaped}"'
-
-
 def _field_stats(df: DataFrame, formats: Sequence[str]) -> DataFrame:
     """One row: row count and an array with the figures of each required field.
 
@@ -84,28 +79,28 @@ def verdict(
     renames = renames or {}
 
     def names(items: Sequence[str]) -> str:
-        return "array(" + ", ".join(_quoted(i) for i in items) + ")" if items else _NO_NAMES
+        return "array(" + ", ".join(quoted(i) for i in items) + ")" if items else _NO_NAMES
 
-    absent = ["Missing required fields: " + ", ".join(missing)] if missing else []
-    is_date = "f.field IN (" + ", ".join(_quoted(d) for d in fixed.DATE_FIELDS) + ")"
+    absent = [fixed.MISSING_MESSAGE.format(fields=", ".join(missing))] if missing else []
+    is_date = "f.field IN (" + ", ".join(quoted(d) for d in fixed.DATE_FIELDS) + ")"
     return (
         _field_stats(df, formats)
         .selectExpr(
             "row_count",
             "fields",
             f"""array_compact(concat(
-              array(CASE WHEN row_count = 0 THEN 'Input dataset is empty.' END),
+              array(CASE WHEN row_count = 0 THEN {quoted(fixed.EMPTY_MESSAGE)} END),
               {names(absent)},
               transform(fields, f -> CASE WHEN f.all_null
-                THEN concat('All records have null ', f.field, '.') END),
+                THEN {filled(fixed.ALL_NULL_MESSAGE, field="f.field")} END),
               transform(fields, f -> CASE WHEN f.malformed_count > 0
-                THEN concat("Field '", f.field, "' contains ", string(f.malformed_count),
-                            ' malformed timestamp value(s).') END))) AS errors""",
+                THEN {filled(fixed.MALFORMED_MESSAGE, field="f.field", count="f.malformed_count")}
+                END))) AS errors""",
             f"""array_compact(concat(
               {names(alias_warnings(renames))},
               transform(fields, f -> CASE WHEN f.high_null
-                THEN concat("High null rate detected in '", f.field, "' (",
-                            {percent_text("f.null_rate")}, ').') END))) AS warnings""",
+                THEN {filled(fixed.HIGH_NULL_MESSAGE, field="f.field", rate=percent_text("f.null_rate"))}
+                END))) AS warnings""",
         )
         .selectExpr(
             "size(errors) = 0 AS is_valid",

@@ -28,7 +28,7 @@ def alias_map(columns: Sequence[str]) -> dict[str, str]:
 
 def alias_warnings(renames: dict[str, str]) -> list[str]:
     return [
-        f"Accepted alias '{alias}' was normalized to '{canonical}'."
+        fixed.ALIAS_MESSAGE.format(alias=alias, canonical=canonical)
         for alias, canonical in renames.items()
     ]
 
