@@ -305,8 +305,24 @@ insights AS (
 )"""
 
 
+
+def _slow(source: str) -> str:
+    """CTE chain ending in ``slow``: the slow ones of the ten largest boroughs."""
+    return f"""{source},
+listed AS ({_grouped("borough")} ORDER BY total_requests DESC, borough LIMIT 10),
+slow AS (
+  SELECT borough, row_number() OVER (ORDER BY avg_resolution_time DESC, total_requests DESC, borough) AS place
+  FROM listed
+  WHERE total_requests >= greatest(100, CAST(floor((SELECT count(*) FROM aged) * 0.005) AS BIGINT))
+    AND avg_resolution_time > 1.15 * (SELECT avg(days) FROM aged)
+)"""
+
+
+_SLOW_NAMES = "(SELECT string_agg(borough, ', ' ORDER BY place) FROM slow WHERE place <= 3)"
 _FIRST_TYPES = "(SELECT string_agg(complaint_type, ', ' ORDER BY place) FROM impact WHERE place <= 5)"
-_GLOBAL = _insights(_types(_TYPED_ROWS), _grouped(""), types=_FIRST_TYPES)
+_GLOBAL = _insights(
+    _slow(_types(_TYPED_ROWS)), _grouped(""), types=_FIRST_TYPES, slow=_SLOW_NAMES
+)
 _BY_AGENCY = _insights(_TYPED_ROWS, _grouped("agency"), "agency")
 _BY_DAY = _insights(_TYPED_ROWS, _grouped("created_day"), "created_day")
 
@@ -368,8 +384,14 @@ FROM (
 ) e JOIN action_table a ON e.category = a.category"""
 
 
-_SIGNALS_GLOBAL = f""" UNION ALL SELECT 'complaint_type_redesign', 'signal', 'priority_complaint_types',
-  95, 99, NULL, 'priority_complaint_types', replace({_FIRST_TYPES}, ', ', ' | ')"""
+_SIGNALS_GLOBAL = "".join(
+    f""" UNION ALL SELECT '{category}', 'signal', '{key}', 95, 99, NULL, '{key}',
+  replace({names}, ', ', ' | ') WHERE {names} IS NOT NULL"""
+    for category, key, names in (
+        ("complaint_type_redesign", "priority_complaint_types", _FIRST_TYPES),
+        ("borough_operations", "priority_boroughs", _SLOW_NAMES),
+    )
+)
 
 _DISTRICTS = _TYPED.replace("borough, status\n  FROM tickets", "'DISTRICT ' || year(closed) AS borough, status\n  FROM tickets")
 
@@ -532,19 +554,11 @@ FROM cube WHERE scope = 'all'""",
     "insights_by_agency": f"WITH {_BY_AGENCY} SELECT agency, insight_index, rule, insight FROM insights",
     "insights_by_day": f"""WITH {_BY_DAY}
 SELECT {_show("created_day")}, insight_index, rule, insight FROM insights""",
-    "insights_slow_boroughs": f"""WITH {_types(_DISTRICTS + _ROWS.format(segments=_LABELS))},
-listed AS ({_grouped("borough")} ORDER BY total_requests DESC, borough LIMIT 10),
-slow AS (
-  SELECT borough, row_number() OVER (ORDER BY avg_resolution_time DESC, total_requests DESC, borough) AS place
-  FROM listed
-  WHERE total_requests >= greatest(100, CAST(floor((SELECT count(*) FROM aged) * 0.005) AS BIGINT))
-    AND avg_resolution_time > 1.15 * (SELECT avg(days) FROM aged)
-)
+    "insights_slow_boroughs": f"""WITH {_slow(_types(_DISTRICTS + _ROWS.format(segments=_LABELS)))}
 SELECT 'Some boroughs have materially slower resolution performance than the system average: '
-    || string_agg(borough, ', ' ORDER BY place) || '.' AS insight,
-  string_agg(borough, ' | ' ORDER BY place) AS priority_boroughs,
-  replace({_FIRST_TYPES}, ', ', ' | ') AS priority_complaint_types
-FROM slow WHERE place <= 3""",
+    || {_SLOW_NAMES} || '.' AS insight,
+  coalesce(replace({_SLOW_NAMES}, ', ', ' | '), '') AS priority_boroughs,
+  replace({_FIRST_TYPES}, ', ', ' | ') AS priority_complaint_types""",
     "actions_global": _action_rows(_actions(_GLOBAL, signals=_SIGNALS_GLOBAL)),
     "action_evidence": f"""WITH {_actions(_GLOBAL, signals=_SIGNALS_GLOBAL)}
 SELECT a.id, a.category,
