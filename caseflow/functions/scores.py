@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from caseflow import fixed_values as fixed
 
 
-def ratio(part: Column, whole: Column) -> Column:
-    """part / whole, 0.0 where there is nothing to divide by or to divide."""
-    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
-
-
 def non_negative(days: Column) -> Column:
     """Negative values become 0; NULL stays NULL, which ``greatest`` would lose."""
     return F.when(days < 0, 0).otherwise(days)
