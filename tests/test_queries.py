@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from caseflow.plans.oracles import ORACLES
+from caseflow.plans.queries import QUERIES
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -15,17 +17,18 @@ def connection():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, connection, name):
     assert differences(spark, connection, name, SF) is None
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-    assert set(entry.oracle_sql()) == set(entry.queries()) - {"median_approx"}
+    assert set(ORACLES) == set(QUERIES) - {"median_approx"}
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"raw_snapshot", "processed_snapshot"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"raw_snapshot", "processed_snapshot"}))
 def test_plan_has_no_cross_join_and_no_python(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas", "InArrow"):
