@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import exact_dedup, license_scan, sharding
+from caseflow.llm import exact_dedup, license_scan, sentencepiece_codec, sharding
 from caseflow.llm.common import table
 
 SHARDS = 8
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Place of an installed public vocabulary file, on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +36,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_codec.read_model(tokenizer_path())
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), model)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,5 +48,6 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_sharding": op3_sharding,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
 }
