@@ -85,7 +85,28 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, text_sha256
 FROM hashed WINDOW same AS (PARTITION BY text_sha256)"""
 
+NEAR_DEDUP = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s
+  FROM words),
+classes AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+items AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.x = b.x AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT node, least(node, min(other)) AS component_id FROM reach GROUP BY node)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles,
+       coalesce(component_id, rep, sets.doc_id) AS component_id,
+       sets.doc_id = coalesce(component_id, rep, sets.doc_id) AS kept
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN least ON rep = node"""
+
 ORACLES = {
     "op1_license_scan": _license_scan(),
     "op5_exact_dedup": EXACT_DEDUP,
+    "op9_near_dedup": NEAR_DEDUP,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import exact_dedup, license_scan, sentencepiece_codec, sharding
+from caseflow.llm import exact_dedup, license_scan, near_dedup, sentencepiece_codec, sharding
 from caseflow.llm.common import table
 
 SHARDS = 8
@@ -45,9 +45,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_sharding": op3_sharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
