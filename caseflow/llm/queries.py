@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import exact_dedup, license_scan, near_dedup, sentencepiece_codec, sharding
+from caseflow.llm import (
+    exact_dedup,
+    license_scan,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    sharding,
+)
 from caseflow.llm.common import table
 
 SHARDS = 8
@@ -23,6 +31,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.score_quality(docs, labels)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -45,14 +58,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.apply_rules(docs, labels)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
 }
