@@ -61,3 +61,18 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column, separators: str) -> Column:
     """The non-empty pieces of ``text`` between runs of ``separators``."""
     return F.array_remove(F.split(text, separators), "")
+
+
+#: Rows of ids up to which a set of ids is broadcast (some tens of MB as a hash table).
+BROADCAST_ROWS = 1_000_000
+
+
+def without_ids(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """``df`` without the rows whose id is in the one column of ``dropped``; nulls match nulls.
+
+    The ids are broadcast only if counted and few; otherwise both sides are shuffled.
+    """
+    ids = cut(dropped.toDF("__dropped").distinct())
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(id_col).eqNullSafe(F.col("__dropped")), "left_anti")

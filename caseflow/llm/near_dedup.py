@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import cut
+from caseflow.llm.common import BROADCAST_ROWS, cut, without_ids
 from caseflow.llm.word_arrays import Group, groups, mix, random_numbers
 
 SHINGLE = 5
@@ -50,8 +50,6 @@ REGION = 512
 OVERLAP = 8
 BLOCK = 1024
 ROWS_PER_TASK = 500_000
-#: Rows of 8-byte keys up to which a side is broadcast (some tens of MB as a hash table).
-BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
 _FACTORS = random_numbers(HASHES, 101)
@@ -380,7 +378,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of each component, the one with the smallest id."""
     dropped = near_duplicates(df, id_col, text_col).where("not kept")
-    dropped = cut(dropped.select(F.col(id_col).alias("__dropped")).distinct())
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return df.join(dropped, F.col(id_col).eqNullSafe(F.col("__dropped")), "left_anti")
+    return without_ids(df, id_col, dropped.select(id_col))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import (
     exact_dedup,
+    language_id,
     license_scan,
+    mixing,
     near_dedup,
     quality_classifier,
     quality_rules,
@@ -58,6 +60,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "source",
+        "lang",
+        F.col("__topic").alias("topic"),
+        F.col("__tokens").alias("n_tokens"),
+        F.col("__weight").alias("cell_weight"),
+        F.col("__probability").alias("probability"),
+        F.col("__kept").alias("kept"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.apply_rules(docs, labels)
@@ -67,12 +82,19 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, declared=F.col("lang"), host=F.col("source"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
+    "op10_language_id": op10_language_id,
 }
