@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import (
     exact_dedup,
+    html_extract,
     language_id,
     license_scan,
     mixing,
@@ -60,6 +61,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -93,6 +99,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
