@@ -67,12 +67,18 @@ def words(text: Column, separators: str) -> Column:
 BROADCAST_ROWS = 1_000_000
 
 
-def without_ids(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """``df`` without the rows whose id is in the one column of ``dropped``; nulls match nulls.
+def text_key(text: Column) -> Column:
+    """A 64-bit hash that, with the id, tells apart rows that share an id."""
+    return F.xxhash64(text)
 
-    The ids are broadcast only if counted and few; otherwise both sides are shuffled.
+
+def without_rows(df: DataFrame, id_col: str, text_col: str, dropped: DataFrame) -> DataFrame:
+    """``df`` without the rows whose id and text key are in ``dropped`` (two columns); nulls match nulls.
+
+    The keys are broadcast only if counted and few; otherwise both sides are shuffled.
     """
-    ids = cut(dropped.toDF("__dropped").distinct())
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return df.join(ids, F.col(id_col).eqNullSafe(F.col("__dropped")), "left_anti")
+    keys = cut(dropped.toDF("__id", "__key").distinct())
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(F.col(text_col)) == F.col("__key"))
+    return df.join(keys, same, "left_anti")

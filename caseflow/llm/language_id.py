@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import BROADCAST_ROWS, cut, without_ids
+from caseflow.llm.common import BROADCAST_ROWS, cut, text_key, without_rows
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -168,22 +168,19 @@ def host_priors(rows: DataFrame, size: int) -> tuple[DataFrame, list[float]]:
 # --- fusion --------------------------------------------------------------------------
 
 
-def identify(
+def _judged(
     df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    declared: Column | None = None,
-    host: Column | None = None,
+    id_col: str,
+    text_col: str,
+    declared: Column | None,
+    host: Column | None,
 ) -> DataFrame:
-    """Per row of ``df``: id, language, probability, text_language, kept.
-
-    ``declared`` and ``host`` are columns of ``df``; the suffix and domain follow
-    from the host.
-    """
+    """Per row of ``df``: id, text_key, language, probability, text_language, kept."""
     none = F.lit(None).cast("string")
     rows = df.select(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
+        text_key(F.col(text_col)).alias("text_key"),
         (none if declared is None else declared).alias("declared"),
         (none if host is None else host).alias("host"),
     )
@@ -233,12 +230,29 @@ def identify(
 
     named = F.array(*[F.lit(n) for n in names])
     fused = joined.select(
-        F.col("id").alias(id_col),
+        "id",
+        "text_key",
         fuse("trigrams", "means", "declared", "suffix", "prior").alias("fused"),
         named[F.col("looks")].alias("text_language"),
     )
     kept = (F.col("fused.language") != UNKNOWN) & (F.col("fused.probability") >= ACCEPT_FROM)
-    return fused.select(id_col, "fused.language", "fused.probability", "text_language", kept.alias("kept"))
+    return fused.select("id", "text_key", "fused.language", "fused.probability", "text_language", kept.alias("kept"))
+
+
+def identify(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    declared: Column | None = None,
+    host: Column | None = None,
+) -> DataFrame:
+    """Per row of ``df``: id, language, probability, text_language, kept.
+
+    ``declared`` and ``host`` are columns of ``df``; the suffix and domain follow
+    from the host.
+    """
+    judged = _judged(df, id_col, text_col, declared, host)
+    return judged.drop("text_key").withColumnRenamed("id", id_col)
 
 
 def identify_pages(pages: DataFrame, id_col: str = "page_id", text: str = "html", url: str = "url") -> DataFrame:
@@ -247,6 +261,6 @@ def identify_pages(pages: DataFrame, id_col: str = "page_id", text: str = "html"
 
 
 def accepted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "lang", host: str = "source"):
-    """The rows of ``df`` whose document is not rejected; rows that share an id go together."""
-    judged = identify(df, id_col, text_col, F.col(declared), F.col(host))
-    return without_ids(df, id_col, judged.where("not kept").select(id_col))
+    """The rows of ``df`` that are not rejected."""
+    judged = _judged(df, id_col, text_col, F.col(declared), F.col(host))
+    return without_rows(df, id_col, text_col, judged.where("not kept").select("id", "text_key"))

@@ -22,7 +22,7 @@ of candidates joins it either.
 
 Defined results: null and wordless texts have no shingles and link with nothing,
 each its own component. Texts of fewer than five words have their word sequence as
-the only shingle. Rows that repeat an id are judged alike. Null ids never name a
+the only shingle. Rows that repeat id and text are judged alike. Null ids never name a
 component unless all ids of it are null. Set hashes have 64 bits.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import BROADCAST_ROWS, cut, without_ids
+from caseflow.llm.common import BROADCAST_ROWS, cut, text_key, without_rows
 from caseflow.llm.word_arrays import Group, groups, mix, random_numbers
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def signature(values: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n_shingles, node (set hash; null without shingles), signature, low bytes."""
+    """Per row: id, text_key, n_shingles, node (set hash; null without shingles), signature, low bytes."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +106,15 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     signatures.append(None if own is None else own.astype(">u4").tobytes())
                     lows.append(None if own is None else own.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.array(signatures, pa.binary()), pa.array(lows, pa.binary())],
-                names=["id", "n_shingles", "node", "signature", "low"],
+                names=["id", "text_key", "n_shingles", "node", "signature", "low"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_shingles long, node long, signature binary, low binary"
-    return df.select(F.col(id_col).alias("id"), text_col).mapInArrow(sketched, schema)
+    schema = f"id {kind}, text_key long, n_shingles long, node long, signature binary, low binary"
+    rows = df.select(F.col(id_col).alias("id"), text_col, text_key(F.col(text_col)).alias("text_key"))
+    return rows.mapInArrow(sketched, schema)
 
 
 # --- forest -----------------------------------------------------------------------------
@@ -354,8 +355,8 @@ def _cell_links(nodes: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, n
 # --- whole runs -------------------------------------------------------------------------
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id (smallest id), kept."""
+def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``df``: id, text_key, n_shingles, component_id, kept."""
     sketches = cut(sketch(df, id_col, text_col))
     with_set = sketches.where("node is not null")
     nodes = cut(with_set.dropDuplicates(["node"]).select("node", "signature", "low"))
@@ -365,17 +366,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut(least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
     names = classes.groupBy("component").agg(F.min("id").alias("component_id"))
     named = cut(classes.join(names, "component").select(F.col("node").alias("__node"), "component_id"))
-    joined = sketches.select("id", "n_shingles", "node").join(named, F.col("node") == F.col("__node"), "left")
+    joined = sketches.drop("signature", "low").join(named, F.col("node") == F.col("__node"), "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return joined.select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
-    )
+    kept = F.col("id").eqNullSafe(component)
+    return joined.select("id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: id, n_shingles, component_id (smallest id), kept."""
+    return _judged(df, id_col, text_col).drop("text_key").withColumnRenamed("id", id_col)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of each component, the one with the smallest id."""
-    dropped = near_duplicates(df, id_col, text_col).where("not kept")
-    return without_ids(df, id_col, dropped.select(id_col))
+    dropped = _judged(df, id_col, text_col).where("not kept")
+    return without_rows(df, id_col, text_col, dropped.select("id", "text_key"))

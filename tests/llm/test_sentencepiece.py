@@ -1,0 +1,114 @@
+from __future__ import annotations
+
+import hashlib
+import struct
+
+import numpy as np
+import pytest
+import sentencepiece
+from sentencepiece import sentencepiece_model_pb2 as model_pb
+
+from caseflow.llm import queries
+from caseflow.llm import sentencepiece_codec as codec
+from tests.llm.frames import ODD, SF, docs
+
+TEXTS = [
+    *[t or "" for _, t in ODD], " ", "  a", "a  ", "▁x ▁ y", "\n\n a\tb", "日本語 テスト", "🙂 x🙂", "a\0b", "x" * 3000,
+    "▁▁", " ▁ ", "Ａ①", " " * 1203 + "x", ("a" + " " * 7) * 400, "é" * 2000 + " é",
+]
+
+
+@pytest.fixture(scope="module")
+def model() -> bytes:
+    return codec.read_model(queries.tokenizer_path())
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_ids_spans_and_round_trip(model):
+    own = codec.Codec(model)
+    for text in TEXTS:
+        ids, spans = own.encode(text)
+        assert ids == own.library.encode(text)
+        data, end = text.encode(), 0
+        for begin, stop in spans:
+            assert begin == end or begin >= stop == end or begin == stop
+            end = max(end, stop)
+        assert end == len(data)
+        assert b"".join(data[a:b] for a, b in spans) == data
+        assert own.joined(ids) == ",".join(map(str, ids))
+
+
+def test_whole_table(spark, model):
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op4_sentencepiece(spark, SF).collect():
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
+        assert r.decoded_sha256 == sha(library.decode(ids))
+        assert r.bytes_covered == len(texts[r.doc_id].encode())
+
+
+def test_odd_rows(spark, model):
+    result = codec.digests(docs(spark, ODD), model)
+    assert result.count() == len(ODD)
+    assert {r.n_tokens for r in result.where("doc_id in (5, 6)").collect()} == {0}
+    assert codec.digests(docs(spark, []), model).count() == 0
+
+
+def test_encode_then_decode(spark, model):
+    df = docs(spark, ODD).drop("encoded")
+    encoded = codec.encode(df, model)
+    back = codec.decode(encoded.withColumn("ids", encoded["encoded.ids"]), model, "ids")
+    for r in back.collect():
+        assert r.decoded == (r.text or "") and len(r.encoded.ids) == len(r.encoded.begins) == len(r.encoded.ends)
+
+
+def compiled(pairs: dict[str, str]) -> bytes:
+    """A compiled character map: a double-array trie, then the texts."""
+    texts, offsets = b"", {}
+    for key, new in pairs.items():
+        offsets[key.encode()] = len(texts)
+        texts += new.encode() + b"\0"
+    units, used = [0] * 8192, {0}
+
+    def place(node: int, keys: list[bytes], depth: int) -> None:
+        children = sorted({k[depth] for k in keys if len(k) > depth})
+        ends = [k for k in keys if len(k) == depth]
+        labels = children + ([0] if ends else [])
+        base = next(b for b in range(1, 8192) if all(b ^ c not in used and b ^ c < 8192 for c in labels))
+        used.update(base ^ c for c in labels)
+        units[node] |= (base ^ node) << 10
+        if ends:
+            units[node] |= 1 << 8
+            units[base] = (1 << 31) | offsets[ends[0]]
+        for c in children:
+            units[base ^ c] = c
+            place(base ^ c, [k for k in keys if len(k) > depth and k[depth] == c], depth + 1)
+
+    place(0, list(offsets), 0)
+    trie = struct.pack(f"<{len(units)}I", *units)
+    return struct.pack("<I", len(trie)) + trie + texts
+
+
+@pytest.mark.parametrize("trim", [False, True])
+@pytest.mark.parametrize("prefix", [False, True])
+def test_character_map_like_the_library(model, trim, prefix):
+    proto = model_pb.ModelProto.FromString(model)
+    spec = proto.normalizer_spec
+    spec.precompiled_charsmap = compiled({"ﬁ": "fi", "Ａ": "A", "①": "1", "①②": "(12)", "é": "é", "\t": " ", "x": ""})
+    spec.remove_extra_whitespaces, spec.add_dummy_prefix = trim, prefix
+    changed = proto.SerializeToString()
+    own, library = codec.Codec(changed), sentencepiece.SentencePieceProcessor(model_proto=changed)
+    for text in ["ﬁne ＡＡ", "①② ①③", "a\t b", " é  ", "plain", "", "xx", "  ", "①②①", "日 ﬁ", "a x b", "fin  ﬁn "]:
+        shown, source = own.normalise(text)
+        assert shown == library.normalize(text)
+        assert len(source) == len(shown.encode()) + 1 and (np.diff(source) >= 0).all()
+        ids, spans = own.encode(text)
+        assert ids == library.encode(text)
+        assert len(spans) == len(ids) and (spans >= 0).all() and (spans <= len(text.encode())).all()
+    ids, spans = own.encode("①② ﬁne")
+    data = "①② ﬁne".encode()
+    assert data[spans[0][0] : spans[-1][1]] == data

@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from caseflow.llm import queries, sharding
+from tests.llm.frames import ODD, SF, docs
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 4, 5, 63, 64, 65, 1000, 4097])
+def test_permutation_and_its_inverse(rows):
+    places = sharding.permute(np.arange(rows), rows)
+    assert sorted(places) == list(range(rows))
+    assert (sharding.permute(places, rows, backwards=True) == np.arange(rows)).all()
+
+
+def test_seeds_differ():
+    assert (sharding.permute(np.arange(500), 500, 1) != sharding.permute(np.arange(500), 500, 2)).any()
+
+
+def brute(rows, shards):
+    keys = []
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        keys.append((doc_id, len(data) + 1, zlib.crc32(data)))
+    keys.sort(key=lambda k: (k[0] is not None, k[0] or 0, k[1], k[2]))
+    places = sharding.permute(np.arange(len(keys)), len(keys))
+    return sorted(((*k, n, int(p % shards), int(p // shards)) for n, (k, p) in enumerate(zip(keys, places))), key=repr)
+
+
+def test_odd_rows_whatever_the_partitions(spark):
+    df = docs(spark, ODD)
+    for parts in (1, 5):
+        result = sharding.assign_shards(df.repartition(parts), 3)
+        assert sorted(map(tuple, result.collect()), key=repr) == brute(ODD, 3)
+
+
+def test_whole_table(spark):
+    result = queries.op3_sharding(spark, SF)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {(k[0], k[1], k[2], k[4], k[5]) for k in brute(rows, 8)}
+    assert {(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in result.collect()} == want
+    shards = result.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("d"))
+    found = shards.collect()
+    assert len(found) == 8 and max(r.n for r in found) - min(r.n for r in found) <= 1
+    assert all(r.n == r.d == r.top + 1 for r in found)
+
+
+def test_slots_lead_back_to_rows(spark):
+    result = sharding.assign_shards(docs(spark, [(i, str(i)) for i in range(77)], clash=False), 8).toPandas()
+    back = sharding.row_numbers_at(result["shard"].to_numpy(), result["slot"].to_numpy(), 77, 8)
+    assert (back == result["row_number"].to_numpy()).all()
+
+
+def test_empty_table(spark):
+    assert sharding.assign_shards(docs(spark, []), 8).count() == 0
