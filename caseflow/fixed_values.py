@@ -51,7 +51,6 @@ MALFORMED_MESSAGE = "Field '{field}' contains {count} malformed timestamp value(
 
 # --- scan limits -------------------------------------------------------------
 
-ROW_LIMIT = 25_000
 WINDOW_DAYS = 30
 
 # --- KPI limits and scores ---------------------------------------------------

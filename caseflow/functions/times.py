@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from datetime import date
 from itertools import groupby
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow import fixed_values as fixed
 
@@ -61,6 +62,17 @@ def parse_timestamp(raw: Column, formats: Sequence[str] = fixed.TIMESTAMP_FORMAT
     return F.coalesce(*tries)
 
 
+def parse_column(
+    df: DataFrame, name: str, formats: Sequence[str] = fixed.TIMESTAMP_FORMATS
+) -> Column:
+    """A column as wall-clock time: texts by ``formats``, dates and timestamps as they are."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.col(name).cast("timestamp_ntz")
+    raw = F.col(name)
+    return parse_timestamp(raw if isinstance(kind, T.StringType) else raw.cast("string"), formats)
+
+
 def parse_failed(raw: Column, parsed: Column) -> Column:
     return F.when(raw.isNotNull() & parsed.isNull(), 1).otherwise(0)
 

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import fixed_values as fixed
-from caseflow.functions.times import parse_failed, parse_timestamp
+from caseflow.functions.times import parse_column, parse_failed
 
 
 def add_times(df: DataFrame, formats: Sequence[str] = fixed.TIMESTAMP_FORMATS) -> DataFrame:
     """``created_ts``, ``due_ts``, ``closed_ts`` and their parse-failed flags."""
     stems = [field.removesuffix("_date") for field in fixed.DATE_FIELDS]
     parsed = df.withColumns(
-        {f"{s}_ts": parse_timestamp(F.col(f"{s}_date"), formats) for s in stems}
+        {f"{s}_ts": parse_column(df, f"{s}_date", formats) for s in stems}
     )
     return parsed.withColumns(
         {

@@ -62,7 +62,7 @@ def backfill(df: DataFrame, formats: Sequence[str] = fixed.TIMESTAMP_FORMATS) ->
             has_raw = f"{stem}_date" in df.columns
             df = df.withColumn(
                 f"{stem}_ts",
-                times.parse_timestamp(F.col(f"{stem}_date"), formats)
+                times.parse_column(df, f"{stem}_date", formats)
                 if has_raw
                 else F.lit(None).cast("timestamp_ntz"),
             )
@@ -476,22 +476,20 @@ def kpi_pack(cube: DataFrame) -> DataFrame:
         "if(scope = 'created_day', -report_rank, report_rank) AS _place",
         "open_requests AS open_count",
     )
-    lists = [
-        f"sort_array(collect_list(if(scope = '{scope}',"
-        f" named_struct('_place', _place, {_fields(columns)}), NULL))) AS {name}"
-        for name, (scope, columns) in _PACK_LISTS.items()
-    ]
+    columns = list(dict.fromkeys(c for _, listed in _PACK_LISTS.values() for c in listed))
+    everything = f"sort_array(collect_list(named_struct('scope', scope, '_place', _place, {_fields(columns)}))) AS _rows"
     whole = [
         f"coalesce(max(if(scope = 'all', {c}, NULL)), {_NO_ROWS.get(c, '0')}) AS {c}"
         for c in SUMMARY_COLUMNS
     ]
-    packed = rows.groupBy().agg(*[F.expr(e) for e in (*whole, *lists)])
+    packed = rows.groupBy().agg(*[F.expr(e) for e in (*whole, everything)])
 
     shown = []
-    for name, (_, columns) in _PACK_LISTS.items():
+    for name, (scope, columns) in _PACK_LISTS.items():
         renamed = {"total_requests": "volume"} if name == "time_trends" else {}
         shown.append(
-            f"transform({name}, r -> named_struct({_fields(columns, 'r.', **renamed)})) AS {name}"
+            f"transform(filter(_rows, r -> r.scope = '{scope}'),"
+            f" r -> named_struct({_fields(columns, 'r.', **renamed)})) AS {name}"
         )
     volume = ("total_requests", "open_requests", "closed_requests", "open_rate", "closed_rate")
     resolution = ("avg_resolution_time", "median_resolution_time", "p90_resolution_time")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from caseflow import fixed_values as fixed
 from caseflow.functions.scores import percent_text
 from caseflow.functions.texts import filled, quoted
-from caseflow.functions.times import parse_timestamp
+from caseflow.functions.times import parse_column
 from caseflow.operators.schema import alias_map, alias_warnings, missing_fields
 
 _NO_NAMES = "CAST(array() AS array<string>)"
@@ -31,7 +31,7 @@ def _field_stats(df: DataFrame, formats: Sequence[str]) -> DataFrame:
         counts += [F.count_if(F.col(f).isNull()).alias(f"null_{f}") for f in fixed.REQUIRED_FIELDS]
         counts += [
             F.count_if(
-                F.col(f).isNotNull() & parse_timestamp(F.col(f), formats).isNull()
+                F.col(f).isNotNull() & parse_column(df, f, formats).isNull()
             ).alias(f"bad_{f}")
             for f in fixed.DATE_FIELDS
         ]
@@ -151,8 +151,15 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def read_verdict(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Aliases and verdict together: (records with canonical names, verdict)."""
-    renames = alias_map(df.columns)
-    records = df.withColumnsRenamed(renames)
-    return records, verdict(records, renames)
+def read_verdict(
+    df: DataFrame,
+    formats: Sequence[str] = fixed.TIMESTAMP_FORMATS,
+    renames: dict[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Aliases and verdict together: (records with canonical names, verdict).
+
+    ``renames`` are aliases that the caller has resolved before.
+    """
+    found = alias_map(df.columns)
+    records = df.withColumnsRenamed(found)
+    return records, verdict(records, {**(renames or {}), **found}, formats)

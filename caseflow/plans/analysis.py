@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow import fixed_values as fixed
-from caseflow.operators import actions, clean, features, insights, kpis, quality
+from caseflow.operators import actions, clean, features, insights, kpis, quality, schema
 from caseflow.sources import records, snapshots, windows
 
 
@@ -37,23 +37,26 @@ def analyse(
     limits: kpis.Limits = kpis.Limits(),
     snapshot_path: str | None = None,
     gated: bool = True,
+    renames: dict[str, str] | None = None,
 ) -> Analysis:
     """Aliases, verdict, gate, clean, features, KPIs, insights, actions.
 
     An invalid verdict leaves every later frame without rows; ``gated=False``
-    goes on regardless. With a snapshot path the processed records are written
-    and the KPIs read the snapshot, so cleaning runs once.
+    goes on regardless. One set of ``formats`` serves checks, parsing and KPIs;
+    ``renames`` are aliases resolved before. With a snapshot path the processed
+    records are written once as Parquet beside it, from which both the snapshot
+    (JSON lines) and the KPIs are read, so cleaning runs once.
     """
-    named, table_verdict = quality.read_verdict(df)
+    named, table_verdict = quality.read_verdict(df, formats, renames)
     # the steps below read these; a table without them fails the gate anyway
     absent = [f for f in ("unique_key", *fixed.DATE_FIELDS) if f not in named.columns]
     named = named.withColumns({f: F.lit(None).cast("string") for f in absent})
     passed = quality.gate(named, table_verdict) if gated else named
     processed = features.add_features(clean.clean(passed), formats)
-    written = snapshots.try_write_snapshot(processed, snapshot_path)
-    if written:
-        processed = snapshots.read_snapshot(df.sparkSession, written, processed.schema)
-    rows = kpis.measures(kpis.require_sla(processed), as_of)
+    written = None
+    if snapshot_path is not None:
+        processed, written = snapshots.try_write_rows_and_snapshot(processed, snapshot_path)
+    rows = kpis.measures(kpis.require_sla(processed), as_of, formats)
     pack = kpis.kpi_pack(kpis.kpi_cube(rows, limits))
     if gated:
         pack = quality.gate(pack, table_verdict)
@@ -81,11 +84,20 @@ def analyse_window(
     start: str | date | None = None,
     end: str | date | None = None,
     as_of: date | None = None,
-    limit: int | None = fixed.ROW_LIMIT,
+    limit: int | None = None,
     ties: Sequence[str] = ("unique_key",),
+    formats: Sequence[str] = fixed.TIMESTAMP_FORMATS,
+    day_column: str | None = None,
     **options,
 ) -> Analysis:
-    """A run over the records of a date window, or the latest ones if it is empty."""
+    """A run over the records of a date window, or the latest ones if it is empty.
+
+    All records of the window count unless the caller states a ``limit``. Aliases
+    are resolved first, so ``column`` is a canonical name.
+    """
     first, last = windows.window_days(start, end, as_of)
-    scanned = windows.window_scan_or_latest(df, column, first, last, limit, ties)
-    return analyse(scanned, as_of=as_of, **options)
+    renames = schema.alias_map(df.columns)
+    named = df.withColumnsRenamed(renames)
+    ties = [t for t in ties if t in named.columns]
+    scanned = windows.window_scan_or_latest(named, column, first, last, limit, ties, formats, day_column)
+    return analyse(scanned, as_of=as_of, formats=formats, renames=renames, **options)

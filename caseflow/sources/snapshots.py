@@ -11,12 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Times keep their microseconds in JSON lines.
+TIME_FORMATS = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for data that all executors reach.
 
-    Only where none is named, as in local tests, a folder of this machine.
+    A local session that names none, as in tests, gets one of its own. On a
+    cluster that is an error: every executor would write to its own disk.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="caseflow-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="caseflow-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def snapshot_path(base: str, kind: str, at: datetime | None = None) -> str:
@@ -38,12 +52,19 @@ def write_snapshot(
     writer = (df if partitions is None else df.repartition(partitions)).write
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
-    writer.mode("errorifexists").json(path)
+    writer.mode("errorifexists").options(**TIME_FORMATS).json(path)
     return path
 
 
+def write_rows(df: DataFrame, path: str, day_column: str | None = None) -> DataFrame:
+    """A run's own intermediate: Parquet, read again; by ``day_column`` in folders if given."""
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(day_column) if day_column else writer).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(**TIME_FORMATS).json(path)
 
 
 def try_write_snapshot(df: DataFrame, path: str | None, **options) -> str | None:
@@ -55,3 +76,16 @@ def try_write_snapshot(df: DataFrame, path: str | None, **options) -> str | None
     except Exception as problem:  # noqa: BLE001 - any failed write is only a warning here
         warnings.warn(f"snapshot not written: {problem}", stacklevel=2)
         return None
+
+
+def try_write_rows_and_snapshot(df: DataFrame, path: str) -> tuple[DataFrame, str | None]:
+    """``df`` read from Parquet beside ``path``, and the snapshot written from that.
+
+    A failed write is a warning: the run goes on with what it has.
+    """
+    try:
+        df = write_rows(df, f"{path.rstrip('/')}-rows")
+    except Exception as problem:  # noqa: BLE001 - any failed write is only a warning here
+        warnings.warn(f"snapshot not written: {problem}", stacklevel=2)
+        return df, None
+    return df, try_write_snapshot(df, path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow import fixed_values as fixed
-from caseflow.functions.times import parse_timestamp
+from caseflow.functions.times import parse_column
 
 
 def _day(text: Column) -> Column:
@@ -52,21 +52,54 @@ def window_days(
     return min(low, high), high
 
 
-def in_window(df: DataFrame, column: str, start: date, end: date) -> Column:
+def _moment(text: datetime, kind: T.DataType) -> Column:
+    """A literal of a timestamp column's own type, which Parquet filters need."""
+    cast = "timestamp" if isinstance(kind, T.TimestampType) else "timestamp_ntz"
+    return F.lit(text.isoformat(" ")).cast(cast)
+
+
+def in_window(
+    df: DataFrame,
+    column: str,
+    start: date,
+    end: date,
+    formats: Sequence[str] = fixed.TIMESTAMP_FORMATS,
+    day_column: str | None = None,
+) -> Column:
     """From the first second of ``start`` to the last whole second of ``end``.
 
-    The bounds are literals of the column's type, so the test reaches the
-    Parquet scan. Text columns must hold ISO date-times.
+    The bounds are literals of the column's type, so the test reaches the scan.
+    Whether Parquet skips row groups by it depends on the type: Spark does so for
+    ``timestamp``, dates and texts, not for ``timestamp_ntz``. ``day_column``, a date
+    column by which the table is partitioned, prunes folders for every type.
+
+    Texts are parsed by ``formats``. If all of these begin with the day, a plain
+    text range that lets through at least the window comes first.
     """
     low = datetime.combine(start, datetime.min.time())
     high = datetime.combine(end, datetime.max.time()).replace(microsecond=0)
     kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        return F.col(column).between(low.isoformat(), high.isoformat())
-    cast = "timestamp_ntz" if isinstance(kind, T.TimestampNTZType) else "timestamp"
-    return F.col(column).between(
-        F.lit(low.isoformat(" ")).cast(cast), F.lit(high.isoformat(" ")).cast(cast)
-    )
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        inside = F.col(column).between(_moment(low, kind), _moment(high, kind))
+    elif isinstance(kind, T.DateType):
+        inside = F.col(column).between(F.lit(start), F.lit(end))
+    else:
+        parsed = parse_column(df, column, formats)
+        inside = parsed.between(_moment(low, T.TimestampNTZType()), _moment(high, T.TimestampNTZType()))
+        if isinstance(kind, T.StringType) and formats and all(f.startswith("yyyy-MM-dd") for f in formats):
+            inside = (F.col(column) >= start.isoformat()) & inside
+            if end < date.max:
+                inside = (F.col(column) < (end + timedelta(days=1)).isoformat()) & inside
+    if day_column is not None:
+        inside = F.col(day_column).between(F.lit(start), F.lit(end)) & inside
+    return inside
+
+
+def tie_columns(df: DataFrame, ties: Sequence[str] = ()) -> list[str]:
+    """``ties`` and then all other columns that can be ordered: a total order of different rows."""
+    rest = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    rest = [f for f in rest if "variant" not in df.schema[f].dataType.simpleString()]
+    return [*ties, *[c for c in rest if c not in ties]]
 
 
 def first_rows(
@@ -74,15 +107,15 @@ def first_rows(
 ) -> DataFrame:
     """The first ``limit`` rows by a numeric key; all rows, sorted, without a limit.
 
-    A plain sort with limit sends up to ``limit`` rows of *every* input split to
-    one task. With many splits that task is the bottleneck, so the rows are cut
-    to the slot of the key in which the limit is reached before that: counts
-    per slot give the cut, and only rows up to it are sorted.
+    Rows without a key come last. A plain sort with limit sends up to ``limit``
+    rows of *every* input split to one task. Two steps keep that task small: rows
+    are cut to the slot (hour) of the key in which the limit is reached, and what
+    is left is limited per split, then per bucket of splits, before it meets. So
+    one task sees ``limit`` rows per bucket, even if all rows fall in one hour.
     """
-    ordered = [order.asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties]]
+    ordered = [order.asc_nulls_last(), *[F.col(f"`{c}`").asc_nulls_last() for c in ties]]
     if limit is None or limit <= 0:
         return df.orderBy(*ordered)
-    # rows without a key come last, in a slot of their own
     slot = F.coalesce(F.floor(order / _SLOT_MICROS), F.lit(_LAST_SLOT))
     counts = df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # one row per hour that has rows, so this window stays small
@@ -94,18 +127,19 @@ def first_rows(
         .filter(F.col("before") < limit)
         .agg(F.max("slot"))
     )
-    return df.filter(slot <= cut.scalar()).orderBy(*ordered).limit(limit)
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    early = df.filter(slot <= cut.scalar()).withColumn("_bucket", F.spark_partition_id() % buckets)
+    ranked = F.row_number().over(Window.partitionBy("_bucket").orderBy(*ordered))
+    leading = early.withColumn("_place", ranked).filter(F.col("_place") <= limit)
+    return leading.drop("_bucket", "_place").orderBy(*ordered).limit(limit)
 
 
 _SLOT_MICROS = 3_600_000_000
 _LAST_SLOT = 2**63 - 1
 
 
-def _micros(df: DataFrame, column: str) -> Column:
-    moment = F.col(column)
-    if isinstance(df.schema[column].dataType, T.StringType):
-        moment = parse_timestamp(moment)
-    return F.unix_micros(moment.cast("timestamp"))
+def _micros(df: DataFrame, column: str, formats: Sequence[str]) -> Column:
+    return F.unix_micros(parse_column(df, column, formats).cast("timestamp"))
 
 
 def window_scan(
@@ -113,12 +147,17 @@ def window_scan(
     column: str,
     start: date,
     end: date,
-    limit: int | None = fixed.ROW_LIMIT,
+    limit: int | None = None,
     ties: Sequence[str] = (),
+    formats: Sequence[str] = fixed.TIMESTAMP_FORMATS,
+    day_column: str | None = None,
 ) -> DataFrame:
-    """Rows of the window, oldest first, at most ``limit`` (0 or None: all)."""
-    inside = df.filter(in_window(df, column, start, end))
-    return first_rows(inside, _micros(df, column), ties, limit)
+    """Rows of the window, oldest first: all of them, or the first ``limit``.
+
+    Ties are settled by ``ties`` and then by all other columns.
+    """
+    inside = df.filter(in_window(df, column, start, end, formats, day_column))
+    return first_rows(inside, _micros(df, column, formats), tie_columns(df, ties), limit)
 
 
 def window_scan_or_latest(
@@ -126,19 +165,23 @@ def window_scan_or_latest(
     column: str,
     start: date,
     end: date,
-    limit: int | None = fixed.ROW_LIMIT,
+    limit: int | None = None,
     ties: Sequence[str] = (),
+    formats: Sequence[str] = fixed.TIMESTAMP_FORMATS,
+    day_column: str | None = None,
 ) -> DataFrame:
     """``window_scan``, or the latest rows of the table if the window is empty.
 
-    One lazy plan: whether the window holds a row is a scalar subquery, which
-    reads one column under the pushed-down window filter and stops at the first
-    row of each split.
+    One lazy plan: the rows of the window, under the pushed-down filter, and all
+    rows semi-joined with a frame that has one row if the window is empty and none
+    otherwise. On a hit adaptive execution drops the second part unread.
     """
-    inside = in_window(df, column, start, end)
-    any_inside = df.filter(inside).limit(1).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
-    micros = _micros(df, column)
-    marked = df.filter(inside | ~any_inside).withColumn(
-        "_order", F.when(any_inside, micros).otherwise(-micros)
-    )
-    return first_rows(marked, F.col("_order"), ties, limit).drop("_order")
+    inside = in_window(df, column, start, end, formats, day_column)
+    micros = _micros(df, column, formats)
+    hit = df.filter(inside).withColumn("_order", micros)
+    empty = df.filter(inside).limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    flag = F.broadcast(empty.select(F.lit(0).alias("_flag")))
+    # the key depends on a column, so that this is an equi-join
+    latest = df.withColumn("_order", -micros).withColumn("_flag", F.hash(F.col(column)) * 0)
+    latest = latest.join(flag, "_flag", "left_semi").drop("_flag")
+    return first_rows(hit.unionByName(latest), F.col("_order"), tie_columns(df, ties), limit).drop("_order")
