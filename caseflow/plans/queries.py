@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseflow import fixed_values as fixed
 from caseflow.functions import report_json
 from caseflow.operators import (
     actions,
@@ -110,6 +111,13 @@ def window_normalise(spark, sf_dir):
     )
 
 
+def window_scan_text(spark, sf_dir):
+    """A year of untidy text dates in three formats, from its first day to its last second."""
+    return windows.window_scan(
+        views.raw_requests(spark, sf_dir), "created_date", date(1996, 1, 1), date(1996, 12, 31)
+    )
+
+
 # --- schema and quality ------------------------------------------------------------------
 
 
@@ -125,8 +133,8 @@ def quality_counts(spark, sf_dir):
     )
 
 
-def _verdict(df: DataFrame) -> DataFrame:
-    _, table_verdict = quality.read_verdict(df)
+def _verdict(df: DataFrame, formats: Sequence[str] = fixed.TIMESTAMP_FORMATS) -> DataFrame:
+    _, table_verdict = quality.read_verdict(df, formats)
     return _shown(
         table_verdict.select(
             "is_valid",
@@ -150,6 +158,14 @@ def quality_verdict_valid(spark, sf_dir):
     return _verdict(views.iso_requests(spark, sf_dir))
 
 
+def quality_verdict_formats(spark, sf_dir):
+    """Dates written another way are valid to a run that states their format."""
+    slashed = views.iso_requests(spark, sf_dir).withColumns(
+        {f: F.regexp_replace(f, r"^(\d+)-(\d+)-(\d+)T.*", "$3/$2/$1") for f in fixed.DATE_FIELDS}
+    )
+    return _verdict(slashed, ("dd/MM/yyyy",))
+
+
 def quality_verdict_missing(spark, sf_dir):
     return _verdict(views.raw_requests(spark, sf_dir).drop("complaint_type", "borough"))
 
@@ -197,6 +213,23 @@ def parse_timestamps(spark, sf_dir):
     )
 
 
+def parse_typed(spark, sf_dir):
+    """Columns that are typed already: a fraction of a second, a date, a zoned time."""
+    typed = views.requests(spark, sf_dir, ()).select(
+        "unique_key",
+        F.expr("timestampadd(MICROSECOND, 500001, created_ts)").alias("created_date"),
+        F.to_date("due_ts").alias("due_date"),
+        F.col("closed_ts").cast("timestamp").alias("closed_date"),
+    )
+    stems = ("created", "due", "closed")
+    parsed = features.add_times(typed)
+    return parsed.select(
+        "unique_key",
+        *[F.date_format(f"{t}_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f"{t}_ts") for t in stems],
+        *[f"{t}_ts_parse_failed" for t in stems],
+    )
+
+
 def sla_features(spark, sf_dir):
     return features.add_features(_cleaned(spark, sf_dir)).select(
         "unique_key", "resolution_time_days", "resolution_completed", "sla_breach"
@@ -235,6 +268,13 @@ def backfill_from_text(spark, sf_dir):
 # --- KPIs --------------------------------------------------------------------------------------
 
 
+def _ranked(report: DataFrame) -> DataFrame:
+    """A bounded report with the place at which it gives each row."""
+    emitted = report.withColumn("_place", F.monotonically_increasing_id())
+    order = Window.partitionBy(F.lit(1)).orderBy("_place")
+    return _shown(emitted.withColumn("place", F.row_number().over(order)).drop("_place"))
+
+
 def kpi_summary(spark, sf_dir):
     return _shown(kpis.summary(_typed_rows(spark, sf_dir, ())))
 
@@ -249,35 +289,35 @@ def ses_by_agency(spark, sf_dir):
 
 
 def kpi_daily_trend(spark, sf_dir):
-    return _shown(kpis.daily_trend(_typed_rows(spark, sf_dir, ())))
+    return _ranked(kpis.daily_trend(_typed_rows(spark, sf_dir, ())))
 
 
 def kpi_top_types(spark, sf_dir):
-    return _shown(kpis.top_types(_clean_rows(spark, sf_dir)))
+    return _ranked(kpis.top_types(_clean_rows(spark, sf_dir)))
 
 
 def kpi_type_impact(spark, sf_dir):
-    return _shown(kpis.type_impact(kpis.top_types(_clean_rows(spark, sf_dir))))
+    return _ranked(kpis.type_impact(kpis.top_types(_clean_rows(spark, sf_dir))))
 
 
 def kpi_top_agencies(spark, sf_dir):
-    return _shown(kpis.top_agencies(_typed_rows(spark, sf_dir, ("agency",))))
+    return _ranked(kpis.top_agencies(_typed_rows(spark, sf_dir, ("agency",))))
 
 
 def kpi_boroughs(spark, sf_dir):
-    return _shown(kpis.borough_performance(_typed_rows(spark, sf_dir, ("borough",))))
+    return _ranked(kpis.borough_performance(_typed_rows(spark, sf_dir, ("borough",))))
 
 
 def kpi_backlog_ageing(spark, sf_dir):
-    return _shown(kpis.backlog_ageing(_clean_rows(spark, sf_dir)))
+    return _ranked(kpis.backlog_ageing(_clean_rows(spark, sf_dir)))
 
 
 def kpi_agency_type(spark, sf_dir):
-    return _shown(kpis.agency_types(_typed_rows(spark, sf_dir, ("agency", "complaint_type"))))
+    return _ranked(kpis.agency_types(_typed_rows(spark, sf_dir, ("agency", "complaint_type"))))
 
 
 def kpi_status(spark, sf_dir):
-    return _shown(kpis.status_breakdown(_typed_rows(spark, sf_dir, ("status",))))
+    return _ranked(kpis.status_breakdown(_typed_rows(spark, sf_dir, ("status",))))
 
 
 _CUBE_COLUMNS = (
@@ -297,37 +337,48 @@ def _pack(rows: DataFrame) -> DataFrame:
 
 
 def kpi_pack(spark, sf_dir):
-    """The pack's figures, and its lists as text in list order."""
+    """The pack's figures and structs, and all fields of its lists as text in list order."""
+    pack = _pack(_clean_rows(spark, sf_dir))
 
-    def lines(name: str, *fields: str) -> Column:
-        return F.transform(name, lambda r: F.concat_ws(":", *[r[f].cast("string") for f in fields]))
+    def shown(value: Column, kind: T.DataType) -> Column:
+        return F.format_string("%.9f", value) if isinstance(kind, T.DoubleType) else value.cast("string")
+
+    def lines(name: str) -> Column:
+        fields = pack.schema[name].dataType.elementType.fields
+        return F.transform(
+            name, lambda r: F.concat_ws(":", *[shown(r[f.name], f.dataType) for f in fields])
+        ).alias(name)
+
+    def struct(name: str) -> Column:
+        fields = pack.schema[name].dataType.fields
+        return F.concat_ws(":", *[shown(F.col(f"{name}.{f.name}"), f.dataType) for f in fields]).alias(name)
 
     return _shown(
-        _pack(_clean_rows(spark, sf_dir)).select(
+        pack.select(
             *kpis.SUMMARY_COLUMNS,
-            lines("time_trends", "created_day", "volume", "open_requests").alias("time_trends"),
-            lines("top_complaint_types", "complaint_type", "total_requests").alias(
-                "top_complaint_types"
-            ),
-            lines("complaint_type_impact_top", "complaint_type").alias("complaint_type_impact_top"),
-            lines("top_agencies", "agency", "total_requests", "closed_requests").alias("top_agencies"),
-            lines("borough_stats", "borough", "total_requests", "open_requests").alias(
-                "borough_stats"
-            ),
-            lines("backlog_ageing", "age_bucket", "open_count").alias("backlog_ageing"),
-            lines("agency_category_performance", "agency", "complaint_type", "total_requests").alias(
-                "agency_category_performance"
-            ),
-            lines("status_breakdown", "status", "total_requests").alias("status_breakdown"),
+            *[struct(n) for n in ("volume", "resolution", "sla")],
+            *[lines(n) for n in (
+                "time_trends", "top_complaint_types", "complaint_type_impact_top", "top_agencies",
+                "borough_stats", "backlog_ageing", "agency_category_performance", "status_breakdown",
+            )],
         )
     )
 
 
 def median_approx(spark, sf_dir):
-    by_agency = kpis.segment_kpis(_typed_rows(spark, sf_dir, ("agency",)), ["agency"], "approx")
-    return by_agency.select(
+    """Per agency, whether the sketch's quantiles have the wanted rank, up to its error."""
+    rows = _typed_rows(spark, sf_dir, ("agency",))
+    sketched = kpis.segment_kpis(rows, ["agency"], "approx").select(
         "agency", "total_requests", "median_resolution_time", "p90_resolution_time"
     )
+    days = F.col("resolution_time_days")
+    cells = rows.filter(days.isNotNull()).groupBy("agency", days.alias("days")).agg(F.count(F.lit(1)).alias("n"))
+    checks = []
+    for share, name in ((0.5, "median_resolution_time"), (0.9, "p90_resolution_time")):
+        below = F.sum(F.when(F.col("days") < F.col(name), F.col("n")).otherwise(0)) / F.sum("n")
+        upto = F.sum(F.when(F.col("days") <= F.col(name), F.col("n")).otherwise(0)) / F.sum("n")
+        checks.append(((below - 1e-3 <= share) & (upto + 1e-3 >= share)).alias(name.replace("resolution_time", "in_rank")))
+    return sketched.join(cells, "agency").groupBy("agency", "total_requests").agg(*checks)
 
 
 # --- insights and actions -----------------------------------------------------------------------
@@ -355,13 +406,16 @@ def insights_by_day(spark, sf_dir):
     return _shown(insights.insight_rows(found, ["created_day"]))
 
 
-def insights_slow_boroughs(spark, sf_dir):
+def _district_rows(spark, sf_dir) -> DataFrame:
     """Districts by year of closing differ in speed, so the rule has something to find."""
     typed = views.requests(spark, sf_dir, ("complaint_type",)).withColumn(
         "borough", F.concat(F.lit("DISTRICT "), F.year("closed_ts").cast("string"))
     )
-    rows = kpis.measures(features.add_resolution(typed), AS_OF)
-    found = insights.derive_insights(_pack(rows))
+    return kpis.measures(features.add_resolution(typed), AS_OF)
+
+
+def insights_slow_boroughs(spark, sf_dir):
+    found = insights.derive_insights(_pack(_district_rows(spark, sf_dir)))
     return _shown(
         found.select(
             F.filter("insights", lambda i: i["rule"] == "slow_boroughs")[0]["text"].alias("insight"),
@@ -371,6 +425,11 @@ def insights_slow_boroughs(spark, sf_dir):
     )
 
 
+def actions_slow_boroughs(spark, sf_dir):
+    """Actions where the borough rule fires, with its signal."""
+    return _action_rows(insights.derive_insights(_pack(_district_rows(spark, sf_dir))), [])
+
+
 def _action_rows(found: DataFrame, keys: list[str]) -> DataFrame:
     return actions.recommend(found, keys).select(
         *keys,
@@ -463,16 +522,16 @@ def processed_snapshot(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        window_scan, window_scan_default, window_scan_fallback, window_scan_hit, window_normalise,
+        window_scan, window_scan_default, window_scan_fallback, window_scan_hit, window_scan_text, window_normalise,
         alias_normalise, quality_counts, quality_verdict, quality_verdict_valid,
-        quality_verdict_missing, quality_verdict_all_null, quality_gate_pass, quality_gate_fail,
-        profile_columns, clean_dedup, parse_timestamps, sla_features, resolution_features,
+        quality_verdict_formats, quality_verdict_missing, quality_verdict_all_null, quality_gate_pass, quality_gate_fail,
+        profile_columns, clean_dedup, parse_timestamps, parse_typed, sla_features, resolution_features,
         kpi_measures, backfill_columns, backfill_from_text, kpi_summary, kpi_summary_clean,
         ses_by_agency, kpi_daily_trend, kpi_top_types, kpi_type_impact, kpi_top_agencies,
         kpi_boroughs, kpi_backlog_ageing, kpi_agency_type, kpi_status, kpi_cube, kpi_pack,
         median_approx, insights_global, insights_by_agency, insights_by_day,
         insights_slow_boroughs, actions_global, action_evidence, actions_by_agency,
-        actions_by_day, report_rows, distinct_values, group_dict, group_keys, row_count,
+        actions_by_day, actions_slow_boroughs, report_rows, distinct_values, group_dict, group_keys, row_count,
         raw_snapshot, processed_snapshot,
     )
 }
