@@ -5,41 +5,41 @@ from datetime import date
 
 from caseflow.operators import kpis
 from caseflow.plans import analysis
-from tests.records import FIELDS, MIXED, SCHEMA_STATUS, SIX
+from tests.records import FIELDS, SCHEMA_STATUS, UNTIDY, WEEK
 
-AS_OF = "2026-01-31"
+AS_OF = "2024-06-20"
 
 
 def test_whole_run(spark):
-    run = analysis.analyse(spark.createDataFrame(SIX, SCHEMA_STATUS), AS_OF)
+    run = analysis.analyse(spark.createDataFrame(WEEK, SCHEMA_STATUS), AS_OF)
     assert run.verdict.first()["is_valid"]
-    assert run.records.count() == 6 and run.snapshot is None
-    assert run.pack.first()["total_requests"] == 6
-    assert "Illegal Parking" in run.insights.first()["signals"]["priority_complaint_types"]
+    assert run.records.count() == 7 and run.snapshot is None
+    assert run.pack.first()["total_requests"] == 7
+    assert "Pothole" in run.insights.first()["signals"]["priority_complaint_types"]
     ids = [r["id"] for r in run.actions.collect()]
     assert ids == sorted(ids) and "REC-002" in ids
 
 
 def test_invalid_table_stops_everything(spark):
-    run = analysis.analyse(spark.createDataFrame(MIXED, SCHEMA_STATUS), AS_OF)
+    run = analysis.analyse(spark.createDataFrame(UNTIDY, SCHEMA_STATUS), AS_OF)
     assert not run.verdict.first()["is_valid"]
     for frame in (run.records, run.pack, run.insights, run.actions):
         assert frame.count() == 0
 
 
 def test_gate_can_be_left_open(spark):
-    run = analysis.analyse(spark.createDataFrame(MIXED, SCHEMA_STATUS), AS_OF, gated=False)
-    assert run.pack.first()["total_requests"] == 4 and run.actions.count() > 0
+    run = analysis.analyse(spark.createDataFrame(UNTIDY, SCHEMA_STATUS), AS_OF, gated=False)
+    assert run.pack.first()["total_requests"] == 5 and run.actions.count() > 0
 
 
 def test_missing_fields_stop_everything(spark):
-    run = analysis.analyse(spark.createDataFrame(SIX, SCHEMA_STATUS).drop("created_date", "agency"), AS_OF)
+    run = analysis.analyse(spark.createDataFrame(WEEK, SCHEMA_STATUS).drop("created_date", "agency"), AS_OF)
     assert run.verdict.first()["errors"] == ["Missing required fields: created_date, agency"]
     assert run.actions.count() == 0
 
 
 def test_snapshot_feeds_the_kpis(spark, tmp_path):
-    df = spark.createDataFrame(SIX, SCHEMA_STATUS)
+    df = spark.createDataFrame(WEEK, SCHEMA_STATUS)
     plain = analysis.analyse(df, AS_OF, limits=kpis.Limits(2, 2, 3))
     saved = analysis.analyse(df, AS_OF, limits=kpis.Limits(2, 2, 3), snapshot_path=str(tmp_path / "run"))
     assert saved.snapshot and list((tmp_path / "run").glob("part-*"))
@@ -48,15 +48,51 @@ def test_snapshot_feeds_the_kpis(spark, tmp_path):
 
 def test_run_over_a_file_with_aliases(spark, tmp_path):
     names = ["uniqueKey", "created_dt", "due_dt", "closed_dt", "agency_name", "complaint", "borough_name", "status"]
-    (tmp_path / "a.json").write_text(json.dumps([dict(zip(names, r)) for r in SIX]))
+    (tmp_path / "a.json").write_text(json.dumps([dict(zip(names, r)) for r in WEEK]))
     run = analysis.analyse_file(spark, str(tmp_path / "a.json"), as_of=AS_OF)
-    assert run.pack.first()["total_requests"] == 6
+    assert run.pack.first()["total_requests"] == 7
     assert set(FIELDS) <= set(run.records.columns)
 
 
 def test_run_over_a_window(spark):
-    df = spark.createDataFrame(SIX, SCHEMA_STATUS)
-    run = analysis.analyse_window(df, start="2026-01-02", end="2026-01-02", as_of=date(2026, 1, 31))
+    df = spark.createDataFrame(WEEK, SCHEMA_STATUS)
+    run = analysis.analyse_window(df, start="2024-05-07", end="2024-05-07", as_of=date(2024, 6, 20))
     assert run.pack.first()["total_requests"] == 2
-    missed = analysis.analyse_window(df, start="2025-01-02", end="2025-01-02", as_of=date(2026, 1, 31), limit=3)
-    assert sorted(r["unique_key"] for r in missed.records.collect()) == ["3", "5", "6"]
+    missed = analysis.analyse_window(df, start="2023-05-07", end="2023-05-07", as_of=date(2024, 6, 20), limit=3)
+    assert sorted(r["unique_key"] for r in missed.records.collect()) == ["a15", "a16", "a17"]
+
+
+def test_window_over_aliased_columns_and_own_formats(spark):
+    rows = [(f"k{i}", f"{i:02d}/05/2024", f"{i + 2:02d}/05/2024", None if i == 4 else f"{i + 3:02d}/05/2024", "PARKS", "Leak", "HARBOUR") for i in range(1, 9)]
+    names = ["uniqueKey", "createdDate", "due_dt", "closed_dt", "agency_name", "complaint", "borough_name"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    run = analysis.analyse_window(df, start="2024-05-03", end="2024-05-06", as_of=date(2024, 6, 20), formats=("dd/MM/yyyy",))
+    assert run.verdict.first()["is_valid"] and "createdDate" in run.verdict.first()["alias_resolution"]
+    pack = run.pack.first()
+    assert (pack["total_requests"], pack["open_requests"], pack["avg_resolution_time"]) == (4, 1, 3.0)
+
+
+def test_all_rows_of_a_window_count(spark):
+    rows = spark.range(30_000).selectExpr(
+        "cast(id AS string) AS unique_key", "'2024-05-06T10:00:00' AS created_date", "'2024-05-07' AS due_date",
+        "'2024-05-08' AS closed_date", "'PARKS' AS agency", "'Leak' AS complaint_type", "'HARBOUR' AS borough",
+    )
+    run = analysis.analyse_window(rows, start="2024-05-06", end="2024-05-06", as_of=date(2024, 6, 20))
+    assert run.pack.first()["total_requests"] == 30_000
+
+
+def test_verdict_and_rows_of_a_limited_window_agree(spark):
+    """Keys repeat; which rows the limit takes is settled by all columns."""
+    rows = [("k", "2024-05-06", "2024-05-08", "bad" if i % 2 else "2024-05-07", f"A{i:02d}", "Leak", "HARBOUR") for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} string" for f in FIELDS)).repartition(7)
+    run = analysis.analyse_window(df, start="2024-05-06", end="2024-05-06", as_of=date(2024, 6, 20), limit=20)
+    assert run.verdict.first()["row_count"] == 20 and run.verdict.first()["is_valid"]
+
+
+def test_snapshot_changes_no_moment(spark, tmp_path):
+    rows = [(*r[:1], "2024-05-06T08:15:00.123456", *r[2:]) for r in WEEK]
+    df = spark.createDataFrame(rows, SCHEMA_STATUS)
+    formats = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",)
+    plain = analysis.analyse(df, AS_OF, formats=formats)
+    saved = analysis.analyse(df, AS_OF, formats=formats, snapshot_path=str(tmp_path / "run"))
+    assert sorted(map(str, saved.records.collect())) == sorted(map(str, plain.records.collect()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseflow import fixed_values as fixed
 from caseflow.functions.times import parse_timestamp
 from caseflow.operators import features, kpis
-from tests.records import MIXED, SCHEMA_STATUS, jan
+from tests.records import SCHEMA_STATUS, UNTIDY, may
 
 TIMES = "unique_key string, created_date string, due_date string, closed_date string"
 
@@ -16,15 +16,16 @@ TIMES = "unique_key string, created_date string, due_date string, closed_date st
 @pytest.mark.parametrize(
     ("created", "due", "closed", "breach"),
     [
-        (jan(1), jan(5), jan(6), 1),
-        (jan(1), jan(5), jan(5), 0),
-        (jan(1), jan(5), jan(4), 0),
-        (None, jan(5), jan(6), None),
-        (jan(1), None, jan(6), None),
-        (jan(1), jan(5), None, None),
-        (jan(5), jan(4), jan(6), None),
-        (jan(1), jan(5), "2025-12-31T00:00:00", None),
-        (jan(1), "nonsense", jan(6), None),
+        (may(13, "09:30:00"), may(14, "09:30:00"), may(14, "09:30:01"), 1),
+        (may(13, "09:30:00"), may(14, "09:30:00"), may(14, "09:30:00"), 0),
+        (may(13, "09:30:00"), may(27), may(13, "09:30:00"), 0),
+        (may(13, "09:30:00"), may(13, "09:30:00"), may(30), 1),
+        (may(13, "09:30:00"), may(13, "09:29:59"), may(14), None),
+        (may(13, "09:30:00"), may(14), may(13, "09:29:59"), None),
+        ("13 May", may(14), may(15), None),
+        (None, may(14, "11:00:00"), may(21), None),
+        (may(13), None, may(21, "05:00:00"), None),
+        (may(13, "22:00:00"), may(14), None, None),
     ],
 )
 def test_sla_breach(spark, created, due, closed, breach):
@@ -33,43 +34,43 @@ def test_sla_breach(spark, created, due, closed, breach):
 
 
 def test_parse_failed_flags(spark):
-    df = spark.createDataFrame([("1", jan(1), "bad", jan(2)), ("2", "bad", jan(2), None)], TIMES)
+    df = spark.createDataFrame([("1", may(3), "later", may(4)), ("2", "?", may(4), None)], TIMES)
     flags = [f"{t}_ts_parse_failed" for t in ("created", "due", "closed")]
     rows = features.add_times(df).orderBy("unique_key").select(*flags).collect()
     assert [tuple(r) for r in rows] == [(0, 1, 0), (1, 0, 0)]
 
 
-def test_mixed_formats(spark):
+def test_all_default_formats(spark):
     rows = (
-        features.add_features(spark.createDataFrame(MIXED, SCHEMA_STATUS))
+        features.add_features(spark.createDataFrame(UNTIDY, SCHEMA_STATUS))
         .orderBy("unique_key")
         .select("sla_breach", "closed_ts_parse_failed", "resolution_time_days", "resolution_completed")
         .collect()
     )
-    assert [tuple(r) for r in rows] == [(0, 0, 1, 1), (1, 0, 3, 1), (None, 0, None, 0), (None, 1, None, 0)]
+    assert [tuple(r) for r in rows] == [(0, 0, 0, 1), (1, 0, 3, 1), (None, 0, None, 0), (None, 1, None, 0), (0, 0, 2, 1)]
 
 
 def test_features_keep_negative_days_and_measures_clamp_them(spark):
-    df = spark.createDataFrame([("1", jan(5), jan(6), jan(2)), ("2", jan(5), jan(6), None)], TIMES)
+    df = spark.createDataFrame([("1", may(17), may(18), may(11)), ("2", may(17), may(18), None)], TIMES)
     done = features.add_features(df)
-    assert [r[0] for r in done.orderBy("unique_key").select("resolution_time_days").collect()] == [-3, None]
-    rows = kpis.measures(done, "2026-01-31").orderBy("unique_key").collect()
+    assert [r[0] for r in done.orderBy("unique_key").select("resolution_time_days").collect()] == [-6, None]
+    rows = kpis.measures(done, "2024-06-20").orderBy("unique_key").collect()
     assert [r["resolution_time_days"] for r in rows] == [0, None]
 
 
 @pytest.mark.parametrize(
     ("as_of", "bucket"),
-    [("2026-01-08", "0-7d"), ("2026-01-09", "8-30d"), ("2026-01-31", "8-30d"),
-     ("2026-02-01", "31-90d"), ("2026-04-01", "31-90d"), ("2026-04-02", "90d+"), ("2025-12-01", "0-7d")],
+    [("2024-05-10", "0-7d"), ("2024-05-11", "8-30d"), ("2024-06-02", "8-30d"),
+     ("2024-06-03", "31-90d"), ("2024-08-01", "31-90d"), ("2024-08-02", "90d+"), ("2024-01-01", "0-7d")],
 )
 def test_age_bucket_borders(spark, as_of, bucket):
-    df = spark.createDataFrame([("1", jan(1), None, None)], TIMES)
+    df = spark.createDataFrame([("1", may(3, "18:00:00"), None, None)], TIMES)
     assert kpis.measures(df, as_of).first()["age_bucket"] == bucket
 
 
 def test_age_unknown_and_closed(spark):
-    df = spark.createDataFrame([("1", "bad", None, None), ("2", jan(1), None, jan(2))], TIMES)
-    rows = kpis.measures(df, "2026-02-01").orderBy("unique_key").collect()
+    df = spark.createDataFrame([("1", "?", None, None), ("2", may(3), None, may(4))], TIMES)
+    rows = kpis.measures(df, "2024-06-20").orderBy("unique_key").collect()
     assert [r["age_bucket"] for r in rows] == ["unknown", None]
 
 
@@ -127,10 +128,10 @@ def test_no_formats_means_the_default_parser(spark):
 
 def test_row_level_steps_work_on_a_stream(spark, tmp_path):
     """They hold no state and run no action, so a streaming frame takes them too."""
-    df = spark.createDataFrame(MIXED, SCHEMA_STATUS)
+    df = spark.createDataFrame(UNTIDY, SCHEMA_STATUS)
     df.write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).json(str(tmp_path / "in"))
-    rows = kpis.measures(features.add_features(stream), "2026-02-01")
+    rows = kpis.measures(features.add_features(stream), "2024-06-20")
     query = (
         rows.writeStream.format("memory").queryName("measured").outputMode("append")
         .option("checkpointLocation", str(tmp_path / "checkpoint"))
@@ -138,3 +139,14 @@ def test_row_level_steps_work_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert spark.table("measured").selectExpr("sum(is_open)").first()[0] == 2
+
+
+def test_typed_dates_are_taken_as_they_are(spark):
+    df = spark.range(1).selectExpr(
+        "'k' AS unique_key", "timestamp_ntz'2024-05-13 01:02:03.5' AS created_date", "date'2024-05-14' AS due_date",
+        "timestamp'2024-05-13 23:00:00.123456' AS closed_date",
+    )
+    r = features.add_features(df).selectExpr("*", "cast(closed_ts AS string) AS c", "cast(created_ts AS string) AS o").first()
+    assert (r["o"], r["c"]) == ("2024-05-13 01:02:03.5", "2024-05-13 23:00:00.123456")
+    assert (r["created_ts_parse_failed"], r["due_ts_parse_failed"], r["closed_ts_parse_failed"]) == (0, 0, 0)
+    assert (r["sla_breach"], r["resolution_time_days"]) == (0, 0)

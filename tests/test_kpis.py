@@ -7,23 +7,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.operators import features, kpis
-from tests.records import MIXED, SCHEMA_STATUS, SIX, jan
+from tests.records import SCHEMA_STATUS, UNTIDY, WEEK, may
 
-AS_OF = "2026-01-31"
+AS_OF = "2024-06-20"
 
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    return kpis.measures(features.add_features(spark.createDataFrame(SIX, SCHEMA_STATUS)), AS_OF).cache()
+    return kpis.measures(features.add_features(spark.createDataFrame(WEEK, SCHEMA_STATUS)), AS_OF).cache()
 
 
 def test_summary(rows):
     s = kpis.summary(rows).first()
-    assert (s["total_requests"], s["open_requests"], s["closed_requests"]) == (6, 2, 4)
-    assert s["open_rate"] == pytest.approx(2 / 6) and s["closed_rate"] == pytest.approx(4 / 6)
-    assert (s["avg_resolution_time"], s["median_resolution_time"], s["p90_resolution_time"]) == (2.25, 1.0, 4.0)
-    assert (s["sla_breach_count"], s["sla_breach_rate"], s["sla_compliance_rate"]) == (2, 0.5, 0.5)
-    assert s["ses_score"] == pytest.approx(0.492307692) and s["ses_band"] == "needs_attention"
+    assert (s["total_requests"], s["open_requests"], s["closed_requests"]) == (7, 2, 5)
+    assert s["open_rate"] == pytest.approx(2 / 7) and s["closed_rate"] == pytest.approx(5 / 7)
+    assert (s["avg_resolution_time"], s["median_resolution_time"], s["p90_resolution_time"]) == (3.6, 2.0, 9.0)
+    assert (s["sla_breach_count"], s["sla_breach_rate"], s["sla_compliance_rate"]) == (2, 0.4, 0.6)
+    assert s["ses_score"] == pytest.approx(0.3 * 5 / 7 + 0.4 * 0.6 + 0.3 / 4.6) and s["ses_band"] == "needs_attention"
 
 
 def test_summary_of_no_rows(rows):
@@ -37,43 +37,43 @@ def test_summary_of_no_rows(rows):
 
 
 def test_malformed_close_counts_as_open(spark):
-    mixed = kpis.measures(features.add_features(spark.createDataFrame(MIXED, SCHEMA_STATUS)), AS_OF)
-    s = kpis.summary(mixed).first()
-    assert (s["total_requests"], s["open_requests"], s["closed_requests"]) == (4, 2, 2)
+    untidy = kpis.measures(features.add_features(spark.createDataFrame(UNTIDY, SCHEMA_STATUS)), AS_OF)
+    s = kpis.summary(untidy).first()
+    assert (s["total_requests"], s["open_requests"], s["closed_requests"]) == (5, 2, 3)
 
 
 def test_top_lists_are_bounded_and_break_ties_by_name(rows):
-    assert [r["complaint_type"] for r in kpis.top_types(rows, 2).collect()] == ["Heat", "Illegal Parking"]
-    assert [r["agency"] for r in kpis.top_agencies(rows, 2).collect()] == ["DOB", "DSNY"]
-    assert [r["borough"] for r in kpis.borough_performance(rows, 2).collect()] == ["BRONX", "BROOKLYN"]
+    assert [r["complaint_type"] for r in kpis.top_types(rows, 2).collect()] == ["Pothole", "Fallen Tree"]
+    assert [r["agency"] for r in kpis.top_agencies(rows, 2).collect()] == ["ROADS", "PARKS"]
+    assert [r["borough"] for r in kpis.borough_performance(rows, 2).collect()] == ["HARBOUR", "NORTH SHORE"]
     assert len(kpis.agency_types(rows, 3).collect()) == 3
-    assert [tuple(r) for r in kpis.status_breakdown(rows).collect()] == [("Closed", 4), ("Open", 2)]
+    assert [tuple(r) for r in kpis.status_breakdown(rows).collect()] == [("Done", 5), ("Waiting", 2)]
 
 
 def test_impact(rows):
     types = {r["complaint_type"]: r for r in kpis.top_types(rows).collect()}
     figures = {t: (r["avg_resolution_time"], r["sla_breach_rate"], round(r["impact_score"], 4)) for t, r in types.items()}
-    assert figures == {"Heat": (1.0, 0.0, 0.0), "Illegal Parking": (4.0, 1.0, 1.3333), "Noise": (2.0, 0.5, 0.3333)}
-    assert all(r["volume_share"] == pytest.approx(1 / 3) for r in types.values())
+    assert figures == {"Fallen Tree": (4.0, 0.5, 0.5714), "Leak": (0.0, 0.0, 0.0), "Pothole": (5.0, 0.5, 1.0714)}
+    assert {t: round(r["volume_share"], 6) for t, r in types.items()} == {"Fallen Tree": 0.285714, "Leak": 0.285714, "Pothole": 0.428571}
     # the ranking sees the largest types only
     ranked = kpis.type_impact(kpis.top_types(rows, 2)).collect()
-    assert [r["complaint_type"] for r in ranked] == ["Illegal Parking", "Heat"]
+    assert [r["complaint_type"] for r in ranked] == ["Pothole", "Fallen Tree"]
 
 
 def test_trend_keeps_the_latest_days_in_order(rows):
     trend = kpis.daily_trend(rows, 2).collect()
-    assert [(str(r["created_day"]), r["volume"], r["open_requests"]) for r in trend] == [("2026-01-02", 2, 1), ("2026-01-03", 2, 1)]
+    assert [(str(r["created_day"]), r["volume"], r["open_requests"]) for r in trend] == [("2024-05-08", 2, 1), ("2024-05-09", 1, 0)]
 
 
 def test_group_without_observed_sla(spark):
-    df = spark.createDataFrame([("1", jan(1), jan(2), None, None, None, None, None)], SCHEMA_STATUS)
+    df = spark.createDataFrame([("1", may(13), may(14), None, None, None, None, None)], SCHEMA_STATUS)
     only = kpis.top_agencies(kpis.measures(features.add_features(df), AS_OF)).first()
     assert (only["agency"], only["sla_breach_rate"], only["sla_compliance_rate"]) == ("Unknown", 0.0, 1.0)
     assert (only["avg_resolution_time"], only["median_resolution_time"]) == (0.0, 0.0)
 
 
 def test_backlog(rows, spark):
-    assert [tuple(r) for r in kpis.backlog_ageing(rows).collect()] == [("8-30d", 2, 28.5)]
+    assert [tuple(r) for r in kpis.backlog_ageing(rows).collect()] == [("31-90d", 2, 43.5)]
     undated = spark.createDataFrame([("1", "bad", None, None, "A", "B", "C", "D")], SCHEMA_STATUS)
     measured = kpis.measures(features.add_features(undated), AS_OF)
     assert [tuple(r) for r in kpis.backlog_ageing(measured).collect()] == [("unknown", 1, 0.0)]
@@ -86,33 +86,33 @@ def test_missing_segment_columns_report_nothing(rows):
     pack = kpis.kpi_pack(kpis.kpi_cube(bare)).first()
     assert pack["top_complaint_types"] == [] and pack["complaint_type_impact_top"] == []
     assert pack["borough_stats"] == [] and pack["status_breakdown"] == []
-    assert [a["agency"] for a in pack["top_agencies"]] == ["DOB", "DSNY", "NYPD"]
+    assert [a["agency"] for a in pack["top_agencies"]] == ["ROADS", "PARKS", "WATER"]
 
 
 def test_backfill(spark):
-    raw = spark.createDataFrame(SIX, SCHEMA_STATUS)
+    raw = spark.createDataFrame(WEEK, SCHEMA_STATUS)
     done = kpis.backfill(raw.drop("closed_date")).first()
     assert done["closed_ts"] is None and done["resolution_time_days"] is None and done["sla_breach"] is None
     full = kpis.backfill(raw).orderBy("unique_key").collect()
-    assert [r["resolution_time_days"] for r in full] == [1, 3, None, 1, 4, None]
+    assert [r["resolution_time_days"] for r in full] == [2, 6, None, 0, 9, None, 1]
     nothing = kpis.summary(kpis.measures(raw.select("agency"), AS_OF)).first()
-    assert (nothing["total_requests"], nothing["open_requests"]) == (6, 6)
+    assert (nothing["total_requests"], nothing["open_requests"]) == (7, 7)
 
 
 def test_sla_is_required(spark):
     with pytest.raises(ValueError, match="sla_breach"):
-        kpis.require_sla(spark.createDataFrame(SIX, SCHEMA_STATUS))
+        kpis.require_sla(spark.createDataFrame(WEEK, SCHEMA_STATUS))
 
 
 def test_pack(rows):
     pack = kpis.kpi_pack(kpis.kpi_cube(rows, kpis.Limits(2, 2, 3))).first().asDict(recursive=True)
-    assert pack["volume"] == {"total_requests": 6, "open_requests": 2, "closed_requests": 4, "open_rate": 2 / 6, "closed_rate": 4 / 6}
-    assert pack["sla"] == {"breach_count": 2, "breach_rate": 0.5, "compliance_rate": 0.5, "observed_count": 4}
-    assert pack["resolution"] == {"avg_resolution_time": 2.25, "median_resolution_time": 1.0, "p90_resolution_time": 4.0}
+    assert pack["volume"] == {"total_requests": 7, "open_requests": 2, "closed_requests": 5, "open_rate": 2 / 7, "closed_rate": 5 / 7}
+    assert pack["sla"] == {"breach_count": 2, "breach_rate": 0.4, "compliance_rate": 0.6, "observed_count": 5}
+    assert pack["resolution"] == {"avg_resolution_time": 3.6, "median_resolution_time": 2.0, "p90_resolution_time": 9.0}
     sizes = [len(pack[n]) for n in ("time_trends", "top_complaint_types", "top_agencies", "borough_performance", "agency_category_performance")]
     assert sizes == [2, 2, 2, 2, 3]
-    assert [str(d["created_day"]) for d in pack["time_trends"]] == ["2026-01-02", "2026-01-03"]
-    assert [t["complaint_type"] for t in pack["complaint_type_impact_top"]] == ["Illegal Parking", "Heat"]
+    assert [str(d["created_day"]) for d in pack["time_trends"]] == ["2024-05-08", "2024-05-09"]
+    assert [t["complaint_type"] for t in pack["complaint_type_impact_top"]] == ["Pothole", "Fallen Tree"]
     assert pack["borough_stats"] == pack["borough_performance"]
 
 
@@ -133,12 +133,12 @@ def many(spark):
         created = chance.randint(1, 28)
         closed = None if chance.random() < 0.3 else min(28, max(1, created + chance.randint(-2, 9)))
         data.append((
-            str(i), jan(created) if chance.random() < 0.95 else "bad", jan(min(28, created + 3)),
-            jan(closed), "HOT" if hot else chance.choice(["A", "B", None]),
+            str(i), may(created) if chance.random() < 0.95 else "bad", may(min(28, created + 3)),
+            may(closed), "HOT" if hot else chance.choice(["A", "B", None]),
             "HOT" if hot else f"T{chance.randint(1, 30)}", chance.choice(["N", "S", None]), chance.choice(["Open", "Closed"]),
         ))
     df = spark.createDataFrame(data, SCHEMA_STATUS).repartition(5)
-    return kpis.measures(features.add_features(df), "2026-02-10").cache()
+    return kpis.measures(features.add_features(df), "2024-06-10").cache()
 
 
 def test_cube_equals_the_single_reports(many):

@@ -1,11 +1,11 @@
 from __future__ import annotations
 
 from caseflow.operators import quality, schema
-from tests.records import FIELDS, MIXED, SCHEMA, SCHEMA_STATUS, jan
+from tests.records import FIELDS, SCHEMA, SCHEMA_STATUS, UNTIDY, may
 
 
 def _rows(n, **changes):
-    row = dict(zip(FIELDS, ("k", jan(1), jan(2), jan(3), "DOB", "Heat", "QUEENS")))
+    row = dict(zip(FIELDS, ("k", may(14), may(16), may(19, "10:00:00"), "ROADS", "Pothole", "HARBOUR")))
     return [tuple({**row, "unique_key": str(i), **changes}.values()) for i in range(n)]
 
 
@@ -84,22 +84,38 @@ def test_alias_priority_and_case():
     assert schema.alias_map(["UNIQUEKEY"]) == {}
 
 
-def test_mixed_fixture_is_invalid(spark):
-    v = _verdict(spark.createDataFrame(MIXED, SCHEMA_STATUS))
+def test_untidy_rows_are_invalid(spark):
+    v = _verdict(spark.createDataFrame(UNTIDY, SCHEMA_STATUS))
     assert v["errors"] == ["Field 'closed_date' contains 1 malformed timestamp value(s)."]
 
 
 def test_gate(spark):
     good = spark.createDataFrame(_rows(3), SCHEMA)
-    bad = spark.createDataFrame(MIXED, SCHEMA_STATUS)
+    bad = spark.createDataFrame(UNTIDY, SCHEMA_STATUS)
     assert quality.gate(good, quality.verdict(good)).count() == 3
     assert quality.gate(bad, quality.verdict(bad)).count() == 0
 
 
 def test_profile(spark):
-    df = spark.createDataFrame(MIXED, SCHEMA_STATUS)
+    df = spark.createDataFrame(UNTIDY, SCHEMA_STATUS)
     rows = {r["column_name"]: r for r in quality.profile(df).collect()}
     assert list(rows) == df.columns
-    assert rows["closed_date"]["null_count"] == 1 and rows["closed_date"]["non_null_coverage"] == 0.75
+    assert rows["closed_date"]["null_count"] == 1 and rows["closed_date"]["non_null_coverage"] == 0.8
     empty = quality.profile(df.limit(0)).first()
     assert (empty["total_rows"], empty["non_null_coverage"]) == (0, None)
+
+
+def test_own_formats(spark):
+    rows = _rows(2, created_date="14/05/2024", due_date="16/05/2024", closed_date="20/05/2024")
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert not _verdict(df)["is_valid"]
+    assert quality.read_verdict(df, ("dd/MM/yyyy",))[1].first()["is_valid"]
+
+
+def test_typed_dates_are_never_malformed(spark):
+    df = spark.createDataFrame(_rows(3), SCHEMA).selectExpr(
+        "unique_key", "timestamp_ntz'2024-05-14 01:02:03.5' AS created_date", "date'2024-05-16' AS due_date",
+        "timestamp'2024-05-19 10:00:00.25' AS closed_date", "agency", "complaint_type", "borough",
+    )
+    v = _verdict(df)
+    assert v["is_valid"] and set(v["malformed_date_counts"].values()) == {0}

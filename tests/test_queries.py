@@ -24,7 +24,7 @@ def test_matches_sql(spark, connection, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-    assert set(ORACLES) == set(QUERIES) - {"median_approx"}
+    assert set(ORACLES) == set(QUERIES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 

@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 from caseflow.functions import report_json
 from caseflow.operators import frames
 from caseflow.sources import records, snapshots, windows
-from tests.records import FIELDS, MIXED, SCHEMA_STATUS
+from tests.records import FIELDS, SCHEMA_STATUS, UNTIDY, may
 
 
 def _objects():
-    return [dict(zip((*FIELDS, "status"), r)) for r in MIXED]
+    return [dict(zip((*FIELDS, "status"), r)) for r in UNTIDY]
 
 
 def test_array_file(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(_objects()))
     df = records.read_records(spark, str(tmp_path / "a.json"))
-    assert df.count() == 4 and set(df.columns) == {*FIELDS, "status"}
+    assert df.count() == 5 and set(df.columns) == {*FIELDS, "status"}
 
 
 def test_line_file(spark, tmp_path):
     (tmp_path / "a.ndjson").write_text("\n".join(json.dumps({**o, "n": 1}) for o in _objects()))
     df = records.read_records(spark, str(tmp_path / "a.ndjson"), "ndjson")
-    assert df.count() == 4
+    assert df.count() == 5
     # values stay text
     assert dict(df.dtypes)["n"] == "string"
 
@@ -37,8 +37,8 @@ def test_unknown_format(spark):
 
 
 def test_snapshot(spark, tmp_path):
-    df = spark.createDataFrame(MIXED, SCHEMA_STATUS).withColumns(
-        {"created_ts": F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"), "never": F.lit(None).cast("int")}
+    df = spark.createDataFrame(UNTIDY, SCHEMA_STATUS).withColumns(
+        {"created_ts": F.lit("2024-05-01 00:00:00.123456").cast("timestamp_ntz"), "zoned": F.lit("2024-05-01 07:08:09.000001").cast("timestamp"), "never": F.lit(None).cast("int")}
     )
     path = snapshots.write_snapshot(df, snapshots.snapshot_path(str(tmp_path), "processed"), partitions=3)
     back = snapshots.read_snapshot(spark, path, df.schema)
@@ -59,7 +59,7 @@ def test_snapshot_name():
 
 
 def test_failed_snapshot_is_a_warning(spark, tmp_path):
-    df = spark.createDataFrame(MIXED, SCHEMA_STATUS)
+    df = spark.createDataFrame(UNTIDY, SCHEMA_STATUS)
     (tmp_path / "taken").mkdir()
     with pytest.warns(UserWarning, match="snapshot not written"):
         assert snapshots.try_write_snapshot(df, str(tmp_path / "taken")) is None
@@ -127,10 +127,96 @@ def test_window_ends_at_the_last_whole_second(spark):
     assert [r["ts"] for r in got] == [datetime(2026, 1, 1, 23, 59, 59)]
 
 
-def test_text_window(spark):
-    df = spark.createDataFrame(MIXED, SCHEMA_STATUS)
-    got = windows.window_scan(df, "created_date", date(2026, 1, 1), date(2026, 1, 1), ties=["unique_key"]).collect()
-    assert [r["unique_key"] for r in got] == ["1", "2"]
+EDGES = [
+    ("a", "2024-05-06"), ("b", "2024-05-06 08:00:00"), ("c", "2024-05-07T23:59:59"), ("d", "2024-05-07 23:59:59"),
+    ("e", "2024-05-08"), ("f", "2024-05-05T23:59:59"), ("g", "2024-05-07"), ("h", "2024-05-0x"), ("i", None),
+]
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp", "timestamp_ntz"])
+def test_window_of_any_type(spark, kind):
+    df = spark.createDataFrame(EDGES, "id string, at string").withColumn("at", F.expr(f"try_cast(at AS {kind})"))
+    got = windows.window_scan(df, "at", date(2024, 5, 6), date(2024, 5, 7)).collect()
+    assert [r["id"] for r in got] == ["a", "b", "g", "c", "d"] or [r["id"] for r in got] == ["a", "b", "g", "d", "c"]
+    days = df.withColumn("at", F.expr("try_cast(at AS date)"))
+    assert {r["id"] for r in windows.window_scan(days, "at", date(2024, 5, 6), date(2024, 5, 7)).collect()} == set("abcdg")
+
+
+def test_text_window_in_own_formats(spark):
+    rows = [("a", "06/05/2024"), ("b", "07/06/2024"), ("c", "07/05/2024"), ("d", "2024-05-06")]
+    df = spark.createDataFrame(rows, "id string, at string")
+    got = windows.window_scan(df, "at", date(2024, 5, 1), date(2024, 5, 31), formats=("dd/MM/yyyy",)).collect()
+    assert [r["id"] for r in got] == ["a", "c"]
+    fraction = spark.createDataFrame([("a", "2024-05-06T23:59:59.000"), ("b", "2024-05-06T23:59:59.500")], "id string, at string")
+    got = windows.window_scan(fraction, "at", date(2024, 5, 6), date(2024, 5, 6), formats=("yyyy-MM-dd'T'HH:mm:ss.SSS",)).collect()
+    assert [r["id"] for r in got] == ["a"]
+
+
+def test_all_rows_in_one_hour(spark):
+    """A third of the table shares one moment: ties go by all columns, and no task gets all rows."""
+    df = spark.range(0, 30_000, numPartitions=12).selectExpr("timestamp_ntz'2024-05-06 00:00:00' AS at", "30000 - id AS id")
+    scan = windows.window_scan(df, "at", date(2024, 5, 6), date(2024, 5, 6), 50)
+    assert [r["id"] for r in scan.collect()] == list(range(1, 51))
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "TakeOrderedAndProject" in plan
+
+
+def _scanned_rows(df) -> int:
+    """Rows that came out of the file scans of a frame that has run."""
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
+            nodes.append(node.plan())
+        if name.startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("events") / "rows")
+    rows = spark.range(80_000).selectExpr(
+        "id", "timestampadd(MINUTE, cast(id AS int), timestamp'2024-01-01 00:00:00') AS at"
+    ).withColumns({"at_ntz": F.col("at").cast("timestamp_ntz"), "day": F.to_date("at")})
+    rows.repartitionByRange(8, "id").sortWithinPartitions("id").write.option("parquet.block.size", 1 << 16).partitionBy("day").parquet(path)
+    flat = path + "-flat"
+    with_micros = "spark.sql.parquet.outputTimestampType"
+    spark.conf.set(with_micros, "TIMESTAMP_MICROS")
+    rows.drop("day").repartitionByRange(8, "id").sortWithinPartitions("id").write.parquet(flat)
+    spark.conf.unset(with_micros)
+    return spark.read.parquet(path), spark.read.parquet(flat)
+
+
+def test_hit_reads_the_window_and_miss_the_table(many_files):
+    _, flat = many_files
+    hit = windows.window_scan_or_latest(flat, "at", date(2024, 1, 3), date(2024, 1, 4))
+    assert len(hit.collect()) == 2 * 1440
+    assert _scanned_rows(hit) < 60_000
+    miss = windows.window_scan_or_latest(flat, "at", date(2030, 1, 3), date(2030, 1, 4), 5)
+    assert [r["id"] for r in miss.collect()] == [79_999, 79_998, 79_997, 79_996, 79_995]
+
+
+def test_day_column_prunes_for_every_type(many_files):
+    days, _ = many_files
+    for column in ("at", "at_ntz"):
+        scan = windows.window_scan(days, column, date(2024, 1, 3), date(2024, 1, 4), day_column="day")
+        assert len(scan.collect()) == 2 * 1440 and _scanned_rows(scan) == 2 * 2 * 1440  # sorting samples first
+        fallback = windows.window_scan_or_latest(days, column, date(2024, 1, 3), date(2024, 1, 4), day_column="day")
+        assert len(fallback.collect()) == 2 * 1440 and _scanned_rows(fallback) <= 8 * 1440
+
+
+def test_rows_by_day(spark, tmp_path):
+    df = spark.createDataFrame([(1, date(2024, 5, 6)), (2, date(2024, 5, 7))], "id int, created_day date")
+    back = snapshots.write_rows(df, str(tmp_path / "rows"), "created_day")
+    assert sorted(back.select(*df.columns).collect()) == sorted(df.collect())
+    assert (tmp_path / "rows" / "created_day=2024-05-07").exists()
 
 
 def test_report_json(spark):
@@ -156,9 +242,9 @@ def test_sorted_set(spark):
 
 
 def test_frames(spark):
-    df = spark.createDataFrame(MIXED, SCHEMA_STATUS)
-    assert sorted(r[0] for r in frames.distinct_values(df, "agency").collect()) == ["DOB", "DSNY", "NYPD"]
+    df = spark.createDataFrame(UNTIDY, SCHEMA_STATUS)
+    assert sorted(r[0] for r in frames.distinct_values(df, "agency").collect()) == ["PARKS", "ROADS", "WATER"]
     grouped = frames.group_by(df, ["agency"], {"unique_key": "count"}).collect()
-    assert sorted(tuple(r) for r in grouped) == [("DOB", 2), ("DSNY", 1), ("NYPD", 1)]
+    assert sorted(tuple(r) for r in grouped) == [("PARKS", 2), ("ROADS", 1), ("WATER", 2)]
     assert frames.group_by(df, ["agency"]).count() == 3
-    assert frames.row_count(df).first()[0] == 4
+    assert frames.row_count(df).first()[0] == 5
