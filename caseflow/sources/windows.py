@@ -179,9 +179,9 @@ def window_scan_or_latest(
     inside = in_window(df, column, start, end, formats, day_column)
     micros = _micros(df, column, formats)
     hit = df.filter(inside).withColumn("_order", micros)
-    empty = df.filter(inside).limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
-    flag = F.broadcast(empty.select(F.lit(0).alias("_flag")))
-    # the key depends on a column, so that this is an equi-join
-    latest = df.withColumn("_order", -micros).withColumn("_flag", F.hash(F.col(column)) * 0)
+    empty = df.filter(inside).limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n < 1")
+    # both keys are always 0, yet no constants, so that this is an equi-join
+    flag = F.broadcast(empty.select(F.col("n").cast("int").alias("_flag")))
+    latest = df.withColumn("_order", -micros).withColumn("_flag", F.pmod(F.hash(F.col(column)), F.lit(1)))
     latest = latest.join(flag, "_flag", "left_semi").drop("_flag")
     return first_rows(hit.unionByName(latest), F.col("_order"), tie_columns(df, ties), limit).drop("_order")
