@@ -34,15 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Small tables are written by at most LEAST_FILES tasks, larger ones by a task per so many rows.
+LEAST_FILES = 8
+ROWS_PER_FILE = 200_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     Cuts the lineage in a way that survives lost executors, lets later passes agree
     on the same rows, and gives Spark the size by which it chooses join strategies.
     The folder is scratch space: files stay until it is emptied after the job.
+    ``rows``, a bound on the row count, keeps a small shuffled table from being
+    written as one file per shuffle partition.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, rows // ROWS_PER_FILE))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,12 +81,17 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def draw(seed: int, *columns: Column) -> Column:
+    """A fixed number in [0, 1) per row, by hash: below p lies a share p of different rows."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / float(1 << 53)
+
+
 def without_rows(df: DataFrame, id_col: str, text_col: str, dropped: DataFrame) -> DataFrame:
     """``df`` without the rows whose id and text key are in ``dropped`` (two columns); nulls match nulls.
 
     The keys are broadcast only if counted and few; otherwise both sides are shuffled.
     """
-    keys = cut(dropped.toDF("__id", "__key").distinct())
+    keys = cut(dropped.toDF("__id", "__key"))
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(F.col(text_col)) == F.col("__key"))

@@ -70,17 +70,18 @@ def possibly_repeated(df: DataFrame, sha: str, cells: DataFrame, pages: int, nam
     return tested.withColumn(name, F.coalesce(first & second, F.lit(False))).drop("__page", "__bits")
 
 
-def _groups(repeated: DataFrame) -> DataFrame:
-    return cut(
-        repeated.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    )
+def _groups(repeated: DataFrame, rows: int) -> DataFrame:
+    groups = repeated.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    return cut(groups, rows)
 
 
-def _tested_keys(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+def _tested_keys(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """The keys with ``maybe``, the filter, its pages, and the number of rows."""
     keys = cut(df.select(F.col(id_col).alias("id"), text_sha256(F.col(text_col)).alias("sha")))
-    pages = filter_pages(keys.count())
-    cells = cut(repeated_cells(keys, pages))
-    return possibly_repeated(keys, "sha", cells, pages, "maybe"), cells, pages
+    rows = keys.count()
+    pages = filter_pages(rows)
+    cells = cut(repeated_cells(keys, pages), rows)
+    return possibly_repeated(keys, "sha", cells, pages, "maybe"), cells, pages, rows
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,8 +91,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a third of all rows sends one row per task; joined back to the rows, a
     large group is split by adaptive execution (both sides come from tables).
     """
-    tested, _, _ = _tested_keys(df, id_col, text_col)
-    groups = _groups(tested.where("maybe"))
+    tested, _, _, rows = _tested_keys(df, id_col, text_col)
+    groups = _groups(tested.where("maybe"), rows)
     shuffled = tested.where("maybe").join(groups, "sha").select("id", "sha", "keep_id", "group_size")
     through = tested.where("not maybe").select(
         "id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
@@ -111,8 +112,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Unique rows pass through without a shuffle; of the others, the row to keep is
     found by joining on hash and id, a key that no two groups share.
     """
-    tested, cells, pages = _tested_keys(df, id_col, text_col)
-    keepers = _groups(tested.where("maybe")).select(
+    tested, cells, pages, n_rows = _tested_keys(df, id_col, text_col)
+    keepers = _groups(tested.where("maybe"), n_rows).select(
         F.col("sha").alias("__keep_sha"), F.col("keep_id").alias("__keep_id")
     )
     rows = df.withColumn("__sha", text_sha256(F.col(text_col)))

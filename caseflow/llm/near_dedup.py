@@ -237,20 +237,21 @@ def _links_of_regions(edges, last, keys, nodes, low) -> Iterator[tuple[np.ndarra
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of the nodes with links (a, b); the smallest node names a component.
+    """(node, component) of the nodes with links (a, b), a table; the smallest node names a component.
 
     Smallest labels spread along links, and labels are replaced by their own labels
     (pointer jumping), so that rounds grow with the logarithm of a chain's length.
     Every round is written; joins on hot nodes are split by adaptive execution.
     """
-    both = cut(links.union(links.select("b", "a")).toDF("node", "other"))
-    labels = cut(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+    both = links.union(links.select("b", "a")).toDF("node", "other")
+    rows = both.count()
+    labels = cut(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), rows)
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other")
         spread = near.select("node", "label").union(labels.select("node", "label"))
-        spread = cut(spread.groupBy("node").agg(F.min("label").alias("label")))
+        spread = spread.groupBy("node").agg(F.min("label").alias("label"))
         onward = spread.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = cut(spread.join(onward, "label").select("node", F.col("next").alias("label")))
+        jumped = cut(spread.join(onward, "label").select("node", F.col("next").alias("label")), rows)
         changed = jumped.join(labels.select("node", F.col("label").alias("old")), "node").where("label <> old")
         if changed.isEmpty():
             return jumped.select("node", F.col("label").alias("component"))
@@ -289,9 +290,10 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
 def confirm(df: DataFrame, sketches: DataFrame, families: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b): within a cell, each linked class with the first of its part."""
     first_ids = sketches.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    wanted = cut(families.join(first_ids, "node"))
-    ids = wanted.select(F.col("id").alias("__id")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
+    members = families.count()
+    wanted = cut(families.join(first_ids, "node"), members)
+    ids = wanted.select(F.col("id").alias("__id"))
+    if members <= BROADCAST_ROWS:
         wanted, ids = F.broadcast(wanted), F.broadcast(ids)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
@@ -310,10 +312,9 @@ def confirm(df: DataFrame, sketches: DataFrame, families: DataFrame, id_col: str
     counts = families.groupBy("component").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = cut(
-        families.join(counts, "component").withColumn("blocks", blocks).select("node", "blocks", block.alias("block"))
-    )
-    if placed.count() <= BROADCAST_ROWS:
+    placed = families.join(counts, "component").withColumn("blocks", blocks)
+    placed = cut(placed.select("node", "blocks", block.alias("block")), members)
+    if members <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
     cells = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -359,13 +360,14 @@ def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``df``: id, text_key, n_shingles, component_id, kept."""
     sketches = cut(sketch(df, id_col, text_col))
     with_set = sketches.where("node is not null")
-    nodes = cut(with_set.dropDuplicates(["node"]).select("node", "signature", "low"))
-    families = components(candidates(nodes))
-    parts = components(confirm(df, sketches, families, id_col, text_col))
+    rows = sketches.count()
+    nodes = cut(with_set.dropDuplicates(["node"]).select("node", "signature", "low"), rows)
+    families = components(cut(candidates(nodes), rows))
+    parts = components(cut(confirm(df, sketches, families, id_col, text_col)))
     least = with_set.groupBy("node").agg(F.min("id").alias("id"))
-    classes = cut(least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    classes = cut(least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), rows)
     names = classes.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = cut(classes.join(names, "component").select(F.col("node").alias("__node"), "component_id"))
+    named = cut(classes.join(names, "component").select(F.col("node").alias("__node"), "component_id"), rows)
     joined = sketches.drop("signature", "low").join(named, F.col("node") == F.col("__node"), "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     kept = F.col("id").eqNullSafe(component)

@@ -155,7 +155,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     counts = cut(text_counts(docs, id_col, text_col).withColumn("held_out", held_out(F.col("id"))))
     marked = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("double").alias("label"))
-    train = cut(counts.where("not held_out").join(marked.where("label is not null"), "id").drop("id", "held_out"))
+    train = counts.where("not held_out").join(marked.where("label is not null"), "id").drop("id", "held_out")
+    train = cut(train, marked.count())
     model = fit(train)
     score = _by_counts(lambda x: np.round(model.scores(x), 9))
     scored = counts.select(F.col("id").alias(id_col), "held_out", score.alias("score"))

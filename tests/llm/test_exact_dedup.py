@@ -61,7 +61,7 @@ def test_no_python_and_only_repeats_shuffle(spark):
     result = exact_dedup.exact_duplicates(docs(spark, ODD))
     assert "Python" not in plan(result) and "Arrow" not in plan(result)
     df = docs(spark, [(i, f"text {i}") for i in range(500)] + [(900, "text 1")])
-    tested, _, _ = exact_dedup._tested_keys(df, "doc_id", "text")
+    tested, _, _, _ = exact_dedup._tested_keys(df, "doc_id", "text")
     assert 2 <= tested.where("maybe").count() <= 20
 
 
