@@ -60,13 +60,27 @@ def _network(source: str, column: str) -> str:
     return f"SELECT rn, rows, b, (l << b) + r AS p FROM ({sql})"
 
 
+#: CTEs ending in ``checked``: doc_id, size and CRC-32 (four bits at a time) of every text.
+CHECKED = """steps AS (
+  SELECT list_transform(range(16), lambda i: list_reduce([i] || range(4), lambda a, k:
+    CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END)) AS step),
+hexed AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h
+  FROM documents),
+halves AS (
+  SELECT doc_id, size, CASE WHEN size = 1 THEN []::BIGINT[] ELSE
+    list_transform(range(len(h)), lambda i: instr('0123456789ABCDEF', h[xor(i, 1) + 1]) - 1) END AS n FROM hexed),
+checked AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce([4294967295::BIGINT] || n,
+    lambda a, b: xor(step[xor(a % 16, b) + 1], a // 16))) AS text_crc32 FROM halves, steps)"""
+
+
 def _sharding() -> str:
     return f"""
-WITH RECURSIVE sized AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, CAST(coalesce(text, '') AS BLOB) AS raw FROM documents),
+WITH RECURSIVE {CHECKED},
 numbered AS (
-  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, size) - 1 AS n0, size,
-         count(*) OVER () AS rows FROM sized),
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS n0, size, text_crc32,
+         count(*) OVER () AS rows FROM checked),
 bits AS (
   SELECT n0::UBIGINT AS rn, rows::UBIGINT AS rows,
          greatest(1, (length(bin(rows - 1)) + 1) // 2)::UBIGINT AS b FROM numbered),
@@ -74,8 +88,8 @@ walk AS (
   {_network('bits', 'rn')}
   UNION ALL
   SELECT rn, rows, b, p FROM ({_network('(SELECT * FROM walk WHERE p >= rows)', 'p')}))
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'rows' AS law, CAST(p % 8 AS INTEGER) AS shard,
-       CAST(p // 8 AS BIGINT) AS slot
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(p % 8 AS INTEGER) AS shard,
+       CAST(p // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM numbered JOIN walk ON n0 = rn WHERE p < walk.rows"""
 
 
@@ -107,6 +121,7 @@ FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN least ON
 
 ORACLES = {
     "op1_license_scan": _license_scan(),
+    "op3_sharding": _sharding(),
     "op5_exact_dedup": EXACT_DEDUP,
     "op9_near_dedup": NEAR_DEDUP,
 }
