@@ -191,6 +191,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = _arrays(batch)
             rows = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows))
             trees, keys, own, low = rows
