@@ -3,7 +3,8 @@
 For every document the log posterior of each language adds up
 
 * the text likelihood: byte trigrams, hashed to ``BUCKETS``, under one distribution
-  per language, tempered because trigrams of one text depend on each other;
+    per language, tempered because trigrams of one text depend on each other; words
+  with digits, @ or = (numbers, addresses, keys) are no language and left out;
 * the declared language (of the markup, or of a column): how often texts that look
   like language l declare what this one declares, counted over all documents;
 * the address suffix: a country suffix that names a known language speaks for it;
@@ -11,8 +12,8 @@ For every document the log posterior of each language adds up
   domain, which are smoothed towards all documents (hierarchical smoothing). The
   counts are grouped aggregations over all documents.
 
-The text model is fitted on a bounded sample of declared documents (``SAMPLE`` per
-language, those with the smallest hashed ids); languages are the declared values
+The text model is fitted on a bounded sample of declared documents (all, or some
+``SAMPLE`` per language drawn by hash if there are more); languages are the declared values
 with at least 1 % of the declared documents, so at most 100. A language ``und``
 (undetermined) spreads its likelihood evenly; it wins on texts without known
 trigrams. Documents whose best language is ``und``, or less likely than
@@ -26,18 +27,22 @@ declared document all are ``und``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import BROADCAST_ROWS, cut, text_key, without_rows
+from caseflow.llm.common import BROADCAST_ROWS, cut, draw, text_key, without_rows
 
 UNKNOWN = "und"
+NO_LANGUAGE = re.compile(r"[0-9@=]")
+NO_LANGUAGE_WORD = re.compile(r"\S*[0-9@=]\S*")
 BUCKETS = 1 << 13
 SAMPLE = 2_000
+SEED = 29
 LEAST_SHARE = 0.01
 TEMPER = 0.2
 MOST_TRIGRAMS = 400
@@ -50,7 +55,9 @@ ACCEPT_FROM = 0.5
 
 
 def buckets(text: str) -> np.ndarray:
-    """The hashed byte trigrams of a text."""
+    """The hashed byte trigrams of a text without its words that hold digits and the like."""
+    if NO_LANGUAGE.search(text):
+        text = NO_LANGUAGE_WORD.sub(" ", text).strip()
     data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     if len(data) < 3:
         data = np.concatenate((data, np.full(3 - len(data), 32, np.uint32))) if len(data) else data
@@ -87,37 +94,41 @@ def suffix_of(host: Column) -> Column:
 # --- text model ----------------------------------------------------------------------
 
 
-def languages_of(rows: DataFrame) -> list[str]:
-    """The declared values with at least LEAST_SHARE of the declared rows: 100 at most."""
+def languages_of(rows: DataFrame) -> dict[str, int]:
+    """Rows of the declared values with at least LEAST_SHARE of the declared rows: 100 values at most."""
     counts = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(r["declared"] for r in counts.where(F.col("n") >= LEAST_SHARE * total).collect() if total)
+    large = counts.where(F.col("n") >= LEAST_SHARE * total).orderBy("declared").collect() if total else []
+    return {r["declared"]: r["n"] for r in large}
 
 
-def fit_text_model(rows: DataFrame, languages: Sequence[str]) -> np.ndarray:
+def fit_text_model(rows: DataFrame, counts: Mapping[str, int]) -> np.ndarray:
     """Log probabilities of the buckets: one row per language, and one for UNKNOWN."""
+    languages = list(counts)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(languages), BUCKETS))
         for batch in batches:
             for language, text in zip(batch["declared"], batch["text"]):
                 total[languages.index(language)] += np.bincount(buckets(text), minlength=BUCKETS)
-        yield pd.DataFrame({"at": range(len(languages)), "part": list(total)})
+        seen = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"at": seen, "part": pd.Series(list(total[seen]), dtype=object)})
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"at": parts["at"][:1], "part": [np.sum(np.stack(parts["part"]), axis=0)]})
 
-    model = np.zeros((len(languages) + 1, BUCKETS))
-    model[-1] = -np.log(BUCKETS)
-    for at, language in enumerate(languages):
-        own = rows.where((F.col("declared") == language) & F.col("text").isNotNull())
-        own = own.select("declared", "text", "id")
-        picked = own.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-        sample = own.join(F.broadcast(picked.distinct()), "id", "left_semi")
-        counts = sample.mapInPandas(partial, "at int, part array<double>").where(F.col("at") == at)
-        summed = counts.groupBy("at").applyInPandas(add, "at int, part array<double>").collect()
-        smooth = 0.5 + (np.array(summed[0]["part"]) if summed else np.zeros(BUCKETS))
-        model[at] = np.log(smooth / smooth.sum())
+    model = np.full((len(languages) + 1, BUCKETS), -np.log(BUCKETS))
+    if languages:
+        drawn = draw(SEED, F.col("id"), F.col("text"))
+        chosen = F.lit(False)
+        for language, rows_of in counts.items():
+            chosen = chosen | ((F.col("declared") == language) & (drawn < SAMPLE / rows_of))
+        sample = rows.where(F.col("text").isNotNull() & chosen).select("declared", "text")
+        parts = sample.mapInPandas(partial, "at int, part array<double>")
+        summed = parts.groupBy("at").applyInPandas(add, "at int, part array<double>").collect()
+        for at, part in summed:
+            smooth = 0.5 + np.array(part)
+            model[at] = np.log(smooth / smooth.sum())
     return model
 
 
@@ -156,13 +167,14 @@ def host_priors(rows: DataFrame, size: int) -> tuple[DataFrame, list[float]]:
     overall = _counts_by(rows, [], size, "counts").first()["counts"]
     shares = [(n + 1.0) / (sum(overall) + size) for n in overall]
     prior_of_all = F.array(*[F.lit(s) for s in shares])
-    hosts = cut(_counts_by(rows.where("host is not null"), ["domain", "host"], size, "counts"))
+    hosts = cut(_counts_by(rows.where("host is not null"), ["domain", "host"], size, "counts"), int(sum(overall)))
     adders = [F.sum(F.col("counts")[i]) for i in range(size)]
     domains = hosts.groupBy("domain").agg(F.array(*adders).alias("of_domain"))
     domains = domains.withColumn("domain_prior", _smoothed(F.col("of_domain"), prior_of_all, DOMAIN_WEIGHT))
     joined = hosts.join(domains, "domain")
+    n_hosts = hosts.count()
     prior = _smoothed(F.col("counts"), F.col("domain_prior"), HOST_WEIGHT)
-    return cut(joined.select(F.col("host").alias("__host"), prior.alias("prior"))), shares
+    return cut(joined.select(F.col("host").alias("__host"), prior.alias("prior")), n_hosts), shares
 
 
 # --- fusion --------------------------------------------------------------------------
@@ -184,13 +196,14 @@ def _judged(
         (none if declared is None else declared).alias("declared"),
         (none if host is None else host).alias("host"),
     )
-    languages = languages_of(rows)
+    counts = languages_of(rows)
+    languages = list(counts)
     names = [*languages, UNKNOWN]
     size = len(names)
     rows = rows.withColumn("domain", F.coalesce(domain_of(F.col("host")), F.lit(""))).withColumn(
         "suffix", suffix_of(F.col("host"))
     )
-    scored = text_evidence(rows, fit_text_model(rows, languages))
+    scored = text_evidence(rows, fit_text_model(rows, counts))
     best = F.array_position("means", F.array_max("means")).cast("int") - 1
     scored = cut(scored.withColumn("looks", F.when(F.col("trigrams") > 0, best).otherwise(size - 1)))
 
