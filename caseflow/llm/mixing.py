@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import SPACES, cut, words
+from caseflow.llm.common import SPACES, cut, draw, words
 
 OTHER = "(other)"
 LEAST_SHARE = 0.005
@@ -138,14 +138,14 @@ def mix(
     schema = "__s string, __l string, __t string, __weight double, __probability double"
     looked_up = F.broadcast(df.sparkSession.createDataFrame(table, schema))
     on = (F.col("__source") == F.col("__s")) & (F.col("__lang") == F.col("__l")) & (F.col("__topic") == F.col("__t"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) / float(1 << 53)
-    mixed = rows.join(looked_up, on, "left").withColumn("__kept", draw < F.col("__probability"))
+    drawn = draw(seed, F.col(id_col), F.col(text_col))
+    mixed = rows.join(looked_up, on, "left").withColumn("__kept", drawn < F.col("__probability"))
     return mixed.select(*df.columns, "__topic", "__tokens", "__weight", "__probability", "__kept")
 
 
 def _named_values(rows: DataFrame, columns: list[str], targets: Mapping) -> tuple[DataFrame, list[list[str]]]:
     """Token sums of all value combinations, and of each margin the values that get cells."""
-    sums = cut(rows.groupBy(*columns).agg(F.sum("__tokens").alias("tokens")))
+    sums = cut(rows.groupBy(*columns).agg(F.sum("__tokens").alias("tokens")), rows.count())
     whole = sums.agg(F.sum("tokens")).first()[0] or 0
     named = []
     for margin, column in zip(MARGINS, columns):
