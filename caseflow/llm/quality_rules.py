@@ -1,7 +1,7 @@
 """Quality rules by gradient-boosted trees over document statistics.
 
-Trees are grown on a bounded sample of labelled rows (``SAMPLE`` rows, those with
-the smallest hashed ids): features are binned at quantiles, and each level's best
+Trees are grown on a bounded sample of labelled rows (all, or some ``SAMPLE`` of them
+drawn by hash if there are more): features are binned at quantiles, and each level's best
 splits come from histograms of the logistic loss's gradients. For the features in
 ``FALLING`` the score may only fall as they rise: splits that would raise it are
 refused, and both sides are bounded by the middle of the split from there on.
@@ -23,11 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import cut
+from caseflow.llm.common import cut, draw
 from caseflow.llm.quality_classifier import held_out
 from caseflow.llm.text_stats import COUNTS, FEATURES, features_of, text_counts
 
 SAMPLE = 20_000
+SEED = 23
 TREES = 40
 LEVELS = 3
 BINS = 32
@@ -144,8 +145,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     counts = cut(text_counts(docs, id_col, text_col))
     marked = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("double").alias("label"))
     train = counts.where(~held_out(F.col("id"))).join(marked.where("label is not null"), "id")
-    sample = train.orderBy(F.xxhash64("id"), "label", *COUNTS).limit(SAMPLE).select("label", *COUNTS).collect()
-    table = np.array(sample, np.float64).reshape(len(sample), 1 + len(COUNTS))
+    share = SAMPLE / max(1, train.count())
+    sample = train.where(draw(SEED, F.col("id"), F.col("n_words")) < share).select("label", *COUNTS).collect()
+    table = np.array(sorted(sample), np.float64).reshape(len(sample), 1 + len(COUNTS))
     forest = grow_forest(features_of(table[:, 1:]), table[:, 0])
 
     @F.pandas_udf("double")
