@@ -114,7 +114,7 @@ def text_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 #: The statistics that models see, in order.
 FEATURES = (
     "symbols_per_word", "dup_line_share", "repeat_share", "bars_per_word", "bangs_per_word", "upper_share",
-    "same_as_last_share", "digit_share", "beyond_ascii_share", "distinct_share", "log_words", "word_length",
+    "same_as_last_share", "digit_share", "beyond_ascii_share", "log_distinct_share", "log_words", "word_length",
     "words_per_line",
 )
 
@@ -136,7 +136,7 @@ def features_of(counts: np.ndarray) -> np.ndarray:
         share(c["n_same_as_last"], c["n_words"]),
         np.minimum(share(c["n_digits"], c["word_chars"]), 1),
         np.minimum(share(c["n_beyond_ascii"], c["word_chars"]), 1),
-        share(c["n_distinct_words"], c["n_words"]),
+        share(np.log1p(c["n_distinct_words"]), np.log1p(c["n_words"])),  # the plain share falls with length
         np.log1p(c["n_words"]),
         np.minimum(share(c["word_chars"], c["n_words"]), 30),
         np.log1p(share(c["n_words"], c["n_lines"])),
