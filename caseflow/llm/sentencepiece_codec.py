@@ -130,7 +130,7 @@ class Codec:
         if self.trim and len(codes) < len(new) and len(codes):
             ends = source[1:][keep][-1:]
         source = source[:-1][keep]
-        if not len(codes):
+        if not len(codes) and (self.trim or not data or not self.prefix):
             return "", ends
         shown = codes.tobytes().decode()
         if self.escape:
@@ -139,7 +139,8 @@ class Codec:
         if self.prefix:
             mark = SPACE if self.escape else " "
             shown = mark + shown
-            source = np.concatenate((np.full(len(mark.encode()), source[0]), source))
+            first = source[:1] if len(source) else [0]
+            source = np.concatenate((np.repeat(first, len(mark.encode())), source))
         return shown, np.concatenate((source, ends))
 
     # --- encoding ---
