@@ -3,7 +3,7 @@
 1. Sketch: every text becomes its set of distinct five-word shingles (64-bit
    hashes), the set's own hash, and a MinHash signature. Texts with equal sets form
    one class; only one member per class goes on.
-2. Forest: each of ``TREES`` trees sorts all classes by its own order of signature
+2. Forest: each of its trees sorts all classes by its own order of signature
    positions. Classes that share the first ``DEPTH`` positions are a region of the
    sorted order. Neighbours in a region are candidates if their whole signatures
    agree well enough. A crowded region is cut at deeper common prefixes, as deep as
@@ -16,9 +16,11 @@
    blocks is covered by a grid of cells, so no pair of a family goes untested.
 5. Components of the confirmed links give the answer.
 
-A pair with similarity s misses every tree with probability (1 - s**4)**16: below
-1e-5 at 0.85. All pairs of a family are tested, so a pair is lost only if no chain
-of candidates joins it either.
+The caller states the least similarity of a link in percent, ``PERCENT`` if not. The
+number of trees and the agreement asked of candidates follow from it: a pair at the
+threshold shares no region with probability (1 - s**4)**trees, below ``LOSS``, and
+agrees too little with a probability below ``LOSS``. All pairs of a family are tested,
+so a pair is lost only if no chain of candidates joins it either.
 
 Defined results: null and wordless texts have no shingles and link with nothing,
 each its own component. Texts of fewer than five words have their word sequence as
@@ -28,7 +30,9 @@ component unless all ids of it are null. Set hashes have 64 bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +43,48 @@ from caseflow.llm.common import BROADCAST_ROWS, cut, text_key, without_rows
 from caseflow.llm.word_arrays import Group, groups, mix, random_numbers
 
 SHINGLE = 5
-PERCENT = 85
-TREES = 16
+PERCENT = 80
+LOSS = 1e-5
 DEPTH = 4
 KEY = 8
-HASHES = TREES * DEPTH
-#: Signature positions, of 64, that candidates must share: 4 standard deviations below 85 %.
-AGREE = 42
 REGION = 512
 OVERLAP = 8
 BLOCK = 1024
 ROWS_PER_TASK = 500_000
 
 _U = np.uint64
-_FACTORS = random_numbers(HASHES, 101)
 _PLACES = random_numbers(SHINGLE, 211)
 
 
+@dataclass(frozen=True)
+class Forest:
+    """A least similarity, and the trees and agreement that find pairs of it."""
+
+    percent: int
+    trees: int
+    agree: int  # signature positions, of all, that candidates must share
+
+    @property
+    def hashes(self) -> int:
+        return self.trees * DEPTH
+
+
+def forest_for(percent: int) -> Forest:
+    """The fewest trees, and the strictest agreement, that each lose under LOSS of the pairs at ``percent``."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"The least similarity is 1 to 100 percent, not {percent}.")
+    share = percent / 100
+    miss = 1 - share**DEPTH
+    trees = max(2, math.ceil(math.log(LOSS) / math.log(miss))) if miss > 0 else 2
+    hashes, agree, below = trees * DEPTH, 0, 0.0
+    while agree < hashes:
+        below += math.comb(hashes, agree) * share**agree * (1 - share) ** (hashes - agree)
+        if below > LOSS:
+            break
+        agree += 1
+    return Forest(percent, trees, agree)
+
+
 # --- shingles and signatures ------------------------------------------------------------
 
 
@@ -83,17 +112,18 @@ def set_hash(values: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """HASHES 32-bit minimum hashes."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def signature(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A 32-bit minimum hash per factor."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(values), 2048):
         part = values[a : a + 2048]
-        least = np.minimum(least, (part[:, None] * _FACTORS[None, :]).min(axis=0))
+        least = np.minimum(least, (part[:, None] * factors[None, :]).min(axis=0))
     return (mix(least) >> _U(32)).astype(np.uint32)
 
 
-def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch(df: DataFrame, id_col: str, text_col: str, hashes: int) -> DataFrame:
     """Per row: id, text_key, n_shingles, node (set hash; null without shingles), signature, low bytes."""
+    factors = random_numbers(hashes, 101)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +131,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for group in groups(batch.column(1)):
                 for values in shingle_sets(group):
                     counts.append(len(values))
-                    own = signature(values) if len(values) else None
+                    own = signature(values, factors) if len(values) else None
                     nodes.append(set_hash(values) if len(values) else None)
                     signatures.append(None if own is None else own.astype(">u4").tobytes())
                     lows.append(None if own is None else own.astype(np.uint8).tobytes())
@@ -157,25 +187,27 @@ def _cuts(keys: np.ndarray, depth: int, low: int, high: int) -> Iterator[tuple[i
         yield start, high
 
 
-def _close(low: np.ndarray) -> np.ndarray:
-    agree = np.zeros((len(low), len(low)), np.uint8)
+def _close(low: np.ndarray, least: int) -> np.ndarray:
+    agree = np.zeros((len(low), len(low)), np.uint16)
     for column in low.T:
         agree += column[:, None] == column[None, :]
-    return agree >= AGREE
+    return agree >= least
 
 
-def _region_links(keys: np.ndarray, nodes: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _region_links(
+    keys: np.ndarray, nodes: np.ndarray, low: np.ndarray, least: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in _cuts(keys, DEPTH, 0, len(keys)):
         a = max(0, a - OVERLAP) if len(keys) > REGION else a
-        part = _linked_parts(_close(low[a:b]))
+        part = _linked_parts(_close(low[a:b], least))
         moved = np.flatnonzero(part != np.arange(b - a))
         if len(moved):
             yield nodes[a:b][part[moved]], nodes[a:b][moved]
 
 
-def _pair_links(nodes, low, firsts):
+def _pair_links(nodes, low, firsts, least):
     """Links of the regions of two rows, which are most, all at once."""
-    agree = (low[firsts] == low[firsts + 1]).sum(axis=1) >= AGREE
+    agree = (low[firsts] == low[firsts + 1]).sum(axis=1) >= least
     return nodes[firsts[agree]], nodes[firsts[agree] + 1]
 
 
@@ -185,8 +217,9 @@ def _batch_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
     """Distinct candidate links (a, b) between nodes."""
+    least = forest.agree
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -199,17 +232,17 @@ def candidates(nodes: DataFrame) -> DataFrame:
             same = (trees[1:] == trees[:-1]) & (keys[1:, :DEPTH] == keys[:-1, :DEPTH]).all(axis=1)
             edges = np.concatenate(([0], np.flatnonzero(~same) + 1))
             last = edges[-1] if len(own) - edges[-1] < 16 * REGION else len(own) - OVERLAP
-            yield _batch_of(list(_links_of_regions(edges[edges < last], last, keys, own, low)))
+            yield _batch_of(list(_links_of_regions(edges[edges < last], last, keys, own, low, least)))
             held = tuple(x[last:] for x in rows)
         if held is not None and len(held[2]):
             _, keys, own, low = held
-            yield _batch_of(list(_links_of_regions(np.zeros(1, np.int64), len(own), keys, own, low)))
+            yield _batch_of(list(_links_of_regions(np.zeros(1, np.int64), len(own), keys, own, low, least)))
 
     doubled = F.concat("signature", "signature")
     rows = nodes.select(
-        F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "low", doubled.alias("doubled")
+        F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"), "node", "low", doubled.alias("doubled")
     ).select("tree", F.expr(f"substring(doubled, tree * {4 * DEPTH} + 1, {4 * KEY})").alias("key"), "node", "low")
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * TREES // ROWS_PER_TASK)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * forest.trees // ROWS_PER_TASK)
     ranged = rows.repartitionByRange(tasks, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     return ranged.mapInArrow(links, "a long, b long").distinct()
 
@@ -227,12 +260,12 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     )
 
 
-def _links_of_regions(edges, last, keys, nodes, low) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _links_of_regions(edges, last, keys, nodes, low, least) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links of the regions that begin at ``edges``; the last one ends at ``last``."""
     sizes = np.diff(np.append(edges, last))
-    yield _pair_links(nodes, low, edges[sizes == 2])
+    yield _pair_links(nodes, low, edges[sizes == 2], least)
     for a, size in zip(edges[sizes > 2], sizes[sizes > 2]):
-        yield from _region_links(keys[a : a + size], nodes[a : a + size], low[a : a + size])
+        yield from _region_links(keys[a : a + size], nodes[a : a + size], low[a : a + size], least)
 
 
 # --- components -------------------------------------------------------------------------
@@ -282,14 +315,16 @@ def intersection_sizes(sets: list[np.ndarray]) -> np.ndarray:
     return sizes.astype(np.int64)
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs of sets are similar enough."""
     sizes = np.array([len(s) for s in sets])
     common = intersection_sizes(sets)
-    return 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
-def confirm(df: DataFrame, sketches: DataFrame, families: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirm(
+    df: DataFrame, sketches: DataFrame, families: DataFrame, id_col: str, text_col: str, percent: int
+) -> DataFrame:
     """Confirmed links (a, b): within a cell, each linked class with the first of its part."""
     first_ids = sketches.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     members = families.count()
@@ -335,21 +370,21 @@ def confirm(df: DataFrame, sketches: DataFrame, families: DataFrame, id_col: str
             out = []
             for *own, node, values in zip(*columns):
                 if own != key:
-                    out.append(_cell_links(nodes, sets))
+                    out.append(_cell_links(nodes, sets, percent))
                     key, nodes, sets = own, [], []
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
                     sets.append(np.frombuffer(values, np.uint64))
             yield _batch_of(out)
-        yield _batch_of([_cell_links(nodes, sets)])
+        yield _batch_of([_cell_links(nodes, sets, percent)])
 
     return dealt.mapInArrow(links, "a long, b long")
 
 
-def _cell_links(nodes: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _cell_links(nodes: list[int], sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     if len(nodes) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    part = _linked_parts(linked(sets))
+    part = _linked_parts(linked(sets, percent))
     moved = np.flatnonzero(part != np.arange(len(part)))
     nodes = np.array(nodes, np.int64)
     return nodes[part[moved]], nodes[moved]
@@ -358,14 +393,15 @@ def _cell_links(nodes: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, n
 # --- whole runs -------------------------------------------------------------------------
 
 
-def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _judged(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """One row per row of ``df``: id, text_key, n_shingles, component_id, kept."""
-    sketches = cut(sketch(df, id_col, text_col))
+    forest = forest_for(percent)
+    sketches = cut(sketch(df, id_col, text_col, forest.hashes))
     with_set = sketches.where("node is not null")
     rows = sketches.count()
     nodes = cut(with_set.dropDuplicates(["node"]).select("node", "signature", "low"), rows)
-    families = components(cut(candidates(nodes), rows))
-    parts = components(cut(confirm(df, sketches, families, id_col, text_col)))
+    families = components(cut(candidates(nodes, forest), rows))
+    parts = components(cut(confirm(df, sketches, families, id_col, text_col, percent)))
     least = with_set.groupBy("node").agg(F.min("id").alias("id"))
     classes = cut(least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), rows)
     names = classes.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -376,12 +412,14 @@ def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return joined.select("id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id (smallest id), kept."""
-    return _judged(df, id_col, text_col).drop("text_key").withColumnRenamed("id", id_col)
+    return _judged(df, id_col, text_col, percent).drop("text_key").withColumnRenamed("id", id_col)
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay: of each component, the one with the smallest id."""
-    dropped = _judged(df, id_col, text_col).where("not kept")
+    dropped = _judged(df, id_col, text_col, percent).where("not kept")
     return without_rows(df, id_col, text_col, dropped.select("id", "text_key"))

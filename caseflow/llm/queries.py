@@ -21,6 +21,8 @@ from caseflow.llm.common import table
 
 SHARDS = 8
 TOKENIZER = "piece_bpe_32k.model"
+#: Least similarity of the near-dedup query and its SQL, and of the pipeline's stage and its test.
+NEAR_PERCENT = 85
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -85,7 +87,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=NEAR_PERCENT)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caseflow.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
 from caseflow.llm.common import cut, table
-from caseflow.llm.queries import tokenizer_path
+from caseflow.llm.queries import NEAR_PERCENT, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, the document with the smallest id."""
-    return near_dedup.deduplicate(docs)
+    """Of near duplicates (similarity NEAR_PERCENT or more), the document with the smallest id."""
+    return near_dedup.deduplicate(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,3 +117,34 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5, 6), (7, 5)]
     found = near.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.component for r in found} == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1300)}}
+
+
+def halves_that_share(percent, seed):
+    """Two texts whose shingle sets have the similarity ``percent``."""
+    rng = random.Random(seed)
+    words = [f"v{rng.random()}" for _ in range(400)]
+    other = list(words)
+    at = 0
+    while True:
+        both, one = shingles(" ".join(words)), shingles(" ".join(other))
+        if 100 * len(both & one) < (percent + 1) * len(both | one):
+            return " ".join(words), " ".join(other)
+        other[-1 - at] = f"u{rng.random()}"
+        at += 1
+
+
+def test_threshold_is_a_parameter(spark):
+    pairs = [halves_that_share(82, seed) for seed in range(20)]
+    rows = [(2 * i + k, text) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    df = docs(spark, rows, clash=False)
+    assert near.near_duplicates(df).where("kept").count() == 20
+    assert near.near_duplicates(df, percent=85).where("kept").count() == 40
+    assert near.deduplicate(df).count() == 20 and near.deduplicate(df, percent=85).count() == 40
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_forest_loses_few_pairs_at_the_threshold(percent):
+    forest, share = near.forest_for(percent), percent / 100
+    assert (1 - share**near.DEPTH) ** forest.trees <= near.LOSS
+    drawn = np.random.default_rng(2).binomial(forest.hashes, share, 1_000_000)
+    assert (drawn < forest.agree).mean() < 5 * near.LOSS
