@@ -3,8 +3,9 @@
 For every document the log posterior of each language adds up
 
 * the text likelihood: byte trigrams, hashed to ``BUCKETS``, under one distribution
-    per language, tempered because trigrams of one text depend on each other; words
-  with digits, @ or = (numbers, addresses, keys) are no language and left out;
+  per language, tempered because trigrams of one text depend on each other; numbers,
+  addresses and keys (runs of ASCII characters with a digit, @ or =) are no language
+  and left out, but never the letters beyond ASCII beside them;
 * the declared language (of the markup, or of a column): how often texts that look
   like language l declare what this one declares, counted over all documents;
 * the address suffix: a country suffix that names a known language speaks for it;
@@ -39,7 +40,10 @@ from caseflow.llm.common import BROADCAST_ROWS, cut, draw, text_key, without_row
 
 UNKNOWN = "und"
 NO_LANGUAGE = re.compile(r"[0-9@=]")
-NO_LANGUAGE_WORD = re.compile(r"\S*[0-9@=]\S*")
+#: Runs within a word: of ASCII characters, or of others.
+RUNS = re.compile(r"[\x00-\x7f]+|[^\x00-\x7f]+")
+#: What joins the words of a text that has no white space, outside of addresses.
+JOINTS = re.compile(r"[,;|<>()\[\]{}\"]+")
 BUCKETS = 1 << 13
 SAMPLE = 2_000
 SEED = 29
@@ -54,10 +58,28 @@ UNKNOWN_PRIOR = 0.001
 ACCEPT_FROM = 0.5
 
 
+def _language_of_word(word: str) -> str:
+    """A word without its numbers, addresses and keys."""
+    kept = []
+    for run in RUNS.findall(word):
+        if not NO_LANGUAGE.search(run):
+            kept.append(run)
+        elif "://" not in run:
+            kept.append(" ".join(p for p in JOINTS.split(run) if p and not NO_LANGUAGE.search(p)))
+    return "".join(kept)
+
+
+def language_of(text: str) -> str:
+    """A text without its numbers, addresses and keys, in time linear in its length."""
+    if not NO_LANGUAGE.search(text):
+        return text
+    words = (_language_of_word(w) if NO_LANGUAGE.search(w) else w for w in text.split())
+    return " ".join(w for w in words if w)
+
+
 def buckets(text: str) -> np.ndarray:
-    """The hashed byte trigrams of a text without its words that hold digits and the like."""
-    if NO_LANGUAGE.search(text):
-        text = NO_LANGUAGE_WORD.sub(" ", text).strip()
+    """The hashed byte trigrams of a text without its numbers, addresses and keys."""
+    text = language_of(text)
     data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     if len(data) < 3:
         data = np.concatenate((data, np.full(3 - len(data), 32, np.uint32))) if len(data) else data

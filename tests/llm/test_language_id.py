@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -83,3 +85,23 @@ def test_addresses(spark):
     assert [tuple(r) for r in found] == [
         ("sub.example.de", "example.de", "de"), ("x", "x", None), (None, None, None), (None, None, None),
     ]
+
+
+def test_numbers_leave_the_letters_beside_them():
+    assert lid.language_of("2020年に東京で会議が3回開かれた。") == "年に東京で会議が回開かれた。"
+    assert lid.language_of("ab1 see http://x.org/?q=1 or me@x.org k=v now") == "see or now"
+    assert lid.language_of("one,two,2020,three") == "one two three"
+    assert lid.language_of("plain  words") == "plain  words" and lid.language_of("12 a1") == ""
+
+
+def test_long_runs_take_linear_time():
+    start = time.perf_counter()
+    assert len(lid.buckets("a" * 400_000 + " 1")) == 399_998
+    assert time.perf_counter() - start < 5
+
+
+def test_scripts_without_spaces_are_told(spark):
+    texts = [(i, f"{2000 + i}年に東京で大きな会議が開かれ多くの人が集まった。", "ja", "h") for i in range(60)]
+    texts += [(100 + i, f"in {2000 + i} the people of the town met in the house", "en", "h") for i in range(60)]
+    result = lid.identify(docs(spark, texts, KIND), declared=F.col("lang"), host=F.col("source"))
+    assert {(r.doc_id < 100, r.language, r.kept) for r in result.collect()} == {(True, "ja", True), (False, "en", True)}
