@@ -15,15 +15,20 @@ For every document the log posterior of each language adds up
 
 The text model is fitted on a bounded sample of declared documents (all, or some
 ``SAMPLE`` per language drawn by hash if there are more); languages are the declared values
-with at least 1 % of the declared documents, so at most 100. A language ``und``
-(undetermined) spreads its likelihood evenly; it wins on texts without known
-trigrams. Documents whose best language is ``und``, or less likely than
+of at least ``LEAST_TEXTS`` texts, the ``MOST_MODELS`` most frequent if there are more. A
+language ``und`` (undetermined) spreads its likelihood evenly; it wins on texts without
+known trigrams. Documents whose best language is ``und``, or less likely than
 ``ACCEPT_FROM``, are rejected.
 
+Declared values of fewer than ``WELL_FITTED`` texts, or beyond the models, are rare: too
+little is known of their texts to set them against a related language. A document that
+declares one can also be of that language, for which its text speaks neither way: the
+declared value and the host's prior (its share of rare declarations) decide.
+
 Defined results: null and empty texts have no likelihood, and are always ``und``
 and rejected. Null declared languages, hosts or suffixes add nothing (a null host
 has the prior of all documents). Repeated rows are judged alike. Without any
-declared document all are ``und``.
+declared document all are ``und``. A declared ``und`` or empty value counts as null.
 """
 
 from __future__ import annotations
@@ -47,7 +52,11 @@ JOINTS = re.compile(r"[,;|<>()\[\]{}\"]+")
 BUCKETS = 1 << 13
 SAMPLE = 2_000
 SEED = 29
-LEAST_SHARE = 0.01
+LEAST_TEXTS = 3
+WELL_FITTED = 20
+MOST_MODELS = 300
+#: How much likelier a wrong declaration names a common language than a rare one.
+RARE_SLIP = 0.1
 TEMPER = 0.2
 MOST_TRIGRAMS = 400
 HOST_WEIGHT = 20.0
@@ -117,11 +126,10 @@ def suffix_of(host: Column) -> Column:
 
 
 def languages_of(rows: DataFrame) -> dict[str, int]:
-    """Rows of the declared values with at least LEAST_SHARE of the declared rows: 100 values at most."""
-    counts = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    large = counts.where(F.col("n") >= LEAST_SHARE * total).orderBy("declared").collect() if total else []
-    return {r["declared"]: r["n"] for r in large}
+    """Texts of the declared values that get a model."""
+    counts = rows.where("declared is not null and text <> ''").groupBy("declared").agg(F.count("*").alias("n"))
+    fitted = counts.where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "declared").limit(MOST_MODELS).collect()
+    return {r["declared"]: r["n"] for r in sorted(fitted)}
 
 
 def fit_text_model(rows: DataFrame, counts: Mapping[str, int]) -> np.ndarray:
@@ -142,9 +150,8 @@ def fit_text_model(rows: DataFrame, counts: Mapping[str, int]) -> np.ndarray:
     model = np.full((len(languages) + 1, BUCKETS), -np.log(BUCKETS))
     if languages:
         drawn = draw(SEED, F.col("id"), F.col("text"))
-        chosen = F.lit(False)
-        for language, rows_of in counts.items():
-            chosen = chosen | ((F.col("declared") == language) & (drawn < SAMPLE / rows_of))
+        shares = F.create_map(*[F.lit(x) for language, n in counts.items() for x in (language, SAMPLE / n)])
+        chosen = drawn < F.try_element_at(shares, F.col("declared"))
         sample = rows.where(F.col("text").isNotNull() & chosen).select("declared", "text")
         parts = sample.mapInPandas(partial, "at int, part array<double>")
         summed = parts.groupBy("at").applyInPandas(add, "at int, part array<double>").collect()
@@ -211,31 +218,37 @@ def _judged(
 ) -> DataFrame:
     """Per row of ``df``: id, text_key, language, probability, text_language, kept."""
     none = F.lit(None).cast("string")
+    declared = none if declared is None else F.when(~declared.isin("", UNKNOWN), declared)
     rows = df.select(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
         text_key(F.col(text_col)).alias("text_key"),
-        (none if declared is None else declared).alias("declared"),
+        declared.alias("declared"),
         (none if host is None else host).alias("host"),
     )
     counts = languages_of(rows)
     languages = list(counts)
     names = [*languages, UNKNOWN]
     size = len(names)
+    known = [n for n in languages if counts[n] >= WELL_FITTED]
     rows = rows.withColumn("domain", F.coalesce(domain_of(F.col("host")), F.lit(""))).withColumn(
         "suffix", suffix_of(F.col("host"))
     )
     scored = text_evidence(rows, fit_text_model(rows, counts))
     best = F.array_position("means", F.array_max("means")).cast("int") - 1
-    scored = cut(scored.withColumn("looks", F.when(F.col("trigrams") > 0, best).otherwise(size - 1)))
+    scored = scored.withColumn("text_looks", F.when(F.col("trigrams") > 0, best).otherwise(size - 1))
+    rare = F.col("declared").isNotNull() & ~F.col("declared").isin(known) & (F.col("trigrams") > 0)
+    scored = scored.withColumn("looks", F.when(rare, size).otherwise(F.col("text_looks")))
+    scored = cut(scored)
 
-    priors, prior_of_all = host_priors(scored, size)
-    confusion = scored.where(F.col("declared").isin(languages)).groupBy("looks", "declared").agg(F.count("*").alias("n"))
+    priors, prior_of_all = host_priors(scored, size + 1)
+    confusion = scored.where(F.col("declared").isin(known) & (F.col("looks") < size)).groupBy("looks", "declared").agg(F.count("*").alias("n"))
     seen = np.zeros((size, len(languages)))
     for r in confusion.collect():
         seen[r["looks"], languages.index(r["declared"])] = r["n"]
     even = 1 / max(1, len(languages))
     declares = np.log((seen + DECLARED_WEIGHT * even) / (seen.sum(axis=1, keepdims=True) + DECLARED_WEIGHT))
+    slips = RARE_SLIP * DECLARED_WEIGHT * even / (seen.sum(axis=1) + DECLARED_WEIGHT)
     says_suffix = np.log(np.full((size, len(languages)), (1 - SUFFIX_TRUST) * even))
     says_suffix[np.arange(len(languages)), np.arange(len(languages))] = np.log(SUFFIX_TRUST + (1 - SUFFIX_TRUST) * even)
 
@@ -246,29 +259,34 @@ def _judged(
 
     @F.pandas_udf("language string, probability double")
     def fuse(
-        trigrams: pd.Series, means: pd.Series, declared: pd.Series, suffix: pd.Series, prior: pd.Series
+        trigrams: pd.Series, means: pd.Series, declared: pd.Series, suffix: pd.Series, prior: pd.Series, looks: pd.Series
     ) -> pd.DataFrame:
         weight = TEMPER * np.minimum(trigrams.to_numpy(), MOST_TRIGRAMS)
-        log = np.stack(means) * weight[:, None]
+        text = np.stack(means) * weight[:, None]
         prior = np.stack(prior)
-        prior[:, -1] = np.minimum(prior[:, -1], UNKNOWN_PRIOR)
-        log = log + np.log(prior)
-        for said, table in ((declared, declares), (suffix, says_suffix)):
+        prior[:, size - 1] = np.minimum(prior[:, size - 1], UNKNOWN_PRIOR)
+        log = text + np.log(prior[:, :size])
+        rare = looks.to_numpy() == size
+        for said, table in ((declared.mask(rare), declares), (suffix, says_suffix)):
             at = pd.Categorical(said, categories=languages).codes
-            known = at >= 0
-            log[known] += table[:, at[known]].T
-        log[trigrams.to_numpy() == 0] = np.where(np.arange(size) == size - 1, 0.0, -50.0)
+            spoken = at >= 0
+            log[spoken] += table[:, at[spoken]].T
+        log[rare] += np.log(slips)
+        own = np.where(rare, text.max(axis=1) + np.log(prior[:, size]), -np.inf)
+        log = np.column_stack((log, own))
+        log[trigrams.to_numpy() == 0] = np.where(np.arange(size + 1) == size - 1, 0.0, -50.0)
         odds = np.exp(log - log.max(axis=1, keepdims=True))
         odds /= odds.sum(axis=1, keepdims=True)
         pick = odds.argmax(axis=1)
-        return pd.DataFrame({"language": np.array(names, object)[pick], "probability": np.round(odds.max(axis=1), 9)})
+        language = np.where(pick == size, declared.to_numpy(object), np.array([*names, None], object)[pick])
+        return pd.DataFrame({"language": language, "probability": np.round(odds.max(axis=1), 9)})
 
     named = F.array(*[F.lit(n) for n in names])
     fused = joined.select(
         "id",
         "text_key",
-        fuse("trigrams", "means", "declared", "suffix", "prior").alias("fused"),
-        named[F.col("looks")].alias("text_language"),
+        fuse("trigrams", "means", "declared", "suffix", "prior", "looks").alias("fused"),
+        named[F.col("text_looks")].alias("text_language"),
     )
     kept = (F.col("fused.language") != UNKNOWN) & (F.col("fused.probability") >= ACCEPT_FROM)
     return fused.select("id", "text_key", "fused.language", "fused.probability", "text_language", kept.alias("kept"))

@@ -105,3 +105,15 @@ def test_scripts_without_spaces_are_told(spark):
     texts += [(100 + i, f"in {2000 + i} the people of the town met in the house", "en", "h") for i in range(60)]
     result = lid.identify(docs(spark, texts, KIND), declared=F.col("lang"), host=F.col("source"))
     assert {(r.doc_id < 100, r.language, r.kept) for r in result.collect()} == {(True, "ja", True), (False, "en", True)}
+
+
+def test_rare_languages_keep_their_documents(spark):
+    texts = [(i, f"the people of the town number {i} met in the old house " * 3, "en", f"h{i % 3}") for i in range(3000)]
+    texts += [(5000 + i, "люди города собрались в старом доме у реки " * 3, "ru", "h1") for i in range(25)]
+    texts += [(6000 + i, "οι άνθρωποι της πόλης ήρθαν στο παλιό σπίτι " * 3, "el", "h2") for i in range(8)]
+    texts += [(7000, "the folk o the toun met in the auld hoose " * 3, "sco", "h0"), (7001, "คนในเมืองมาพบกันที่บ้านเก่า" * 3, "th", "h0")]
+    texts += [(7002, "the people met in the house " * 3, "und", "h0"), (7003, "the people met in the house " * 3, None, None)]
+    result = lid.identify(docs(spark, texts, KIND), declared=F.col("lang"), host=F.col("source"))
+    found = {r.doc_id: (r.language, r.kept) for r in result.collect()}
+    want = {r[0]: (r[2] if r[2] not in (None, "und") else "en", True) for r in texts}
+    assert found == want
