@@ -6,10 +6,12 @@ language and topic meet their targets. Cell weights become probabilities by whic
 documents are sampled: calibrated so that the expected tokens meet the budget,
 with probabilities capped at 1 and the excess spread over the other cells.
 
-Only named values (those with at least ``LEAST_SHARE`` of the tokens, and all values
-with a stated target) have cells of their own; all others share the value
-``OTHER``. That bounds every margin at 1 / LEAST_SHARE values, and with it the cells
-that the driver rakes and the tasks look up, whatever the number of sources.
+Every value of every margin is raked, however rare. Up to ``DRIVER_CELLS`` cells,
+counted, are raked as arrays on the driver. More stay Spark tables: every step of a
+round is a grouped sum over the cells and a join of the margin's factors, and only
+single numbers (the largest deviation, the scale of the calibration) reach the driver.
+Both ways follow the same steps. Probabilities are joined back by cell; the cells are
+broadcast only if counted and at most ``BROADCAST_ROWS``.
 
 A document's draw is a hash of seed, id and text: the sample does not depend on
 partitions, and grows with the budget without losing anyone.
@@ -28,10 +30,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import SPACES, cut, draw, words
+from caseflow.llm.common import BROADCAST_ROWS, SPACES, cut, draw, words
 
 OTHER = "(other)"
-LEAST_SHARE = 0.005
+DRIVER_CELLS = 100_000
 FLATTEN = 0.7
 BUDGET = 0.9
 SEED = 17
@@ -66,15 +68,20 @@ def text_topic(text: Column) -> Column:
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
     """Weights with the given shares on every axis, as close to ``tokens`` as possible."""
+    places = np.indices(tokens.shape).reshape(tokens.ndim, -1)
+    return rake_cells(tokens.ravel(), list(places), targets).reshape(tokens.shape)
+
+
+def rake_cells(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
+    """``rake`` for listed cells; ``places`` has the cells' values on each axis."""
     fitted = tokens / tokens.sum()
     for _ in range(ROUNDS):
         off = 0.0
-        for axis, target in enumerate(targets):
-            others = tuple(a for a in range(fitted.ndim) if a != axis)
-            margin = fitted.sum(axis=others)
+        for place, target in zip(places, targets):
+            margin = np.bincount(place, fitted, len(target))
             ratio = np.divide(target, margin, out=np.zeros_like(target), where=margin > 0)
             off = max(off, float(np.abs(margin - target).max()))
-            fitted = fitted * ratio.reshape([-1 if a == axis else 1 for a in range(fitted.ndim)])
+            fitted = fitted * ratio[place]
         if off < TOLERANCE:
             break
     return fitted / fitted.sum()
@@ -129,50 +136,93 @@ def mix(
         }
     )
     columns = [f"__{m}" for m in MARGINS]
-    sums, values = _named_values(rows, columns, targets)
-    for column, named in zip(columns, values):
-        cell_value = F.when(F.col(column).isin(named), F.col(column)).otherwise(F.lit(OTHER))
-        rows, sums = rows.withColumn(column, cell_value), sums.withColumn(column, cell_value)
-    cells = sums.groupBy(*columns).agg(F.sum("tokens").cast("double").alias("tokens")).collect()
-    table = _probabilities(cells, targets, budget)
-    schema = "__s string, __l string, __t string, __weight double, __probability double"
-    looked_up = F.broadcast(df.sparkSession.createDataFrame(table, schema))
+    sums = rows.groupBy(*columns).agg(F.sum("__tokens").cast("double").alias("tokens"))
+    cells = cut(sums.toDF("__s", "__l", "__t", "tokens"), rows.count())
+    n_cells = cells.count()
+    if n_cells <= DRIVER_CELLS:
+        schema = "__s string, __l string, __t string, __weight double, __probability double"
+        looked_up = df.sparkSession.createDataFrame(_probabilities(cells.collect(), targets, budget), schema)
+    else:
+        looked_up = _calibrated_table(_raked_table(cells, targets, n_cells), budget)
+    if n_cells <= BROADCAST_ROWS:
+        looked_up = F.broadcast(looked_up)
     on = (F.col("__source") == F.col("__s")) & (F.col("__lang") == F.col("__l")) & (F.col("__topic") == F.col("__t"))
     drawn = draw(seed, F.col(id_col), F.col(text_col))
     mixed = rows.join(looked_up, on, "left").withColumn("__kept", drawn < F.col("__probability"))
     return mixed.select(*df.columns, "__topic", "__tokens", "__weight", "__probability", "__kept")
 
 
-def _named_values(rows: DataFrame, columns: list[str], targets: Mapping) -> tuple[DataFrame, list[list[str]]]:
-    """Token sums of all value combinations, and of each margin the values that get cells."""
-    sums = cut(rows.groupBy(*columns).agg(F.sum("__tokens").alias("tokens")), rows.count())
-    whole = sums.agg(F.sum("tokens")).first()[0] or 0
-    named = []
-    for margin, column in zip(MARGINS, columns):
-        own = sums.groupBy(column).agg(F.sum("tokens").alias("tokens")).where(F.col("tokens") >= LEAST_SHARE * whole)
-        named.append(sorted({r[0] for r in own.collect()} | set(targets.get(margin, ()))))
-    return sums, named
-
-
 def _probabilities(cells: list, targets: Mapping, budget: float) -> list[tuple]:
+    """(source, language, topic, weight, probability) of all cells, by arrays."""
     if not cells:
         return []
-    axes = [sorted({c[i] for c in cells}) for i in range(3)]
-    tokens = np.zeros([len(a) for a in axes])
-    for c in cells:
-        tokens[tuple(a.index(v) for a, v in zip(axes, c[:3]))] = c["tokens"]
-    wanted = []
-    for i, (margin, axis) in enumerate(zip(MARGINS, axes)):
-        sums = tokens.sum(axis=tuple(a for a in range(3) if a != i))
-        shares = _targets(dict(zip(axis, sums / sums.sum())), targets.get(margin))
+    tokens = np.array([c["tokens"] for c in cells])
+    places, wanted = [], []
+    for i, margin in enumerate(MARGINS):
+        axis = sorted({c[i] for c in cells})
+        at = {v: k for k, v in enumerate(axis)}
+        place = np.array([at[c[i]] for c in cells])
+        sums = np.bincount(place, tokens, len(axis))
+        shares = _targets(dict(zip(axis, (sums / sums.sum()).tolist())), targets.get(margin))
+        places.append(place)
         wanted.append(np.array([shares.get(v, 0.0) for v in axis]))
-    weights = rake(tokens, wanted)
+    weights = rake_cells(tokens, places, wanted)
     chances = calibrate(tokens, weights, budget * tokens.sum())
-    return [
-        (*c[:3], float(weights[at]), float(chances[at]))
-        for c in cells
-        for at in [tuple(a.index(v) for a, v in zip(axes, c[:3]))]
-    ]
+    return [(*c[:3], w, p) for c, w, p in zip(cells, weights.tolist(), chances.tolist())]
+
+
+def _target_table(cells: DataFrame, column: str, stated: Mapping[str, float] | None) -> DataFrame:
+    """(value, target) of all values of a margin: ``_targets`` as a table."""
+    seen = cells.groupBy(column).agg(F.sum("tokens").alias("seen"))
+    if stated:
+        named = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in stated.items()], "value string, raw double")
+        seen = seen.join(F.broadcast(named), F.col(column) == F.col("value"), "left")
+        seen = seen.select(column, F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    else:
+        seen = seen.select(column, F.pow("seen", F.lit(FLATTEN)).alias("raw"))
+    seen = cut(seen)
+    total = seen.agg(F.sum("raw")).first()[0] or 1.0
+    return seen.select(F.col(column).alias("value"), (F.col("raw") / total).alias("target"))
+
+
+def _raked_table(cells: DataFrame, targets: Mapping, n_cells: int) -> DataFrame:
+    """``rake`` over a table of cells (__s, __l, __t, tokens), with the result as ``__weight``."""
+    axes = ["__s", "__l", "__t"]
+    wanted = [cut(_target_table(cells, a, targets.get(m)), n_cells) for a, m in zip(axes, MARGINS)]
+    total = cells.agg(F.sum("tokens")).first()[0]
+    fitted = cells.withColumn("__weight", F.col("tokens") / total)
+    for _ in range(ROUNDS):
+        off = 0.0
+        for axis, target in zip(axes, wanted):
+            margin = fitted.groupBy(F.col(axis).alias("value")).agg(F.sum("__weight").alias("margin"))
+            ratio = F.when(F.col("margin") > 0, F.col("target") / F.col("margin")).otherwise(0.0)
+            ratios = cut(margin.join(target, "value").withColumn("ratio", ratio), n_cells)
+            off = max(off, ratios.agg(F.max(F.abs(F.col("margin") - F.col("target")))).first()[0])
+            joined = fitted.join(ratios.select("value", "ratio"), F.col(axis) == F.col("value"))
+            fitted = joined.select(*axes, "tokens", (F.col("__weight") * F.col("ratio")).alias("__weight"))
+        fitted = cut(fitted, n_cells)
+        if off < TOLERANCE:
+            break
+    mass = fitted.agg(F.sum("__weight")).first()[0]
+    return fitted.withColumn("__weight", F.col("__weight") / mass)
+
+
+def _calibrated_table(cells: DataFrame, budget: float) -> DataFrame:
+    """``calibrate`` over a table of cells: (__s, __l, __t, __weight, __probability)."""
+    wanted = F.col("__weight") / F.col("tokens")
+    left, scale, full = budget * cells.agg(F.sum("tokens")).first()[0], 0.0, -1
+    while True:
+        over = wanted * scale > 1
+        count, taken, mass = cells.agg(
+            F.count(F.when(over, 1)),
+            F.coalesce(F.sum(F.when(over, F.col("tokens"))), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(~over, F.col("__weight"))), F.lit(0.0)),
+        ).first()
+        if count == full:
+            break
+        full, scale = count, max(left - taken, 0.0) / mass if mass > 0 else scale
+    chance = F.least(wanted * scale, F.lit(1.0))
+    return cells.select("__s", "__l", "__t", "__weight", chance.alias("__probability"))
 
 
 def sample(df: DataFrame, **options) -> DataFrame:

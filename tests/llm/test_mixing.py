@@ -78,3 +78,29 @@ def test_odd_rows_and_empty_table(spark):
     assert result.count() == len(ODD) and result.where("__kept").count() == len(ODD)
     assert mixing.sample(df).columns == df.columns
     assert mixing.mix(docs(spark, [], KIND)).count() == 0
+
+
+def test_many_small_sources_keep_their_own_margin(spark):
+    rows = [(i, "a b c", "en", f"small{i % 500}") for i in range(2000)] + [(5000 + i, "a b c", "en", "hot") for i in range(1000)]
+    result = mixing.mix(docs(spark, rows, KIND, clash=False))
+    found = {r.hot: (r.w, r.p) for r in result.groupBy((F.col("source") == "hot").alias("hot")).agg(F.max("__weight").alias("w"), F.max("__probability").alias("p")).collect()}
+    hot, small = (1 / 3) ** mixing.FLATTEN, (2 / 3 / 500) ** mixing.FLATTEN
+    assert np.isclose(found[True][0], hot / (hot + 500 * small)) and np.isclose(found[False][1], 1.0)
+    assert np.isclose(found[True][1], 0.7)  # the budget of 0.9 less the 2/3 of the small, over 1/3
+
+
+def test_tables_follow_the_steps_of_the_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["a " * int(n) for n in rng.integers(1, 30, 600)]
+    rows = [(i, w, f"l{rng.integers(0, 3)}", f"s{int(rng.exponential(4))}") for i, w in enumerate(words)]
+    df = docs(spark, rows, KIND, clash=False)
+    stated = {"source": {"s0": 0.5, "s1": 0.3, "none": 0.2}}
+    for targets, budget in ((None, 0.9), (stated, 0.1)):
+        columns = ["doc_id", "__weight", "__probability"]
+        with monkeypatch.context() as patch:
+            patch.setattr(mixing, "DRIVER_CELLS", 0)
+            patch.setattr(mixing, "ROUNDS", 5)
+            tables = mixing.mix(df, targets, budget).select(columns).orderBy("doc_id").toPandas()
+            patch.setattr(mixing, "DRIVER_CELLS", 100_000)
+            arrays = mixing.mix(df, targets, budget).select(columns).orderBy("doc_id").toPandas()
+        assert len(tables) == len(rows) and np.allclose(arrays, tables, rtol=1e-9)
