@@ -3,24 +3,28 @@
 1. Sketch: every text becomes its set of distinct five-word shingles (64-bit
    hashes), the set's own hash, and a MinHash signature. Texts with equal sets form
    one class; only one member per class goes on.
-2. Forest: each of its trees sorts all classes by its own order of signature
-   positions. Classes that share the first ``DEPTH`` positions are a region of the
+2. Forest: each of its trees sorts all classes by its own rotation of the whole
+   signature. Classes that share the first ``DEPTH`` positions are a region of the
    sorted order. Neighbours in a region are candidates if their whole signatures
    agree well enough. A crowded region is cut at deeper common prefixes, as deep as
-   it takes (adaptive depth), and neighbouring cuts overlap. Sorting is by range
+   the signature goes (adaptive depth); neighbouring cuts overlap, and the linked
+   parts of a region's cuts meet again through one class each. Sorting is by range
    over tree, signature and class, so that no region, however hot, meets in one task.
+   Where a task or a batch ends within a region, the rows on both sides meet.
 3. Families: the candidates' connected components. They are wider than the result.
-4. Confirmation: every family's full sets meet in cells of at most two blocks of
-   ``BLOCK`` classes; each cell computes all intersection sizes at once as a matrix
-   product and returns only a spanning star of each linked part. A family of many
-   blocks is covered by a grid of cells, so no pair of a family goes untested.
+4. Confirmation: the full sets of a family are dealt to blocks of some ``BLOCK``
+   classes or ``BLOCK_BYTES``. A few classes of the family, its anchors, are in every
+   block. All pairs of a block are tested at once, as a matrix product. Only families
+   of several blocks that fall apart are tested further: every class outside the
+   family's largest part against all of the family. So every pair is tested or
+   joined already, and a family of near copies costs as much as it has members.
 5. Components of the confirmed links give the answer.
 
 The caller states the least similarity of a link in percent, ``PERCENT`` if not. The
 number of trees and the agreement asked of candidates follow from it: a pair at the
 threshold shares no region with probability (1 - s**4)**trees, below ``LOSS``, and
-agrees too little with a probability below ``LOSS``. All pairs of a family are tested,
-so a pair is lost only if no chain of candidates joins it either.
+agrees too little with a probability below ``LOSS``. A pair is lost only if no chain of
+candidates joins it either.
 
 Defined results: null and wordless texts have no shingles and link with nothing,
 each its own component. Texts of fewer than five words have their word sequence as
@@ -36,7 +40,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import BROADCAST_ROWS, cut, text_key, without_rows
@@ -49,7 +54,9 @@ DEPTH = 4
 KEY = 8
 REGION = 512
 OVERLAP = 8
-BLOCK = 1024
+BLOCK = 256
+BLOCK_BYTES = 32 << 20
+ANCHORS = 8
 ROWS_PER_TASK = 500_000
 
 _U = np.uint64
@@ -63,6 +70,7 @@ class Forest:
     percent: int
     trees: int
     agree: int  # signature positions, of all, that candidates must share
+    region: int = REGION  # rows of a region from which on it is cut deeper
 
     @property
     def hashes(self) -> int:
@@ -162,25 +170,29 @@ def _linked_parts(close: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _cuts(keys: np.ndarray, depth: int, low: int, high: int) -> Iterator[tuple[int, int]]:
-    """Cuts a sorted region into runs of at most REGION rows, at the shallowest prefixes."""
-    if high - low <= REGION:
+def _cuts(keys: np.ndarray, depth: int, low: int, high: int, region: int | None = None) -> Iterator[tuple[int, int]]:
+    """Cuts a sorted region into runs of at most ``region`` rows, at the shallowest prefixes.
+
+    Rows that share all columns, and so agree everywhere, are cut by count.
+    """
+    region = region or REGION
+    if high - low <= region:
         yield low, high
         return
-    if depth == KEY:
-        for a in range(low, high, REGION):
-            yield a, min(a + REGION, high)
+    if depth == keys.shape[1]:
+        for a in range(low, high, region):
+            yield a, min(a + region, high)
         return
     part = keys[low:high, depth]
     edges = [low, *(np.flatnonzero(part[1:] != part[:-1]) + low + 1).tolist(), high]
     start = low
     for a, b in zip(edges[:-1], edges[1:]):
-        if b - a > REGION:
+        if b - a > region:
             if a > start:
                 yield start, a
-            yield from _cuts(keys, depth + 1, a, b)
+            yield from _cuts(keys, depth + 1, a, b, region)
             start = b
-        elif b - start > REGION:
+        elif b - start > region:
             yield start, a
             start = a
     if start < high:
@@ -194,57 +206,156 @@ def _close(low: np.ndarray, least: int) -> np.ndarray:
     return agree >= least
 
 
+def _stars(part: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the row of its part's smallest node: (centre rows, rows that are not centres)."""
+    order = np.lexsort((nodes, part))
+    firsts = np.concatenate(([True], part[order][1:] != part[order][:-1]))
+    centres = order[firsts]
+    centre = np.empty(len(part), np.int64)
+    centre[order] = centres[np.cumsum(firsts) - 1]
+    return centre, np.flatnonzero(nodes[centre] != nodes)
+
+
 def _region_links(
-    keys: np.ndarray, nodes: np.ndarray, low: np.ndarray, least: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for a, b in _cuts(keys, DEPTH, 0, len(keys)):
-        a = max(0, a - OVERLAP) if len(keys) > REGION else a
-        part = _linked_parts(_close(low[a:b], least))
-        moved = np.flatnonzero(part != np.arange(b - a))
-        if len(moved):
-            yield nodes[a:b][part[moved]], nodes[a:b][moved]
+    keys: np.ndarray, nodes: np.ndarray, low: np.ndarray, least: int, region: int
+) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Links of one region, and the rows that stand for its largest parts.
+
+    Parts of neighbouring cuts meet in the rows by which the cuts overlap. Then one
+    row of each part goes on to cuts of such rows, until one cut holds them all or
+    nothing joins any more.
+    """
+    at, found = np.arange(len(nodes)), []
+    sizes = np.ones(len(nodes), np.int64)
+    if len(nodes) > region:
+        deep = np.concatenate((keys, low[:, keys.shape[1] :]), axis=1)
+        runs = list(_cuts(deep, DEPTH, 0, len(nodes), region))
+    else:
+        runs = [(0, len(nodes))]
+    while True:
+        stand = []
+        for a, b in runs:
+            rows = at[max(0, a - OVERLAP) : b]
+            centre, moved = _stars(_linked_parts(_close(low[rows], least)), nodes[rows])
+            if len(moved):
+                found.append((nodes[rows][centre[moved]], nodes[rows][moved]))
+            own = np.arange(len(rows)) >= len(rows) - (b - a)
+            weights = np.bincount(centre[own], sizes[rows[own]], len(rows)).astype(np.int64)
+            held = rows[weights > 0]
+            sizes[held] = np.maximum(sizes[held], weights[weights > 0])
+            stand.append(held)
+        stand = np.unique(np.concatenate(stand))
+        if len(runs) == 1 or len(stand) == len(at):
+            return found, stand[np.argsort(-sizes[stand], kind="stable")]
+        at = stand
+        runs = [(a, min(a + region, len(at))) for a in range(0, len(at), region)]
 
 
 def _pair_links(nodes, low, firsts, least):
     """Links of the regions of two rows, which are most, all at once."""
     agree = (low[firsts] == low[firsts + 1]).sum(axis=1) >= least
-    return nodes[firsts[agree]], nodes[firsts[agree] + 1]
+    a, b = nodes[firsts[agree]], nodes[firsts[agree] + 1]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _batch_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a = np.concatenate([np.asarray(p[0]) for p in pairs]) if pairs else np.zeros(0, np.int64)
-    b = np.concatenate([np.asarray(p[1]) for p in pairs]) if pairs else np.zeros(0, np.int64)
+    a = np.concatenate([np.asarray(p[0], np.int64) for p in pairs]) if pairs else np.zeros(0, np.int64)
+    b = np.concatenate([np.asarray(p[1], np.int64) for p in pairs]) if pairs else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+#: Sorted rows of the forest: the zone (tree), the first KEY positions, the low bytes of all
+#: positions in the tree's rotation, the node.
+ROWS = "zone long, key binary, low binary, node long"
+
+
+def _sorted_links(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tuple[pa.RecordBatch, pa.Table]]:
+    """(links, rows that took part) of the regions in rows sorted by ROWS, some batches at a time.
+
+    A region that runs on beyond what is held goes on with its last rows and with those
+    that stand for its largest parts.
+    """
+    least, held = forest.agree, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        arrays = _arrays(batch)
+        arrays = arrays if held is None else tuple(np.concatenate(x) for x in zip(held, arrays))
+        zones, keys, low, own = arrays
+        same = (zones[1:] == zones[:-1]) & (keys[1:, :DEPTH] == keys[:-1, :DEPTH]).all(axis=1)
+        edges = np.concatenate(([0], np.flatnonzero(~same) + 1))
+        last, crowded = edges[-1], len(own) - edges[-1] >= 16 * forest.region
+        found = list(_links_of_regions(edges[:-1], last, keys, own, low, least, forest.region))
+        kept = np.arange(last, len(own))
+        if crowded:
+            links, stand = _region_links(keys[last:], own[last:], low[last:], least, forest.region)
+            found += links
+            kept = np.union1d(last + stand[:OVERLAP], kept[-OVERLAP:])
+        yield _batch_of(found)
+        held = tuple(x[kept] for x in arrays)
+    if held is not None and len(held[3]):
+        _, keys, low, own = held
+        yield _batch_of(list(_links_of_regions(np.zeros(1, np.int64), len(own), keys, own, low, least, forest.region)))
+
+
 def candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """Distinct candidate links (a, b) between nodes."""
-    least = forest.agree
+    """Candidate links (a, b) between nodes; links may repeat."""
+    spark = nodes.sparkSession
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _arrays(batch)
-            rows = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows))
-            trees, keys, own, low = rows
-            same = (trees[1:] == trees[:-1]) & (keys[1:, :DEPTH] == keys[:-1, :DEPTH]).all(axis=1)
-            edges = np.concatenate(([0], np.flatnonzero(~same) + 1))
-            last = edges[-1] if len(own) - edges[-1] < 16 * REGION else len(own) - OVERLAP
-            yield _batch_of(list(_links_of_regions(edges[edges < last], last, keys, own, low, least)))
-            held = tuple(x[last:] for x in rows)
-        if held is not None and len(held[2]):
-            _, keys, own, low = held
-            yield _batch_of(list(_links_of_regions(np.zeros(1, np.int64), len(own), keys, own, low, least)))
-
-    doubled = F.concat("signature", "signature")
-    rows = nodes.select(
-        F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"), "node", "low", doubled.alias("doubled")
-    ).select("tree", F.expr(f"substring(doubled, tree * {4 * DEPTH} + 1, {4 * KEY})").alias("key"), "node", "low")
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * forest.trees // ROWS_PER_TASK)
-    ranged = rows.repartitionByRange(tasks, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return ranged.mapInArrow(links, "a long, b long").distinct()
+        seam = TaskContext.get().partitionId()
+        first, last = None, None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal first, last
+            for batch in batches:
+                rows = pa.Table.from_batches([batch])
+                if first is None or len(first) < OVERLAP:
+                    first = rows.slice(0, OVERLAP) if first is None else pa.concat_tables([first, rows]).slice(0, OVERLAP)
+                last = rows if last is None else pa.concat_tables([last, rows])
+                last = last.slice(max(0, len(last) - OVERLAP)).combine_chunks()
+                yield batch
+
+        for found in _sorted_links(seen(), forest):
+            yield _outcome(found, None, None)
+        if last is not None:
+            yield _outcome(None, seam - 1, first)
+            yield _outcome(None, seam, last)
+
+    def seam_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sorted_links(batches, forest)
+
+    places = forest.hashes
+    twice = [F.concat(c, c).alias(c) for c in ("signature", "low")]
+    trees = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("zone")
+    rows = nodes.select(trees, "node", *twice).selectExpr(
+        "cast(zone as long) as zone",
+        f"substring(signature, zone * {4 * DEPTH} + 1, {4 * KEY}) as key",
+        f"substring(low, zone * {DEPTH} + 1, {places}) as low",
+        "node",
+    )
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * forest.trees // ROWS_PER_TASK)
+    order = ["zone", "key", "low", "node"]
+    ranged = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    found = cut(ranged.mapInArrow(links, f"a long, b long, seam int, {ROWS}"))
+    seams = found.where("seam is not null").select((F.col("seam").cast("long") * forest.trees + F.col("zone")).alias("zone"), *order[1:])
+    # one seam has at most 2 * OVERLAP rows; a zone of these is a tree at a seam
+    seams = seams.repartition(tasks, "zone").sortWithinPartitions(*order)
+    return found.where("seam is null").select("a", "b").union(seams.mapInArrow(seam_links, "a long, b long"))
+
+
+def _outcome(found: pa.RecordBatch | None, seam: int | None, rows: pa.Table | None) -> pa.RecordBatch:
+    """Links, or rows at a seam, as a batch of columns for both."""
+    n = len(found) if rows is None else len(rows)
+    nothing = lambda kind: pa.nulls(n, kind)
+    links = [found.column(0), found.column(1)] if rows is None else [nothing(pa.int64()), nothing(pa.int64())]
+    place = nothing(pa.int32()) if rows is None else pa.array([seam] * n, pa.int32())
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
+    if rows is None:
+        held = [nothing(kind) for kind in kinds]
+    else:
+        held = [pa.array(rows.column(i).to_pylist(), kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*links, place, *held], names=["a", "b", "seam", "zone", "key", "low", "node"])
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -255,42 +366,58 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return (
         batch.column(0).to_numpy(zero_copy_only=False),
         fixed(batch.column(1), ">u4"),
-        batch.column(2).to_numpy(zero_copy_only=False),
-        fixed(batch.column(3), "u1"),
+        fixed(batch.column(2), "u1"),
+        batch.column(3).to_numpy(zero_copy_only=False),
     )
 
 
-def _links_of_regions(edges, last, keys, nodes, low, least) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _links_of_regions(edges, last, keys, nodes, low, least, region) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links of the regions that begin at ``edges``; the last one ends at ``last``."""
     sizes = np.diff(np.append(edges, last))
     yield _pair_links(nodes, low, edges[sizes == 2], least)
     for a, size in zip(edges[sizes > 2], sizes[sizes > 2]):
-        yield from _region_links(keys[a : a + size], nodes[a : a + size], low[a : a + size], least)
+        yield from _region_links(keys[a : a + size], nodes[a : a + size], low[a : a + size], least, region)[0]
 
 
 # --- components -------------------------------------------------------------------------
 
 
+def contract(links: DataFrame) -> DataFrame:
+    """Links (low, high), low < high, with the same components, where every high has one low.
+
+    In a round, the smaller ends of a node's links and the node itself are linked with
+    the least of these instead. Links only merge, never multiply: a round joins every
+    link with one row of its larger end, and adaptive execution splits hot ends. Nodes
+    are hashes, so a chain shrinks by a share in every round.
+    """
+    edges = links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    edges = cut(edges.where("low < high").distinct())
+    while True:
+        ends = edges.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+        if ends.where("n > 1").isEmpty():
+            return edges
+        merged = F.when(F.col("low") == F.col("least"), F.col("high")).otherwise(F.col("low"))
+        edges = cut(edges.join(ends, "high").select(F.col("least").alias("low"), merged.alias("high")).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes with links (a, b), a table; the smallest node names a component.
 
-    Smallest labels spread along links, and labels are replaced by their own labels
-    (pointer jumping), so that rounds grow with the logarithm of a chain's length.
-    Every round is written; joins on hot nodes are split by adaptive execution.
+    Contracted links point every node but the smallest of a component at one smaller node;
+    these pointers are doubled (pointer jumping) until they reach the smallest.
     """
-    both = links.union(links.select("b", "a")).toDF("node", "other")
-    rows = both.count()
-    labels = cut(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), rows)
+    up = contract(links)
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other")
-        spread = near.select("node", "label").union(labels.select("node", "label"))
-        spread = spread.groupBy("node").agg(F.min("label").alias("label"))
-        onward = spread.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = cut(spread.join(onward, "label").select("node", F.col("next").alias("label")), rows)
-        changed = jumped.join(labels.select("node", F.col("label").alias("old")), "node").where("label <> old")
-        if changed.isEmpty():
-            return jumped.select("node", F.col("label").alias("component"))
-        labels = jumped
+        onward = up.select(F.col("high").alias("low"), F.col("low").alias("next"))
+        jumped = up.join(onward, "low", "left").select(F.coalesce("next", "low").alias("low"), "high", F.col("next").isNotNull().alias("far"))
+        jumped = cut(jumped)
+        if jumped.where("far").isEmpty():
+            break
+        up = jumped.select("low", "high")
+    tops = up.select("low").distinct()
+    return up.select(F.col("high").alias("node"), F.col("low").alias("component")).union(
+        tops.select(F.col("low").alias("node"), F.col("low").alias("component"))
+    )
 
 
 # --- confirmation -----------------------------------------------------------------------
@@ -322,10 +449,8 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
-def confirm(
-    df: DataFrame, sketches: DataFrame, families: DataFrame, id_col: str, text_col: str, percent: int
-) -> DataFrame:
-    """Confirmed links (a, b): within a cell, each linked class with the first of its part."""
+def family_sets(df: DataFrame, sketches: DataFrame, families: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(component, node, values): the full shingle sets of all nodes of ``families``, as a written table."""
     first_ids = sketches.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     members = families.count()
     wanted = cut(families.join(first_ids, "node"), members)
@@ -345,23 +470,23 @@ def confirm(
                 )
 
     sets = rows.mapInArrow(sets_of, "node long, values binary")
-    sets = sets.join(wanted.select("node", "component"), "node")
-    counts = families.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = families.join(counts, "component").withColumn("blocks", blocks)
-    placed = cut(placed.select("node", "blocks", block.alias("block")), members)
-    if members <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")),
-    )
-    shipped = sets.join(placed, "node").select("component", F.explode(cells).alias("cell"), "node", "values")
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(sets.join(wanted.select("node", "component"), "node").select("component", "node", "values"))
+
+
+def _blocks(members: Column, size: Column) -> Column:
+    """Into how many blocks so many members with so many bytes go."""
+    return F.greatest(F.ceil(members / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+
+
+def _dealt(blocks: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "node"), blocks).cast("int")
+
+
+def _tested(cells: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b), as a written table: each linked class of a cell with the smallest of its part."""
+    spark = cells.sparkSession
     keys = ["component", "i", "j"]
-    shipped = shipped.select("component", "cell.i", "cell.j", "node", "values")
-    dealt = shipped.repartition(tasks, *keys).sortWithinPartitions(*keys, "node")
+    dealt = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets = None, [], []
@@ -378,30 +503,70 @@ def confirm(
             yield _batch_of(out)
         yield _batch_of([_cell_links(nodes, sets, percent)])
 
-    return dealt.mapInArrow(links, "a long, b long")
+    ordered = dealt.select(*keys, "node", "values").sortWithinPartitions(*keys, "node")
+    return cut(ordered.mapInArrow(links, "a long, b long"))
+
+
+def confirm(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) by links confirmed on the full sets of the families in ``sets``."""
+    families = sets.groupBy("component").agg(
+        _blocks(F.count("*"), F.sum(F.octet_length("values"))).alias("blocks"), F.count("*").alias("members")
+    )
+    families = cut(families)
+    wide = families.where("blocks > 1")
+    place = sets.join(families.select("component", "blocks"), "component").select("component", "node", "values", "blocks")
+    own = place.select("component", _dealt(F.col("blocks"), 1).alias("i"), F.lit(0).alias("j"), "node", "values")
+    nth = F.row_number().over(Window.partitionBy("component").orderBy("node"))
+    anchors = sets.select("component", "node").join(wide.select("component"), "component", "left_semi")
+    anchors = anchors.withColumn("nth", nth).where(f"nth <= {ANCHORS}").drop("nth")
+    spread = place.join(anchors, ["component", "node"], "left_semi").select(
+        "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), "node", "values"
+    )
+    links = _tested(own.union(spread), percent)
+    parts = components(links)
+    if wide.isEmpty():
+        return parts
+
+    # families that lie in several blocks and several parts
+    nodes = sets.select("component", "node", F.octet_length("values").alias("size"))
+    nodes = nodes.join(wide.select("component", "blocks"), "component")
+    nodes = nodes.join(parts.select("node", F.col("component").alias("part")), "node", "left")
+    nodes = cut(nodes.withColumn("part", F.coalesce("part", "node")))
+    sizes = nodes.groupBy("component", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("component").agg(F.max(F.struct("n", "part")).alias("most")).select("component", F.col("most.part").alias("largest"))
+    rest = cut(nodes.join(largest, "component").where("part <> largest").select("component", "node", "size", "blocks"))
+    if rest.isEmpty():
+        return parts
+    shares = rest.groupBy("component").agg(_blocks(F.count("*"), F.sum("size")).alias("rest_blocks"))
+    placed = sets.join(wide.select("component", "blocks"), "component").join(shares, "component")
+    i, j = _dealt(F.col("rest_blocks"), 2), _dealt(F.col("blocks"), 3)
+    over_rest = placed.select("component", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("i"), j.alias("j"), "node", "values")
+    over_all = placed.join(rest.select("component", "node"), ["component", "node"], "left_semi").select(
+        "component", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "values"
+    )
+    return components(links.union(_tested(over_rest.union(over_all), percent)))
 
 
 def _cell_links(nodes: list[int], sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     if len(nodes) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    part = _linked_parts(linked(sets, percent))
-    moved = np.flatnonzero(part != np.arange(len(part)))
     nodes = np.array(nodes, np.int64)
-    return nodes[part[moved]], nodes[moved]
+    centre, moved = _stars(_linked_parts(linked(sets, percent)), nodes)
+    return nodes[centre[moved]], nodes[moved]
 
 
 # --- whole runs -------------------------------------------------------------------------
 
 
-def _judged(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _judged(df: DataFrame, id_col: str, text_col: str, percent: int, forest: Forest | None = None) -> DataFrame:
     """One row per row of ``df``: id, text_key, n_shingles, component_id, kept."""
-    forest = forest_for(percent)
+    forest = forest or forest_for(percent)
     sketches = cut(sketch(df, id_col, text_col, forest.hashes))
     with_set = sketches.where("node is not null")
     rows = sketches.count()
     nodes = cut(with_set.dropDuplicates(["node"]).select("node", "signature", "low"), rows)
-    families = components(cut(candidates(nodes, forest), rows))
-    parts = components(cut(confirm(df, sketches, families, id_col, text_col, percent)))
+    families = cut(components(candidates(nodes, forest)))
+    parts = confirm(family_sets(df, sketches, families, id_col, text_col), percent)
     least = with_set.groupBy("node").agg(F.min("id").alias("id"))
     classes = cut(least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), rows)
     names = classes.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -413,10 +578,13 @@ def _judged(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFram
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, forest: Forest | None = None
 ) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id (smallest id), kept."""
-    return _judged(df, id_col, text_col, percent).drop("text_key").withColumnRenamed("id", id_col)
+    """One row per row of ``df``: id, n_shingles, component_id (smallest id), kept.
+
+    ``forest`` is the one that ``forest_for`` gives for ``percent``, unless stated.
+    """
+    return _judged(df, id_col, text_col, percent, forest).drop("text_key").withColumnRenamed("id", id_col)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

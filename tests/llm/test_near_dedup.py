@@ -6,6 +6,7 @@ import string
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow.llm import near_dedup as near
 from caseflow.llm.word_arrays import groups
@@ -21,7 +22,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -34,7 +35,7 @@ def brute(rows):
         for j in range(i):
             if sets[i] and sets[j]:
                 common = len(sets[i] & sets[j])
-                if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                     parent[root(i)] = root(j)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -148,3 +149,88 @@ def test_forest_loses_few_pairs_at_the_threshold(percent):
     assert (1 - share**near.DEPTH) ** forest.trees <= near.LOSS
     drawn = np.random.default_rng(2).binomial(forest.hashes, share, 1_000_000)
     assert (drawn < forest.agree).mean() < 5 * near.LOSS
+
+
+def family(count, words=120, changes=4, seed=5):
+    """Near copies of one text: each with some words of its own."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(count):
+        own = list(base)
+        for at in rng.sample(range(words), rng.randint(1, changes)):
+            own[at] = f"r{rng.random()}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def nodes_of(spark, rows, forest):
+    sketches = near.cut(near.sketch(docs(spark, rows, clash=False), "doc_id", "text", forest.hashes))
+    return sketches, near.cut(sketches.where("node is not null").select("node", "signature", "low").distinct())
+
+
+def test_links_contract_to_under_two_per_node(spark, monkeypatch):
+    forest = near.forest_for(85)
+    _, nodes = nodes_of(spark, family(2000, 200, 1), forest)
+    links, made = near.cut(near.candidates(nodes, forest)), []
+
+    def counted(df, rows=None):
+        made.append((table := near_cut(df, rows)).count())
+        return table
+
+    near_cut = near.cut
+    monkeypatch.setattr(near, "cut", counted)
+    found = near.components(links)
+    assert max(made) <= links.count() and made[-1] < 2 * nodes.count()
+    assert all(b <= a for a, b in zip(made, made[1:]))
+    assert {r.n for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()} == {nodes.count()}
+
+
+def test_cells_of_a_large_family_are_even(spark, monkeypatch):
+    forest = near.forest_for(85)
+    sketches, nodes = nodes_of(spark, family(5000, 200, 1), forest)
+    df, cells = docs(spark, family(5000, 200, 1), clash=False), []
+    tested = near._tested
+    monkeypatch.setattr(near, "_tested", lambda c, percent: cells.append(near.cut(c)) or tested(c, percent))
+    sets = near.family_sets(df, sketches, near.cut(near.components(near.candidates(nodes, forest))), "doc_id", "text")
+    assert near.confirm(sets, 85).select("component").distinct().count() == 1
+    first = [r["count"] for r in cells[0].groupBy("component", "i", "j").count().collect()]
+    assert len(first) > 5000 // near.BLOCK and max(first) < 2 * sum(first) / len(first)
+    for later in cells[1:]:  # few classes, if any, are outside the largest part
+        assert later.count() < 2 * cells[0].count()
+
+
+def test_recall_of_crowded_regions(spark):
+    rows = family(600, 80, 5, 9) + family(300, 90, 6, 10)
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    forest = near.forest_for(85)
+    small = near.Forest(forest.percent, forest.trees, forest.agree, region=8)
+    frame = docs(spark, rows, clash=False).repartition(16)
+    for forest in (small, near.Forest(forest.percent, forest.trees, forest.agree, region=32)):
+        found = near.near_duplicates(frame, percent=85, forest=forest).collect()
+        assert sorted(map(tuple, found), key=repr) == brute(rows)
+
+
+def test_parts_across_blocks_are_tested(spark, monkeypatch):
+    """Families that candidates join but links do not: two blocks' worth of texts in several parts."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "ANCHORS", 1)
+    rng = random.Random(8)
+    rows = []
+    for k in range(3):
+        words = [f"k{k} {i}" for i in range(60)]
+        for _ in range(30):  # a walk: only near steps of it link
+            words[rng.randrange(60)] = f"s{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    frame = docs(spark, rows, clash=False)
+    sketches = near.cut(near.sketch(frame, "doc_id", "text", 8))
+    one = near.cut(sketches.select("node", F.lit(0).cast("long").alias("component")).distinct())
+    parts = near.confirm(near.family_sets(frame, sketches, one, "doc_id", "text"), 85)
+    names = sketches.select("id", "node").join(parts, "node", "left").select("id", F.coalesce("component", "node").alias("c"))
+    groups_found = {}
+    for r in names.collect():
+        groups_found.setdefault(r.c, set()).add(r.id)
+    wanted = {}
+    for i, _, c, _ in brute(rows):
+        wanted.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, groups_found.values())) == sorted(map(sorted, wanted.values()))
