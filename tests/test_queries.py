@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -55,3 +60,16 @@ def test_only_needed_columns_and_tables_are_read(spark):
 def test_cube_reads_the_rows_once(spark):
     plan = entry.queries()["kpi_cube"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("gone", [("caseflow/llm",), ("caseflow/llm", "tests/llm"), ("caseflow/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_imports_without_optional_parts(tmp_path, gone):
+    root = Path(__file__).resolve().parents[1]
+    skipped = {str(root / g) for g in gone} | {str(root / ".git")}
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda d, names: [n for n in names if f"{d}/{n}" in skipped or n == "__pycache__"])
+    code = "import __spark_entry__ as e; print(*e.queries())"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, capture_output=True, text=True, check=True)
+    names = said.stdout.split()
+    assert set(entry.QUERIES) <= set(names)
+    assert ("pipeline" in names) == (not gone) and any(n.startswith("op1_") for n in names) == ("caseflow/llm" not in gone)
