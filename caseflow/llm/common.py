@@ -72,6 +72,19 @@ def words(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(text, separators), "")
 
 
+def with_result(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as column ``name``; a column that has this name is kept as ``<name>_given``."""
+    taken = {c.lower() for c in df.columns}
+    clash = next((c for c in df.columns if c.lower() == name.lower()), None)
+    if clash is None:
+        return df.withColumn(name, value)
+    kept = f"{name}_given"
+    while kept.lower() in taken:
+        kept += "_given"
+    others = [F.col(f"`{c}`").alias(kept) if c == clash else F.col(f"`{c}`") for c in df.columns]
+    return df.select(*others, value.alias(name))
+
+
 #: Rows of ids up to which a set of ids is broadcast (some tens of MB as a hash table).
 BROADCAST_ROWS = 1_000_000
 

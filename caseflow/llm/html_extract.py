@@ -14,16 +14,21 @@ which tasks handle whole pages, so nothing is shuffled.
 
 Defined results: null and empty pages, and pages without content blocks, give an
 empty text. Text in scripts, styles, templates and the title is never a block.
-Unclosed and misnested tags are tolerated. Repeated rows give repeated results.
+Unclosed and misnested tags are tolerated, in time that grows with the page: a tag
+that no page closes ends with what holds it, an unclosed head at the first tag or
+text that cannot be in one. Marked sections and unknown declarations are comments.
+Repeated rows give repeated results. A column of the pages that has the result's name
+is kept as ``<name>_given``.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -31,12 +36,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.llm.common import with_result
+
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption"
     " figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre"
     " section select summary table tbody td tfoot th thead tr ul".split()
 )
 HIDDEN_TAGS = frozenset("head iframe object script style svg template textarea title".split())
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE = re.compile(r"\s+")
 HINT = re.compile(r"[a-z]+")
@@ -53,10 +61,11 @@ TRAINING_PAGES = 300
 
 @dataclass
 class Block:
-    """One leaf block: text, its ancestors' tags and hints, and characters in links."""
+    """One leaf block: text, its ancestors' tags and hints, its parent's tag, and characters in links."""
 
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    parent: str | None
     hints: frozenset[str]
     link_chars: int
     label: int | None = None
@@ -70,16 +79,24 @@ class _Open:
 
 
 class BlockParser(HTMLParser):
-    """Collects the leaf blocks of one page."""
+    """Collects the leaf blocks of one page.
+
+    Open elements are a stack. Its tags and hints are counted as they come and go, so
+    that a block costs as much as there are different ones, however deep the page.
+    Hints outside ``known`` are left out; without it, all are kept.
+    """
 
-    def __init__(self):
+    def __init__(self, known: frozenset[str] | None = None):
         super().__init__(convert_charrefs=True)
+        self.known = known
         self.blocks: list[Block] = []
         self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each open tag, in the stack
+        self.hints: Counter[str] = Counter()
+        self.labels: list[int] = []
         self.parts: list[str] = []
         self.linked = 0
         self.hidden = 0
-        self.links = 0
 
     def flush(self) -> None:
         if not self.parts:
@@ -87,35 +104,46 @@ class BlockParser(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts = []
         if text:
-            hints = frozenset(h for o in self.open for h in o.hints)
-            label = next((o.label for o in reversed(self.open) if o.label is not None), None)
-            self.blocks.append(Block(text, tuple(o.tag for o in self.open), hints, self.linked, label))
+            tags = frozenset(self.places)
+            parent = self.open[-1].tag if self.open else None
+            label = self.labels[-1] if self.labels else None
+            self.blocks.append(Block(text, tags, parent, frozenset(self.hints), self.linked, label))
         self.linked = 0
 
     def _close(self, place: int) -> None:
-        for o in self.open[place:]:
-            self.hidden -= o.tag in HIDDEN_TAGS
-            self.links -= o.tag == "a"
-        del self.open[place:]
-
-    def _last(self, tag: str, stop: frozenset[str] = frozenset()) -> int | None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                return i
-            if self.open[i].tag in stop:
-                return None
-        return None
+        while len(self.open) > place:
+            gone = self.open.pop()
+            self.places[gone.tag].pop()
+            if not self.places[gone.tag]:
+                del self.places[gone.tag]
+            self.hidden -= gone.tag in HIDDEN_TAGS
+            for hint in gone.hints:
+                self.hints[hint] -= 1
+                if not self.hints[hint]:
+                    del self.hints[hint]
+            if gone.label is not None:
+                self.labels.pop()
+
+    def _last(self, tag: str, stop: Sequence[str] = ()) -> int:
+        """Place of the last open ``tag`` that no ``stop`` tag hides, or -1."""
+        place = self.places[tag][-1] if self.places.get(tag) else -1
+        return -1 if any(self.places.get(s) and self.places[s][-1] > place for s in stop) else place
+
+    def _leave_head(self) -> None:
+        """Ends an unclosed head, unless a title or the like in it is still open."""
+        if self.hidden == 1 and self.places.get("head"):
+            self._close(self.places["head"][-1])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD_TAGS:
+            self._leave_head()
         if tag in BLOCK_TAGS:
             self.flush()
             if tag == "body":
                 self._close(0)
-            for closes, stop in (("p", frozenset()), ("li", frozenset({"ul", "ol", "menu"}))):
-                if closes == "p" or tag == closes:
-                    place = self._last(closes, stop)
-                    if place is not None:
-                        self._close(place)
+            for closes, stop in (("p", ()), ("li", ("ul", "ol", "menu"))):
+                if (closes == "p" or tag == closes) and (place := self._last(closes, stop)) >= 0:
+                    self._close(place)
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID_TAGS:
@@ -123,29 +151,40 @@ class BlockParser(HTMLParser):
         hints, label = [], None
         for name, value in attrs:
             if name in ("class", "id", "role"):
-                hints.extend(HINT.findall((value or "").lower()))
+                found = HINT.findall((value or "").lower())
+                hints.extend(found if self.known is None else (h for h in found if h in self.known))
             elif name == "data-training-label":
                 label = int(value)
+        self.places[tag].append(len(self.open))
         self.open.append(_Open(tag, tuple(hints), label))
+        self.hints.update(hints)
         self.hidden += tag in HIDDEN_TAGS
-        self.links += tag == "a"
+        if label is not None:
+            self.labels.append(label)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.flush()
-        place = self._last(tag)
-        if place is not None:
+        if (place := self._last(tag)) >= 0:
             self._close(place)
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and not data.isspace():
+            self._leave_head()
         if not self.hidden:
             self.parts.append(data)
-            if self.links:
+            if self.places.get("a"):
                 self.linked += len(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
+    def unknown_decl(self, data: str) -> None:
+        """Declarations that are none are comments."""
 
-def blocks_of(html: str | None) -> list[Block]:
-    parser = BlockParser()
+
+def blocks_of(html: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    parser = BlockParser(known)
     parser.feed(html or "")
     parser.close()
     parser.flush()
@@ -159,13 +198,13 @@ def features_of(blocks: Sequence[Block]) -> list[list[str]]:
         words = block.text.split()
         own = {f"tag {t}" for t in block.tags} | {f"hint {h}" for h in block.hints}
         own.add("always")
-        own.add(f"in {block.tags[-1]}" if block.tags else "in nothing")
+        own.add(f"in {block.parent}" if block.parent else "in nothing")
         own.add(f"words {min(len(words), 64).bit_length()}")
         own.add(f"links {round(4 * min(block.link_chars / len(block.text), 1))}")
         own.add("ends a sentence" if block.text[-1] in ".!?…\"”»" else "ends openly")
         if "©" in block.text:
             own.add("copyright sign")
-        own.update(f"says {w}" for w in {w.strip(".,:;!?").lower() for w in words[:40]} & TELLING)
+        own.update(f"says {w}" for w in {w.strip(".,:;!?").lower() for w in words} & TELLING)
         if i == 0:
             own.add("first")
         if i == len(blocks) - 1:
@@ -181,6 +220,11 @@ class ChainField:
     weights: dict[str, float] = field(default_factory=dict)
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
+    @cached_property
+    def hints(self) -> frozenset[str]:
+        """The hints that have a weight; no other one can change a labelling."""
+        return frozenset(name.removeprefix("hint ") for name in self.weights if name.startswith("hint "))
+
     def decode(self, features: Sequence[Sequence[str]]) -> list[int]:
         """The most likely labels of a page's blocks (Viterbi); ties go to label 0."""
         if not features:
@@ -265,6 +309,13 @@ def labelled_pages(count: int, seed: int) -> Iterator[str]:
     def prose() -> str:
         return " ".join(sentence(1, 18) for _ in range(rng.randint(1, 7)))
 
+    def story() -> str:
+        """Prose of an article, which may use a telling word as any other."""
+        said = prose().split()
+        if rng.random() < 0.1 and len(said) > 20:
+            said[rng.randrange(len(said))] = rng.choice(sorted(TELLING))
+        return " ".join(said)
+
     def links(count: int) -> str:
         return "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(count))
 
@@ -309,9 +360,9 @@ def labelled_pages(count: int, seed: int) -> Iterator[str]:
         for _ in range(rng.randint(1, 12)):
             parts.append(
                 rng.choices(
-                    (f"<p>{prose()}</p>", f"<p><b>{prose()}<br>", f"<h2>{sentence(1, 6, '')}</h2>", f"<blockquote>{prose()}</blockquote>",
+                    (f"<p>{story()}</p>", f"<p><b>{story()}<br>", f"<h2>{sentence(1, 6, '')}</h2>", f"<blockquote>{story()}</blockquote>",
                      f"<ul><li>{sentence(2, 9)}</li><li>{sentence(1, 6, '')}</li></ul>", f"<p>{sentence(1, 2)}</p>",
-                     f'<p>{prose()} <a href="/{word()}">{sentence(1, 4, "")}</a> {prose()}</p>', f"<pre>{prose()}</pre>",
+                     f'<p>{story()} <a href="/{word()}">{sentence(1, 4, "")}</a> {story()}</p>', f"<pre>{story()}</pre>",
                      f"<table><tr><th>{word()}</th><td>{sentence(1, 6, '')}</td></tr></table>"),
                     (10, 3, 2, 1, 1, 2, 2, 1, 1),
                 )[0]
@@ -343,13 +394,13 @@ def default_field() -> ChainField:
 
 def main_text(html: str | None, chain: ChainField) -> str:
     """The content blocks of a page, one per line."""
-    blocks = blocks_of(html)
+    blocks = blocks_of(html, chain.hints)
     labels = chain.decode(features_of(blocks))
     return "\n".join(b.text for b, label in zip(blocks, labels) if label)
 
 
 def extract(pages: DataFrame, html_col: str = "html", chain: ChainField | None = None, text_col: str = "text") -> DataFrame:
-    """``pages`` with the main text of each page as ``text_col``."""
+    """``pages`` with the main text of each page as ``text_col``; see above for a column of that name."""
     chain = chain or default_field()
 
     @F.pandas_udf("string")
@@ -357,4 +408,4 @@ def extract(pages: DataFrame, html_col: str = "html", chain: ChainField | None =
         for batch in batches:
             yield pd.Series([main_text(html, chain) for html in batch], dtype=object)
 
-    return pages.withColumn(text_col, texts(F.col(html_col)))
+    return with_result(pages, text_col, texts(F.col(html_col)))

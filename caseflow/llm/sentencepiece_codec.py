@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
+from caseflow.llm.common import with_result
+
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
 #: Long texts are segmented in parts of at least this many characters.
@@ -188,7 +190,10 @@ def _sha(text: str) -> str:
 
 
 def encode(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """``df`` with a struct column ``encoded``: ids, begins, ends (source bytes of each piece)."""
+    """``df`` with a struct column ``encoded``: ids, begins, ends (source bytes of each piece).
+
+    A column of that name is kept as ``encoded_given``.
+    """
 
     @F.pandas_udf("ids array<int>, begins array<long>, ends array<long>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -197,11 +202,14 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
             rows = [(ids, spans[:, 0], spans[:, 1]) for ids, spans in map(own.encode, texts.fillna(""))]
             yield pd.DataFrame(rows, columns=["ids", "begins", "ends"])
 
-    return df.withColumn("encoded", encoded(F.col(text_col)))
+    return with_result(df, "encoded", encoded(F.col(text_col)))
 
 
 def decode(df: DataFrame, model: bytes, ids_col: str) -> DataFrame:
-    """``df`` with the text ``decoded`` from an array of ids; null decodes to an empty text."""
+    """``df`` with the text ``decoded`` from an array of ids; null decodes to an empty text.
+
+    A column of that name is kept as ``decoded_given``.
+    """
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -209,7 +217,7 @@ def decode(df: DataFrame, model: bytes, ids_col: str) -> DataFrame:
         for ids in batches:
             yield pd.Series(["" if i is None else own.decode([int(x) for x in i]) for i in ids])
 
-    return df.withColumn("decoded", decoded(F.col(ids_col)))
+    return with_result(df, "decoded", decoded(F.col(ids_col)))
 
 
 def digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -85,3 +86,37 @@ def test_odd_pages(spark, chain):
 def test_long_page(chain):
     page = "<article>" + "<p>Some words that make a sentence.</p>" * 20_000 + "</article>"
     assert extract.main_text(page, chain).count("\n") == 19_999
+
+
+def test_marked_sections_and_unclosed_heads(spark, chain):
+    story = "A first sentence of some length stands here. And another one follows it."
+    whole = f"<article><p>{story}</p></article>"
+    pages = [
+        f"<![foo[x]]>{whole}", f"<![if !IE]><p>{whole}<![endif]>", f"{whole}<![", f"{whole}<!foo bar>", f"<![CDATA[x]]>{whole}",
+        f"<html><head><title>t</title>{whole}", f"<head><meta charset=x><link rel=y><title>t</title>\n{whole}",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    assert [r.text for r in extract.extract(df).orderBy("page_id").collect()] == [story] * len(pages)
+    assert [b.text for b in extract.blocks_of("<head><title>t</title> <p>x")] == ["x"]
+    assert [b.text for b in extract.blocks_of("<head><title>t</title> Plain words.")] == ["Plain words."]
+
+
+@pytest.mark.parametrize("unit", ["<font>", "<font class=x{}>", "<b><p>x", "<li>x<ul>", "<div id=c{}>x", "<ul><li><i>", "<i></b>"])
+def test_time_grows_with_unclosed_tags(chain, unit):
+    page = "".join(unit.format("abcdefgh"[i % 8] * (i % 40)) for i in range(50_000))
+    started = time.perf_counter()
+    extract.main_text(f"<article><p>Words.{page}", chain)
+    assert time.perf_counter() - started < 5
+
+
+def test_telling_words_anywhere():
+    features = extract.features_of(extract.blocks_of("<p>" + "word " * 60 + "cookies and more"))
+    assert "says cookies" in features[0]
+
+
+def test_columns_of_the_caller_stay(spark, chain):
+    df = spark.createDataFrame([(1, PAGE, "own", "older")], "page_id long, html string, text string, text_given string")
+    result = extract.extract(df)
+    assert result.columns == ["page_id", "html", "text_given_given", "text_given", "text"]
+    row = result.first()
+    assert (row.text_given_given, row.text_given, row.text) == ("own", "older", extract.main_text(PAGE, chain))

@@ -59,8 +59,9 @@ def test_odd_rows(spark, model):
 
 
 def test_encode_then_decode(spark, model):
-    df = docs(spark, ODD).drop("encoded")
+    df = docs(spark, ODD)
     encoded = codec.encode(df, model)
+    assert {r.encoded_given for r in encoded.collect()} == {"own encoded"}
     back = codec.decode(encoded.withColumn("ids", encoded["encoded.ids"]), model, "ids")
     for r in back.collect():
         assert r.decoded == (r.text or "") and len(r.encoded.ids) == len(r.encoded.begins) == len(r.encoded.ends)
