@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from caseflow.llm import conversation_trie as trie
 from caseflow.llm import license_scan as scan
 from caseflow.llm import sharding
+from caseflow.llm import vector_codes as codes
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -119,9 +121,95 @@ SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles,
        sets.doc_id = coalesce(component_id, rep, sets.doc_id) AS kept
 FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN least ON rep = node"""
 
+
+
+def _vector_codes() -> str:
+    near = """
+{name} AS (
+  SELECT p.rid, p.p, p.x, min(struct_pack(d := list_sum(list_transform(range(1, len(p.x) + 1),
+           lambda i: (p.x[i] - b.c[i]) * (p.x[i] - b.c[i]))), e := b.e)) AS best
+  FROM parts p JOIN {book} b USING (p) GROUP BY p.rid, p.p, p.x)"""
+    moved = """
+{name} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM {book} b LEFT JOIN (
+    SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT p, best.e AS e, i, sum(x[i]) AS total, count(*) AS n
+      FROM {assigned}, unnest(range(1, len(x) + 1)) u(i) GROUP BY ALL) GROUP BY p, e) m USING (p, e))"""
+    steps = []
+    for k in range(codes.ROUNDS):
+        steps.append(near.format(name=f"near{k}", book=f"book{k}"))
+        steps.append(moved.format(name=f"book{k + 1}", book=f"book{k}", assigned=f"near{k}"))
+    steps.append(near.format(name="final", book=f"book{codes.ROUNDS}"))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding,
+         list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT rid, p, v[p * (len(v) // {codes.PARTS}) + 1 : (p + 1) * (len(v) // {codes.PARTS})] AS x
+  FROM kept, unnest(range({codes.PARTS})) u(p)),
+seeds AS (
+  SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding, label NULLS LAST) - 1 AS e FROM kept),
+book0 AS (SELECT p, e, x AS c FROM parts JOIN seeds USING (rid) WHERE e < {codes.ENTRIES}),
+{",".join(steps)},
+sha AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{codes.ROUNDS}),
+coded AS (
+  SELECT rid, string_agg(lower(lpad(hex(best.e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM final GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid), sha"""
+
+
+def _conversation_trie() -> str:
+    return f"""
+WITH steps AS (
+  SELECT list_transform(range(16), lambda i: list_reduce([i] || range(4), lambda a, k:
+    CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END)) AS step),
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % {trie.FAMILY} AS base, xor(4294967295, list_reduce([4294967295::BIGINT] ||
+    list_transform(range(len(h)), lambda i: instr('0123456789ABCDEF', h[xor(i, 1) + 1]) - 1),
+    lambda a, b: xor(step[xor(a % 16, b) + 1], a // 16))) % {trie.HEADS} AS h
+  FROM (SELECT c, string_split(hex(encode(CAST(c AS VARCHAR))), '') AS h FROM (SELECT DISTINCT c FROM turns)), steps),
+rebuilt AS (
+  SELECT convs.c, 0 AS own, n, role, text FROM convs JOIN turns ON turns.c = base WHERE n <= h
+  UNION ALL SELECT convs.c, 1, n, role, text FROM convs JOIN turns ON turns.c = convs.c WHERE n > h),
+paths AS (
+  SELECT c, row_number() OVER w AS depth, list(struct_pack(role := role, text := text)) OVER w AS path,
+         strlen(text) AS size
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, n)
+  UNION ALL SELECT c, 0, [], 0 FROM convs),
+nodes AS (SELECT path, depth, min(c) AS rep, count(*) AS n_convs, max(size) AS size FROM paths GROUP BY path, depth),
+named AS (SELECT c, depth, rep, n_convs, size FROM paths JOIN nodes USING (path, depth, size)),
+linked AS (
+  SELECT n.rep, n.depth, n.n_convs, n.size, p.rep AS up
+  FROM (SELECT * FROM named WHERE c = rep) n LEFT JOIN named p ON p.c = n.rep AND p.depth = n.depth - 1),
+kids AS (SELECT up AS rep, depth - 1 AS depth, count(*) AS children FROM linked WHERE depth > 0 GROUP BY ALL),
+own AS (
+  SELECT rep, linked.depth, up, n_convs, coalesce(children, 0) AS children, (n_convs - 1) * size AS saved
+  FROM linked LEFT JOIN kids USING (rep, depth)),
+rolled AS (
+  SELECT a.rep, a.depth, count(*) FILTER (o.children = 0) AS leaves, sum(o.saved) AS saved
+  FROM own o JOIN named a ON a.c = o.rep AND a.depth <= o.depth GROUP BY a.rep, a.depth),
+ends AS (
+  SELECT rep, depth, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha
+  FROM (SELECT *, max(depth) OVER (PARTITION BY c) AS last FROM named) WHERE depth = last GROUP BY rep, depth)
+SELECT rep AS conv_id, CAST(depth AS BIGINT) AS depth, up AS parent_conv_id, n_convs, children AS n_children,
+       leaves AS n_leaves, CAST(rolled.saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM own JOIN rolled USING (rep, depth) LEFT JOIN ends USING (rep, depth)"""
+
+
 ORACLES = {
     "op1_license_scan": _license_scan(),
     "op3_sharding": _sharding(),
     "op5_exact_dedup": EXACT_DEDUP,
     "op9_near_dedup": NEAR_DEDUP,
+    "op11_vector_codes": _vector_codes(),
+    "op13_conversation_trie": _conversation_trie(),
 }

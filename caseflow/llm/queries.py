@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import (
+    conversation_trie,
     exact_dedup,
     html_extract,
     language_id,
@@ -16,6 +17,8 @@ from caseflow.llm import (
     quality_rules,
     sentencepiece_codec,
     sharding,
+    toxicity,
+    vector_codes,
 )
 from caseflow.llm.common import table
 
@@ -95,6 +98,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, declared=F.col("lang"), host=F.col("source"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_classifier": op2_quality_classifier,
@@ -106,4 +121,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
+    "op13_conversation_trie": op13_conversation_trie,
 }

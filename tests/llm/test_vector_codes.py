@@ -1,0 +1,115 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+
+from caseflow.llm import queries
+from caseflow.llm import vector_codes as codes
+from tests.llm.frames import SF
+
+KIND = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, parts=16, entries=64, rounds=2):
+    """Lloyd's rounds by plain loops over integers."""
+    kept = [(i, [math.floor(256 * float(x)) for x in v], c) for i, v, c in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    if not kept:
+        return []
+    width = len(kept[0][1]) // parts
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, v, _ in kept]
+    first = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, kept[k][1], kept[k][2] is None, kept[k][2] or 0))
+    books = [[cut[k][p] for k in first[:entries]] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, c)), e) for e, c in enumerate(book))
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            groups = {}
+            for v in cut:
+                groups.setdefault(near(v[p], book)[1], []).append(v[p])
+            books[p] = [[sum(x) // len(groups[e]) for x in zip(*groups[e])] if e in groups else c for e, c in enumerate(book)]
+    found = [[near(v[p], books[p]) for p in range(parts)] for v in cut]
+    sha = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    by_label = {}
+    for (_, _, label), f in zip(kept, found):
+        by_label[label] = by_label.get(label, 0) + sum(d for d, _ in f)
+    return [(i, "".join(f"{e:02x}" for _, e in f), sum(d for d, _ in f), by_label[label], sha) for (i, _, label), f in zip(kept, found)]
+
+
+def vectors(count, width, seed, spread=0.2):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(5)]
+    f32 = lambda x: float(np.float32(x))
+    return [(i, [f32(c + rng.gauss(0, spread)) for c in rng.choice(centres)], rng.choice((None, 0, 1, 2))) for i in range(count)]
+
+
+def same(result, rows, **options):
+    assert sorted(map(tuple, result.collect()), key=repr) == sorted(brute(rows, **options), key=repr)
+
+
+@pytest.mark.parametrize("width", [16, 48])
+def test_by_brute_force(spark, monkeypatch, width):
+    monkeypatch.setattr(codes, "LEAF", 4)
+    monkeypatch.setattr(codes, "CHUNK", 150)
+    rows = vectors(500, width, width)
+    rows += [(1000 + i, rows[3][1], 2) for i in range(300)]  # one very common vector
+    df = spark.createDataFrame(rows, KIND).selectExpr("*", "1 as id", "2 as vector", "'x' as trees", "3 as code", "4 as same")
+    same(codes.compress(df.repartition(3)), rows)
+    same(codes.compress(df, entries=3, rounds=4), rows, entries=3, rounds=4)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    good = vectors(5, 16, 1)
+    rows = [*good, good[0], (None, good[1][1], None), (8, None, 1), (9, [None] * 16, 1), (10, [nan] * 16, 1), (11, [inf] + [0.0] * 15, 1), (12, [0.0] * 16, None), (-3, [-0.001] * 16, 7)]
+    df = spark.createDataFrame(rows, KIND)
+    same(codes.compress(df), rows)
+    assert codes.compress(df.where("vec_id in (8, 9)")).count() == 0 and codes.compress(df.limit(0)).columns == codes.compress(df).columns
+    with pytest.raises(ValueError):
+        codes.compress(spark.createDataFrame([*rows, (20, [1.0] * 32, 1)], KIND))
+    with pytest.raises(ValueError):
+        codes.compress(spark.createDataFrame([(20, [1e30] * 16, 1)], KIND))
+
+
+def test_whole_table(spark):
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    same(queries.op11_vector_codes(spark, SF), rows)
+
+
+@pytest.mark.parametrize("kind", ["cloud", "equal", "line", "grid"])
+def test_trees_cover_and_separate(kind):
+    rng = np.random.default_rng(4)
+    points = {
+        "cloud": rng.integers(-300, 300, (2000, 4)), "equal": np.full((500, 4), 7),
+        "line": np.arange(1000)[:, None] * np.array([[1, 0, 0]]), "grid": rng.integers(0, 3, (900, 2)),
+    }[kind]
+    tree = codes.CoverTree.unpack(codes.build(points).pack())
+    assert (points[tree.order] == tree.points).all() and sorted(tree.order) == list(range(len(points)))
+    for i in range(len(tree.begin)):
+        centre = tree.points[tree.centre[i]]
+        own = tree.points[tree.begin[i] : tree.end[i]]
+        assert np.sqrt(((own - centre) ** 2).sum(1)).max() <= tree.radius[i] + 1e-9
+        kids = np.arange(tree.first[i], tree.first[i] + tree.children[i])
+        if len(kids):
+            assert tree.begin[kids[0]] == tree.begin[i] and tree.end[kids[-1]] == tree.end[i]
+            apart = codes._squares(tree.points[tree.centre[kids]], tree.points[tree.centre[kids]])
+            assert (4 * apart[~np.eye(len(kids), dtype=bool)] > tree.radius[i] ** 2 - 1e-6).all()
+        else:
+            assert len(own) <= codes.LEAF or tree.radius[i] == 0
+    book = rng.integers(-200, 200, (64, points.shape[1]))
+    entry, far = codes.entries_of(tree, book)
+    squares = codes._squares(points, book)
+    assert (entry == squares.argmin(1)).all() and (far == squares.min(1)).all()
+    want = np.zeros((64, 1 + points.shape[1]), np.int64)
+    np.add.at(want, entry, np.concatenate((np.ones((len(points), 1), np.int64), points), axis=1))
+    assert (codes.entry_sums(tree, book) == want).all()
+
+
+def test_whole_subtrees_are_given_away():
+    """Well-parted points are assigned without a comparison of each."""
+    rng = np.random.default_rng(5)
+    points = np.repeat(rng.integers(-100_000, 100_000, (64, 4)), 200, axis=0) + rng.integers(-50, 50, (12_800, 4))
+    (nodes, _), (single, _) = codes.assign(codes.build(points), points[::200].copy())
+    assert len(single) < 1300 and len(nodes) < 1300
