@@ -19,18 +19,22 @@ partitions, and grows with the budget without losing anyone.
 Defined results: null values of source or language are the value ``OTHER``; null
 and empty texts have no tokens and count as one token each, so that they have a
 cell. Repeated rows share their draw. An empty table gives an empty result. Targets
-that no document can meet are dropped and the rest scaled up.
+that no document can meet are dropped and the rest scaled up; if a margin has no other,
+all weights and probabilities are 0 and nothing is kept. Margins that contradict each
+other cannot all be met: raking then ends after ``ROUNDS`` rounds with a warning that
+names the largest deviation.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import BROADCAST_ROWS, SPACES, cut, draw, words
+from caseflow.llm.common import BROADCAST_ROWS, SPACES, cut, draw, text_key, words
 
 OTHER = "(other)"
 DRIVER_CELLS = 100_000
@@ -82,9 +86,20 @@ def rake_cells(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.nd
             ratio = np.divide(target, margin, out=np.zeros_like(target), where=margin > 0)
             off = max(off, float(np.abs(margin - target).max()))
             fitted = fitted * ratio[place]
-        if off < TOLERANCE:
+        if off < TOLERANCE or not fitted.any():
             break
-    return fitted / fitted.sum()
+    return _whole(fitted, off)
+
+
+def _whole(fitted: np.ndarray, off: float) -> np.ndarray:
+    """The fitted weights as shares of 1, or zeros if nothing is left."""
+    _announce(off, float(fitted.sum()))
+    return fitted / fitted.sum() if fitted.any() else np.zeros_like(fitted)
+
+
+def _announce(off: float, mass: float) -> None:
+    if mass > 0 and off > 1000 * TOLERANCE:
+        warnings.warn(f"raking ended after {ROUNDS} rounds with a margin off by {off:.2g}", stacklevel=3)
 
 
 def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.ndarray:
@@ -109,7 +124,7 @@ def _targets(seen: Mapping[str, float], stated: Mapping[str, float] | None) -> d
     return {k: v / total for k, v in raw.items()} if total else {}
 
 
-def mix(
+def judge(
     df: DataFrame,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     budget: float = BUDGET,
@@ -120,23 +135,28 @@ def mix(
     topic: Column | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """``df`` with ``__topic``, ``__tokens``, ``__weight`` (of the cell), ``__probability`` and ``__kept``.
+    """The verdict on each row of ``df``, without its text.
 
-    ``targets`` may state shares for "source", "lang" and "topic"; a margin that it
-    leaves out keeps its shares, flattened. ``budget`` is a share of all tokens.
-    Values that a stated margin does not name have no target and leave the mix.
+    Columns: ``__id``, ``__key`` (of the text), ``__source``, ``__lang``, ``__topic``,
+    ``__tokens``, ``__weight`` (of the cell), ``__probability`` and ``__kept``. ``targets``
+    may state shares for "source", "lang" and "topic"; a margin that it leaves out keeps
+    its shares, flattened. ``budget`` is a share of all tokens. Values that a stated
+    margin does not name have no target and leave the mix. Texts are read once.
     """
     targets = targets or {}
-    rows = df.withColumns(
-        {
-            "__source": F.coalesce(F.col(source_col).cast("string"), F.lit(OTHER)),
-            "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(OTHER)),
-            "__topic": F.coalesce(text_topic(F.col(text_col)) if topic is None else topic, F.lit(OTHER)),
-            "__tokens": token_count(F.col(text_col)),
-        }
+    rows = cut(
+        df.select(
+            F.col(id_col).alias("__id"),
+            text_key(F.col(text_col)).alias("__key"),
+            draw(seed, F.col(id_col), F.col(text_col)).alias("__draw"),
+            F.col(source_col).cast("string").alias("__source"),
+            F.col(lang_col).cast("string").alias("__lang"),
+            F.coalesce(text_topic(F.col(text_col)) if topic is None else topic.cast("string"), F.lit(OTHER)).alias("__topic"),
+            token_count(F.col(text_col)).alias("__tokens"),
+        )
     )
-    columns = [f"__{m}" for m in MARGINS]
-    sums = rows.groupBy(*columns).agg(F.sum("__tokens").cast("double").alias("tokens"))
+    places = [F.coalesce(F.col(f"__{m}"), F.lit(OTHER)) for m in MARGINS]
+    sums = rows.groupBy(*[p.alias(f"__{m}") for p, m in zip(places, MARGINS)]).agg(F.sum("__tokens").cast("double").alias("tokens"))
     cells = cut(sums.toDF("__s", "__l", "__t", "tokens"), rows.count())
     n_cells = cells.count()
     if n_cells <= DRIVER_CELLS:
@@ -146,10 +166,34 @@ def mix(
         looked_up = _calibrated_table(_raked_table(cells, targets, n_cells), budget)
     if n_cells <= BROADCAST_ROWS:
         looked_up = F.broadcast(looked_up)
-    on = (F.col("__source") == F.col("__s")) & (F.col("__lang") == F.col("__l")) & (F.col("__topic") == F.col("__t"))
-    drawn = draw(seed, F.col(id_col), F.col(text_col))
-    mixed = rows.join(looked_up, on, "left").withColumn("__kept", drawn < F.col("__probability"))
-    return mixed.select(*df.columns, "__topic", "__tokens", "__weight", "__probability", "__kept")
+    on = (places[0] == F.col("__s")) & (places[1] == F.col("__l")) & (places[2] == F.col("__t"))
+    judged = rows.join(looked_up, on, "left").withColumn("__kept", F.col("__draw") < F.col("__probability"))
+    return judged.select("__id", "__key", "__source", "__lang", "__topic", "__tokens", "__weight", "__probability", "__kept")
+
+
+def _same_row(df: DataFrame, options: Mapping) -> Column:
+    """Whether a row of ``df`` is one that a verdict (columns renamed to ``v_...``) is about; nulls match nulls."""
+    source, lang = (F.col(options.get(c, d)).cast("string") for c, d in (("source_col", "source"), ("lang_col", "lang")))
+    same = F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("v_id"))
+    same = same & (text_key(F.col(options.get("text_col", "text"))) == F.col("v_key"))
+    same = same & source.eqNullSafe(F.col("v_source")) & lang.eqNullSafe(F.col("v_lang"))
+    if options.get("topic") is not None:
+        same = same & (F.coalesce(options["topic"].cast("string"), F.lit(OTHER)) == F.col("v_topic"))
+    return same
+
+
+_KEYS = ("__id", "__key", "__source", "__lang", "__topic")
+
+
+def mix(df: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, **options) -> DataFrame:
+    """``df`` with ``__topic``, ``__tokens``, ``__weight`` (of the cell), ``__probability`` and ``__kept``.
+
+    For options see ``judge``, whose verdict is joined to the rows by id and text.
+    """
+    judged = judge(df, targets, budget, **options).dropDuplicates(list(_KEYS))
+    judged = judged.withColumnsRenamed({c: f"v{c[1:]}" for c in _KEYS})
+    added = [F.col("v_topic").alias("__topic"), "__tokens", "__weight", "__probability", "__kept"]
+    return df.join(judged, _same_row(df, options), "left").select(*df.columns, *added)
 
 
 def _probabilities(cells: list, targets: Mapping, budget: float) -> list[tuple]:
@@ -201,10 +245,11 @@ def _raked_table(cells: DataFrame, targets: Mapping, n_cells: int) -> DataFrame:
             joined = fitted.join(ratios.select("value", "ratio"), F.col(axis) == F.col("value"))
             fitted = joined.select(*axes, "tokens", (F.col("__weight") * F.col("ratio")).alias("__weight"))
         fitted = cut(fitted, n_cells)
-        if off < TOLERANCE:
+        if off < TOLERANCE or fitted.where("__weight > 0").isEmpty():
             break
     mass = fitted.agg(F.sum("__weight")).first()[0]
-    return fitted.withColumn("__weight", F.col("__weight") / mass)
+    _announce(off, mass)
+    return fitted.withColumn("__weight", F.col("__weight") / mass if mass > 0 else F.lit(0.0))
 
 
 def _calibrated_table(cells: DataFrame, budget: float) -> DataFrame:
@@ -225,6 +270,15 @@ def _calibrated_table(cells: DataFrame, budget: float) -> DataFrame:
     return cells.select("__s", "__l", "__t", "__weight", chance.alias("__probability"))
 
 
-def sample(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that the mix keeps."""
-    return mix(df, **options).where("__kept").select(*df.columns)
+def sample(df: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, **options) -> DataFrame:
+    """The rows of ``df`` that the mix keeps.
+
+    Keys of dropped rows are broadcast only if counted and few; otherwise both sides
+    are shuffled.
+    """
+    judged = judge(df, targets, budget, **options)
+    dropped = cut(judged.where("not coalesce(__kept, false)").select(*_KEYS).distinct())
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    dropped = dropped.withColumnsRenamed({c: f"v{c[1:]}" for c in _KEYS})
+    return df.join(dropped, _same_row(df, options), "left_anti")

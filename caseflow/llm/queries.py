@@ -72,10 +72,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select(
-        "doc_id",
-        "source",
-        "lang",
+    return mixing.judge(table(spark, sf_dir, "documents")).select(
+        F.col("__id").alias("doc_id"),
+        F.col("__source").alias("source"),
+        F.col("__lang").alias("lang"),
         F.col("__topic").alias("topic"),
         F.col("__tokens").alias("n_tokens"),
         F.col("__weight").alias("cell_weight"),

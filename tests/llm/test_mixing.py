@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from caseflow.llm import mixing, queries
@@ -64,7 +67,7 @@ def test_stated_targets(spark):
     assert abs(by["en"] - 200) < 60 and abs(by["de"] - 200) < 60
 
 
-def test_rare_values_share_a_cell(spark):
+def test_equal_sources_have_equal_weights(spark):
     rows = [(i, "a b c", "en", f"rare{i}") for i in range(400)] + [(1000 + i, "a b c", "en", "big") for i in range(600)]
     result = mixing.mix(docs(spark, rows, KIND, clash=False))
     assert result.select("source", "__weight").distinct().select("__weight").distinct().count() == 2
@@ -104,3 +107,73 @@ def test_tables_follow_the_steps_of_the_arrays(spark, monkeypatch):
             patch.setattr(mixing, "DRIVER_CELLS", 100_000)
             arrays = mixing.mix(df, targets, budget).select(columns).orderBy("doc_id").toPandas()
         assert len(tables) == len(rows) and np.allclose(arrays, tables, rtol=1e-9)
+
+
+def plain_topic(text):
+    """The topic by counting characters one by one."""
+    text = text or ""
+    share = lambda marks: sum(c in marks for c in text) / len(text)
+    if not text:
+        return "empty"
+    for marks, least, name in (("|", 0.05, "table"), ("#$%&*<>", 0.1, "markup"), ("!", 0.1, "loud")):
+        if share(marks) > least:
+            return name
+    return "note" if len(text) < 600 else "article" if len(text) < 6000 else "long read"
+
+
+def test_topics_and_weights_by_plain_loops(spark):
+    """Words, topics, raking and calibration without the module's own functions."""
+    texts = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    tokens = {i: max(1, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for i, r in texts.items()}
+    cell = {i: (r.source, r.lang, plain_topic(r.text)) for i, r in texts.items()}
+    total, sums = sum(tokens.values()), {}
+    for i, c in cell.items():
+        sums[c] = sums.get(c, 0) + tokens[i]
+    targets = []
+    for axis in range(3):
+        seen = {}
+        for c, n in sums.items():
+            seen[c[axis]] = seen.get(c[axis], 0) + n / total
+        flat = {v: s**mixing.FLATTEN for v, s in seen.items()}
+        targets.append({v: s / sum(flat.values()) for v, s in flat.items()})
+    weight = {c: n / total for c, n in sums.items()}
+    for _ in range(mixing.ROUNDS):
+        for axis, target in enumerate(targets):
+            margin = {}
+            for c, w in weight.items():
+                margin[c[axis]] = margin.get(c[axis], 0) + w
+            weight = {c: w * target[c[axis]] / margin[c[axis]] for c, w in weight.items()}
+    chance, low, high = {}, 0.0, 1e12
+    for _ in range(200):  # the scale by halving: expected tokens grow with it
+        scale = (low + high) / 2
+        chance = {c: min(1.0, scale * w / sums[c]) for c, w in weight.items()}
+        low, high = (scale, high) if sum(chance[c] * n for c, n in sums.items()) < mixing.BUDGET * total else (low, scale)
+    for r in queries.op7_mixing(spark, SF).collect():
+        assert (r.source, r.lang, r.topic) == cell[r.doc_id] and r.n_tokens == tokens[r.doc_id]
+        assert np.isclose(r.cell_weight, weight[cell[r.doc_id]]) and np.isclose(r.probability, chance[cell[r.doc_id]])
+
+
+@pytest.mark.parametrize("cells", [0, 100_000])
+def test_targets_that_no_row_meets(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+    df = docs(spark, [(i, "a b c", "en", f"s{i % 3}") for i in range(30)], KIND)
+    result = mixing.mix(df, {"lang": {"fr": 1.0}}).collect()
+    assert len(result) == 30 and {(r["__weight"], r["__probability"], r["__kept"]) for r in result} == {(0.0, 0.0, False)}
+    assert mixing.sample(df, {"lang": {"fr": 1.0}}).count() == 0
+
+
+@pytest.mark.parametrize("cells", [0, 100_000])
+def test_contradicting_margins_are_announced(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
+    df = docs(spark, [(i, "a b c", "en" if i % 2 else "de", "s1" if i % 2 else "s2") for i in range(30)], KIND, clash=False)
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.mix(df, {"lang": {"en": 0.9, "de": 0.1}, "source": {"s1": 0.1, "s2": 0.9}}).count()
+
+
+def test_rows_that_share_id_and_text_keep_their_own_source(spark):
+    rows = [(1, "a b c", "en", "s1"), (1, "a b c", "en", "s2"), (1, "a b c", None, None), (1, "a b c", None, None)] * 2
+    df = docs(spark, rows, KIND)
+    result = mixing.mix(df, {"source": {"s1": 1.0}}, budget=1.0)
+    assert result.count() == len(rows) and result.where("__kept").select("source").distinct().collect() == [("s1",)]
+    assert [r.source for r in mixing.sample(df, {"source": {"s1": 1.0}}, budget=1.0).collect()] == ["s1", "s1"]
