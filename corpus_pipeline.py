@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caseflow.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
 from caseflow.llm.common import cut, table
-from caseflow.llm.queries import NEAR_PERCENT, tokenizer_path
+from caseflow.llm.queries import tokenizer_path
+
+#: Least similarity, in percent, of texts of which one stays.
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
