@@ -24,7 +24,7 @@ from caseflow.llm.common import table
 
 SHARDS = 8
 TOKENIZER = "piece_bpe_32k.model"
-#: Least similarity of the near-dedup query and its SQL, and of the pipeline's stage and its test.
+#: Least similarity of the near-dedup query and its SQL, in percent.
 NEAR_PERCENT = 85
 
 

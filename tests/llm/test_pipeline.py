@@ -42,7 +42,7 @@ def test_stages(spark):
     assert {i for i, _ in texts["language_id"]} == start  # all are clean in this respect
     after_exact = {i for i, _, _, kept, _ in exact(texts["language_id"]) if kept}
     assert {i for i, _ in texts["exact_dedup"]} == after_exact
-    after_near = {i for i, _, _, kept in near(texts["exact_dedup"]) if kept}
+    after_near = {i for i, _, _, kept in near(texts["exact_dedup"], 80) if kept}
     assert {i for i, _ in texts["near_dedup"]} == after_near
     again = mixing.mix(spark.createDataFrame(seen["near_dedup"])).collect()
     assert {i for i, _ in texts["mixing"]} == {r.doc_id for r in again if r["__kept"]}
