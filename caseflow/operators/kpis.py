@@ -254,30 +254,27 @@ def daily_trend(rows: DataFrame, points: int = fixed.TREND_POINTS) -> DataFrame:
     )
 
 
+_IMPACT = "volume_share * sla_breach_rate * greatest(avg_resolution_time, 0.0D)"
+
+
 def _with_impact(df: DataFrame) -> DataFrame:
     """Share of all rows, and impact; ``df`` is a bounded report with an ``all`` row."""
     share = "coalesce(try_divide(total_requests, max(if(scope = 'all', total_requests, NULL)) OVER (PARTITION BY 1)), 0.0D)"
     return df.selectExpr("*", f"{share} AS volume_share").selectExpr(
         "*",
-        "volume_share * sla_breach_rate * greatest(avg_resolution_time, 0.0D) AS impact_score",
+        f"{_IMPACT} AS impact_score",
     )
 
 
 def top_types(rows: DataFrame, top_n: int = fixed.TOP_N) -> DataFrame:
     """Largest complaint types with their share of all rows and impact score.
 
-    The grand total comes out of the same pass: its row sorts before every
-    type, so it survives the limit and is spread over the few rows left.
+    The grand total is the sum over the types, one row each, before the limit.
     """
-    if "complaint_type" not in rows.columns:
-        rows = rows.withColumn("complaint_type", F.lit(None).cast("string")).filter(F.lit(False))
-    scoped = _kpi_columns(_scoped(rows, ("all", "complaint_type")))
-    leading = scoped.orderBy(
-        F.when(F.col("scope") == "all", 0).otherwise(1),
-        F.desc("total_requests"),
-        "first_key",
-    ).limit(top_n + 1).withColumnRenamed("first_key", "complaint_type")
-    types = _with_impact(leading).filter(F.col("scope") == "complaint_type")
+    types = segment_kpis(rows, ["complaint_type"])
+    total = F.sum("total_requests").over(Window.partitionBy(F.lit(1)))
+    types = types.withColumn("volume_share", F.coalesce(F.try_divide("total_requests", total), F.lit(0.0)))
+    types = types.withColumn("impact_score", F.expr(_IMPACT))
     return _top(types, ["complaint_type"], top_n).select(*TYPE_COLUMNS)
 
 
@@ -380,6 +377,11 @@ def _scoped(rows: DataFrame, scopes: Sequence[str]) -> DataFrame:
         "(scope <> 'created_day' OR created_day IS NOT NULL)"
         " AND (scope <> 'age_bucket' OR first_key IS NOT NULL)"
     )
+    return scopes_of(spread)
+
+
+def scopes_of(spread: DataFrame) -> DataFrame:
+    """Tallies and quantiles per scope and key of cells, spread over their scopes."""
     return _quantiles(spread.groupBy(*_SHARED_KEYS, DAYS).agg(*_add_tallies()), _SHARED_KEYS)
 
 
@@ -410,6 +412,11 @@ def kpi_cube(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Days rank by date, age buckets from young to old, all others by volume.
     """
+    return cube_of_scopes(_scoped(rows, available_scopes(rows)), limits)
+
+
+def cube_of_scopes(scoped: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``kpi_cube`` of tallies and quantiles per scope and key."""
     limit_of = {
         "all": 1,
         "created_day": limits.trend_points,
@@ -418,8 +425,7 @@ def kpi_cube(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     }
     allowed = " ".join(f"WHEN '{scope}' THEN {limit}" for scope, limit in limit_of.items())
     with_quantiles = ", ".join(f"'{scope}'" for scope in _GRAINS[0][0])
-    scoped = with_ses(_kpi_columns(_scoped(rows, available_scopes(rows))))
-    ranked = scoped.withColumns(
+    ranked = with_ses(_kpi_columns(scoped)).withColumns(
         {
             # known only where the scope's cells keep the day counts
             **{c: F.expr(f"if(scope IN ({with_quantiles}), {c}, NULL)") for c in _QUANTILES},

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import fixed_values as fixed
@@ -20,34 +20,39 @@ from caseflow.operators.schema import alias_map, alias_warnings, missing_fields
 _NO_NAMES = "CAST(array() AS array<string>)"
 
 
-def _field_stats(df: DataFrame, formats: Sequence[str]) -> DataFrame:
-    """One row: row count and an array with the figures of each required field.
-
-    The figures stay 0 and unflagged if the table is empty or lacks a field.
-    """
-    missing = missing_fields(df)
+def count_columns(df: DataFrame, formats: Sequence[str] = fixed.TIMESTAMP_FORMATS) -> list[Column]:
+    """The aggregates behind a verdict on ``df``, by ``agg`` or by ``observe``."""
     counts = [F.count(F.lit(1)).alias("row_count")]
-    if not missing:
-        counts += [F.count_if(F.col(f).isNull()).alias(f"null_{f}") for f in fixed.REQUIRED_FIELDS]
+    if not missing_fields(df):
+        counts += [F.count(F.when(F.col(f).isNull(), 1)).alias(f"null_{f}") for f in fixed.REQUIRED_FIELDS]
         counts += [
-            F.count_if(
-                F.col(f).isNotNull() & parse_column(df, f, formats).isNull()
-            ).alias(f"bad_{f}")
+            F.count(F.when(F.col(f).isNotNull() & parse_column(df, f, formats).isNull(), 1)).alias(f"bad_{f}")
             for f in fixed.DATE_FIELDS
         ]
+    return counts
+
+
+def _field_stats(df: DataFrame, formats: Sequence[str], counted: DataFrame | None = None) -> DataFrame:
+    """One row: row count and an array with the figures of each required field.
+
+    The figures stay 0 and unflagged if the table is empty or lacks a field. ``counted``
+    has the ``count_columns`` if they are known already.
+    """
+    missing = missing_fields(df)
     checked = str(not missing).lower()
-    counted = []
+    listed = []
     for position, field in enumerate(fixed.REQUIRED_FIELDS):
         nulls = "0L" if missing else f"null_{field}"
         malformed = f"bad_{field}" if not missing and field in fixed.DATE_FIELDS else "0L"
-        counted.append(
+        listed.append(
             f"named_struct('position', {position}, 'field', '{field}',"
             f" 'present', {str(field not in missing).lower()},"
             f" 'null_count', {nulls}, 'malformed_count', {malformed})"
         )
-    return df.agg(*counts).selectExpr(
+    counted_rows = df.agg(*count_columns(df, formats)) if counted is None else counted
+    return counted_rows.selectExpr(
         "row_count",
-        f"""transform(array({", ".join(counted)}), f -> named_struct(
+        f"""transform(array({", ".join(listed)}), f -> named_struct(
           'position', f.position, 'field', f.field, 'present', f.present,
           'null_count', f.null_count,
           'null_rate', coalesce(try_divide(f.null_count, row_count), 0.0D),
@@ -69,6 +74,7 @@ def verdict(
     df: DataFrame,
     renames: dict[str, str] | None = None,
     formats: Sequence[str] = fixed.TIMESTAMP_FORMATS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row: is the table valid, and why not.
 
@@ -84,7 +90,7 @@ def verdict(
     absent = [fixed.MISSING_MESSAGE.format(fields=", ".join(missing))] if missing else []
     is_date = "f.field IN (" + ", ".join(quoted(d) for d in fixed.DATE_FIELDS) + ")"
     return (
-        _field_stats(df, formats)
+        _field_stats(df, formats, counted)
         .selectExpr(
             "row_count",
             "fields",
@@ -155,11 +161,13 @@ def read_verdict(
     df: DataFrame,
     formats: Sequence[str] = fixed.TIMESTAMP_FORMATS,
     renames: dict[str, str] | None = None,
+    counted: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Aliases and verdict together: (records with canonical names, verdict).
 
-    ``renames`` are aliases that the caller has resolved before.
+    ``renames`` are aliases that the caller has resolved before; ``counted`` are the
+    verdict's counts if they are known.
     """
     found = alias_map(df.columns)
     records = df.withColumnsRenamed(found)
-    return records, verdict(records, {**(renames or {}), **found}, formats)
+    return records, verdict(records, {**(renames or {}), **found}, formats, counted)

@@ -43,19 +43,38 @@ def analyse(
 
     An invalid verdict leaves every later frame without rows; ``gated=False``
     goes on regardless. One set of ``formats`` serves checks, parsing and KPIs;
-    ``renames`` are aliases resolved before. With a snapshot path the processed
-    records are written once as Parquet beside it, from which both the snapshot
-    (JSON lines) and the KPIs are read, so cleaning runs once.
+    ``renames`` are aliases resolved before. With a snapshot path one pass reads the raw
+    records, counts what the verdict needs and writes the processed records as Parquet
+    beside the path; the gate then is known, and the snapshot (JSON lines) and the KPIs
+    are read from the Parquet.
     """
     named, table_verdict = quality.read_verdict(df, formats, renames)
     # the steps below read these; a table without them fails the gate anyway
     absent = [f for f in ("unique_key", *fixed.DATE_FIELDS) if f not in named.columns]
-    named = named.withColumns({f: F.lit(None).cast("string") for f in absent})
-    passed = quality.gate(named, table_verdict) if gated else named
-    processed = features.add_features(clean.clean(passed), formats)
-    written = None
+
+    def process(records: DataFrame) -> DataFrame:
+        whole = records.withColumns({f: F.lit(None).cast("string") for f in absent})
+        return features.add_features(clean.clean(whole), formats)
+
+    written, staging = None, None
     if snapshot_path is not None:
-        processed, written = snapshots.try_write_rows_and_snapshot(processed, snapshot_path)
+        counts = quality.count_columns(named, formats)
+        path = f"{snapshot_path.rstrip('/')}-rows"
+        staging, figures = snapshots.try_stage_observed(df, path, named, counts, process)
+        if figures is not None:
+            schema = ", ".join(f"{name} long" for name in figures)
+            counted = df.sparkSession.createDataFrame([tuple(figures.values())], schema)
+            table_verdict = quality.read_verdict(df, formats, renames, counted)[1]
+    kept = None
+    if staging is not None:
+        if gated and not table_verdict.first()["is_valid"]:
+            snapshots.discard(df.sparkSession, staging)
+            kept = process(named).filter(F.lit(False))
+        else:
+            kept = snapshots.try_publish(df.sparkSession, staging, path)
+    processed = process(quality.gate(named, table_verdict) if gated else named) if kept is None else kept
+    if kept is not None:
+        written = snapshots.try_write_snapshot(kept, snapshot_path)
     rows = kpis.measures(kpis.require_sla(processed), as_of, formats)
     pack = kpis.kpi_pack(kpis.kpi_cube(rows, limits))
     if gated:
@@ -99,5 +118,5 @@ def analyse_window(
     renames = schema.alias_map(df.columns)
     named = df.withColumnsRenamed(renames)
     ties = [t for t in ties if t in named.columns]
-    scanned = windows.window_scan_or_latest(named, column, first, last, limit, ties, formats, day_column)
+    scanned = windows.window_scan_or_latest(named, column, first, last, limit, ties, formats, day_column, ordered=False)
     return analyse(scanned, as_of=as_of, formats=formats, renames=renames, **options)

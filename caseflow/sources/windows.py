@@ -103,19 +103,22 @@ def tie_columns(df: DataFrame, ties: Sequence[str] = ()) -> list[str]:
 
 
 def first_rows(
-    df: DataFrame, order: Column, ties: Sequence[str], limit: int | None
+    df: DataFrame, order: Column, ties: Sequence[str], limit: int | None, ordered: bool = True
 ) -> DataFrame:
     """The first ``limit`` rows by a numeric key; all rows, sorted, without a limit.
 
+    A caller that needs no order says so with ``ordered=False``: all rows then come as
+    they are read, without a sort or shuffle.
+
     Rows without a key come last. A plain sort with limit sends up to ``limit``
     rows of *every* input split to one task. Two steps keep that task small: rows
     are cut to the slot (hour) of the key in which the limit is reached, and what
     is left is limited per split, then per bucket of splits, before it meets. So
     one task sees ``limit`` rows per bucket, even if all rows fall in one hour.
     """
-    ordered = [order.asc_nulls_last(), *[F.col(f"`{c}`").asc_nulls_last() for c in ties]]
+    by = [order.asc_nulls_last(), *[F.col(f"`{c}`").asc_nulls_last() for c in ties]]
     if limit is None or limit <= 0:
-        return df.orderBy(*ordered)
+        return df.orderBy(*by) if ordered else df
     slot = F.coalesce(F.floor(order / _SLOT_MICROS), F.lit(_LAST_SLOT))
     counts = df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # one row per hour that has rows, so this window stays small
@@ -129,9 +132,9 @@ def first_rows(
     )
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     early = df.filter(slot <= cut.scalar()).withColumn("_bucket", F.spark_partition_id() % buckets)
-    ranked = F.row_number().over(Window.partitionBy("_bucket").orderBy(*ordered))
+    ranked = F.row_number().over(Window.partitionBy("_bucket").orderBy(*by))
     leading = early.withColumn("_place", ranked).filter(F.col("_place") <= limit)
-    return leading.drop("_bucket", "_place").orderBy(*ordered).limit(limit)
+    return leading.drop("_bucket", "_place").orderBy(*by).limit(limit)
 
 
 _SLOT_MICROS = 3_600_000_000
@@ -151,13 +154,15 @@ def window_scan(
     ties: Sequence[str] = (),
     formats: Sequence[str] = fixed.TIMESTAMP_FORMATS,
     day_column: str | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Rows of the window, oldest first: all of them, or the first ``limit``.
 
-    Ties are settled by ``ties`` and then by all other columns.
+    Ties are settled by ``ties`` and then by all other columns. ``ordered=False`` gives
+    the same rows in no order.
     """
     inside = df.filter(in_window(df, column, start, end, formats, day_column))
-    return first_rows(inside, _micros(df, column, formats), tie_columns(df, ties), limit)
+    return first_rows(inside, _micros(df, column, formats), tie_columns(df, ties), limit, ordered)
 
 
 def window_scan_or_latest(
@@ -169,6 +174,7 @@ def window_scan_or_latest(
     ties: Sequence[str] = (),
     formats: Sequence[str] = fixed.TIMESTAMP_FORMATS,
     day_column: str | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """``window_scan``, or the latest rows of the table if the window is empty.
 
@@ -184,4 +190,4 @@ def window_scan_or_latest(
     flag = F.broadcast(empty.select(F.col("n").cast("int").alias("_flag")))
     latest = df.withColumn("_order", -micros).withColumn("_flag", F.pmod(F.hash(F.col(column)), F.lit(1)))
     latest = latest.join(flag, "_flag", "left_semi").drop("_flag")
-    return first_rows(hit.unionByName(latest), F.col("_order"), tie_columns(df, ties), limit).drop("_order")
+    return first_rows(hit.unionByName(latest), F.col("_order"), tie_columns(df, ties), limit, ordered).drop("_order")

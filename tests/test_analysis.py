@@ -3,8 +3,11 @@ from __future__ import annotations
 import json
 from datetime import date
 
+import pytest
+
 from caseflow.operators import kpis
 from caseflow.plans import analysis
+from caseflow.sources import snapshots
 from tests.records import FIELDS, SCHEMA_STATUS, UNTIDY, WEEK
 
 AS_OF = "2024-06-20"
@@ -96,3 +99,58 @@ def test_snapshot_changes_no_moment(spark, tmp_path):
     plain = analysis.analyse(df, AS_OF, formats=formats)
     saved = analysis.analyse(df, AS_OF, formats=formats, snapshot_path=str(tmp_path / "run"))
     assert sorted(map(str, saved.records.collect())) == sorted(map(str, plain.records.collect()))
+
+
+def test_a_run_over_a_window_is_not_sorted(spark):
+    run = analysis.analyse_window(spark.createDataFrame(WEEK, SCHEMA_STATUS), start="2024-05-07", end="2024-05-09", as_of=date(2024, 6, 20))
+    for frame in (run.records, run.pack):
+        assert "rangepartitioning" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def counted_file(spark, tmp_path):
+    """A record file whose rows are counted whenever they are read."""
+    spark.createDataFrame(WEEK, SCHEMA_STATUS).repartition(3).write.parquet(str(tmp_path / "raw"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.read.parquet(str(tmp_path / "raw"))
+    return df.mapInArrow(seen, df.schema), reads
+
+
+def test_a_run_with_a_snapshot_reads_its_records_once(spark, tmp_path, counted_file):
+    df, reads = counted_file
+    run = analysis.analyse(df, AS_OF, snapshot_path=str(tmp_path / "run"))
+    verdict, pack, actions = run.verdict.first(), run.pack.collect(), run.actions.collect()
+    assert run.records.count() == len(WEEK) and reads.value == len(WEEK)
+    plain = analysis.analyse(df, AS_OF)
+    assert (verdict, pack, actions) == (plain.verdict.first(), plain.pack.collect(), plain.actions.collect())
+    assert snapshots.is_published(spark, run.snapshot) and not list(tmp_path.glob("_staging*"))
+
+
+def test_records_are_counted_anew_if_a_stage_ran_again(spark, tmp_path, monkeypatch, counted_file):
+    df, reads = counted_file
+    monkeypatch.setattr(snapshots, "_ran_again", lambda spark, group: True)
+    run = analysis.analyse(df, AS_OF, snapshot_path=str(tmp_path / "run"))
+    assert run.verdict.first() == analysis.analyse(df, AS_OF).verdict.first() and run.pack.first()["total_requests"] == 7
+    assert reads.value > len(WEEK)
+
+
+def test_an_invalid_run_publishes_no_rows(spark, tmp_path):
+    for rows, drop in ((UNTIDY, ()), (WEEK, ("agency", "created_date"))):
+        base = tmp_path / f"run{len(drop)}"
+        df = spark.createDataFrame(rows, SCHEMA_STATUS).drop(*drop)
+        run = analysis.analyse(df, AS_OF, snapshot_path=str(base))
+        assert run.verdict.first() == analysis.analyse(df, AS_OF).verdict.first() and not run.verdict.first()["is_valid"]
+        assert run.records.count() == run.actions.count() == 0 and not list(tmp_path.glob("*-rows"))
+
+
+def test_a_failed_write_leaves_the_run_going(spark, tmp_path):
+    (tmp_path / "run-rows").mkdir()
+    with pytest.warns(UserWarning, match="snapshot not written"):
+        run = analysis.analyse(spark.createDataFrame(WEEK, SCHEMA_STATUS), AS_OF, snapshot_path=str(tmp_path / "run"))
+    assert run.snapshot is None and run.pack.first()["total_requests"] == 7 and not list(tmp_path.glob("_staging*"))

@@ -248,3 +248,27 @@ def test_frames(spark):
     assert sorted(tuple(r) for r in grouped) == [("PARKS", 2), ("ROADS", 1), ("WATER", 2)]
     assert frames.group_by(df, ["agency"]).count() == 3
     assert frames.row_count(df).first()[0] == 5
+
+
+def test_half_written_snapshots_are_not_read(spark, tmp_path):
+    df = spark.range(100).repartition(4).selectExpr("id", "if(id = 77, raise_error('lost'), 'x') AS text")
+    with pytest.warns(UserWarning, match="snapshot not written"):
+        assert snapshots.try_write_snapshot(df, str(tmp_path / "half")) is None
+    assert not snapshots.is_published(spark, str(tmp_path / "half")) and not list(tmp_path.iterdir())
+    with pytest.raises(ValueError, match="no finished snapshot"):
+        snapshots.read_snapshot(spark, str(tmp_path / "half"), df.schema)
+    path = snapshots.write_snapshot(df.where("id < 50"), str(tmp_path / "deep" / "whole"))
+    assert snapshots.read_snapshot(spark, path, df.schema).count() == 50
+    next((tmp_path / "deep" / "whole").glob("part-*")).unlink()  # a part that went missing
+    with pytest.raises(ValueError, match="no finished snapshot"):
+        snapshots.read_snapshot(spark, path, df.schema)
+
+
+def test_a_window_without_order_is_not_sorted(spark):
+    df = spark.range(200, numPartitions=5).selectExpr("timestampadd(MINUTE, cast(id AS int), timestamp_ntz'2024-05-06 00:00:00') AS at", "id")
+    day = date(2024, 5, 6)
+    for scan in (windows.window_scan, windows.window_scan_or_latest):
+        free, sorted_rows = scan(df, "at", day, day, ordered=False), scan(df, "at", day, day)
+        assert sorted(free.collect()) == sorted_rows.collect()
+        assert "rangepartitioning" not in free._jdf.queryExecution().executedPlan().toString()
+        assert scan(df, "at", day, day, 3, ordered=False).count() == 3
