@@ -348,6 +348,17 @@ def _grains(scopes: Sequence[str]) -> list[tuple[list[str], list[str]]]:
     return needed
 
 
+def scope_member(scope: str) -> str:
+    """A cell's place in a scope, as a struct of the shared keys."""
+    keys = SCOPE_KEYS[scope]
+    day = "created_day" if "created_day" in keys else "NULL"
+    texts = [k for k in keys if k != "created_day"] + ["NULL", "NULL"]
+    return (
+        f"named_struct('scope', '{scope}', 'created_day', date({day}),"
+        f" 'first_key', string({texts[0]}), 'second_key', string({texts[1]}))"
+    )
+
+
 def _scoped(rows: DataFrame, scopes: Sequence[str]) -> DataFrame:
     """One row per scope and key with tallies and quantiles; reads the rows once."""
     grains = _grains(scopes)
@@ -358,17 +369,8 @@ def _scoped(rows: DataFrame, scopes: Sequence[str]) -> DataFrame:
         *_tally_rows(), *[F.grouping(m).alias(f"_rolled_{m}") for m in markers]
     )
 
-    def member(scope: str) -> str:
-        keys = SCOPE_KEYS[scope]
-        day = "created_day" if "created_day" in keys else "NULL"
-        texts = [k for k in keys if k != "created_day"] + ["NULL", "NULL"]
-        return (
-            f"named_struct('scope', '{scope}', 'created_day', date({day}),"
-            f" 'first_key', string({texts[0]}), 'second_key', string({texts[1]}))"
-        )
-
     memberships = " ".join(
-        f"WHEN _rolled_{marker} = 0 THEN array({', '.join(member(s) for s in wanted)})"
+        f"WHEN _rolled_{marker} = 0 THEN array({', '.join(scope_member(s) for s in wanted)})"
         for (wanted, _), marker in zip(grains, markers)
     )
     days = DAYS if DAYS in columns else f"CAST(NULL AS int) AS {DAYS}"

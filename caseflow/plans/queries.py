@@ -26,6 +26,7 @@ from caseflow.operators import (
     schema,
 )
 from caseflow.plans import views
+from caseflow.plans.kept import KeptReports
 from caseflow.sources import records, snapshots, windows
 
 AS_OF = "2001-08-02"
@@ -338,8 +339,24 @@ def _pack(rows: DataFrame) -> DataFrame:
 
 def kpi_pack(spark, sf_dir):
     """The pack's figures and structs, and all fields of its lists as text in list order."""
-    pack = _pack(_clean_rows(spark, sf_dir))
+    return _shown_pack(_pack(_clean_rows(spark, sf_dir)))
 
+
+def _kept(spark, rows: DataFrame, slices: int, sketch_keys: tuple[str, ...] = ()) -> KeptReports:
+    """The rows kept in so many batches, by a hash of their day; one of them is added twice."""
+    kept = KeptReports(spark, snapshots.snapshot_path(snapshots.shared_folder(spark), "kept"))
+    for i in [*range(slices), 0]:
+        own = F.pmod(F.xxhash64("created_day"), F.lit(slices)) == i
+        kept.add(f"slice {i}", rows.filter(own), sketch_keys)
+    return kept
+
+
+def kpi_pack_kept(spark, sf_dir):
+    """The pack of two kept batches, which is that of their union."""
+    return _shown_pack(_kept(spark, _clean_rows(spark, sf_dir), 2).pack(AS_OF))
+
+
+def _shown_pack(pack: DataFrame) -> DataFrame:
     def shown(value: Column, kind: T.DataType) -> Column:
         return F.format_string("%.9f", value) if isinstance(kind, T.DoubleType) else value.cast("string")
 
@@ -371,6 +388,16 @@ def median_approx(spark, sf_dir):
     sketched = kpis.segment_kpis(rows, ["agency"], "approx").select(
         "agency", "total_requests", "median_resolution_time", "p90_resolution_time"
     )
+    return _in_rank(rows, sketched)
+
+
+def median_merged(spark, sf_dir):
+    """The same for sketch states of four slices, kept and merged."""
+    rows = _typed_rows(spark, sf_dir, ("agency",))
+    return _in_rank(rows, _kept(spark, rows, 4, ("agency",)).quantiles(("agency",)))
+
+
+def _in_rank(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     days = F.col("resolution_time_days")
     cells = rows.filter(days.isNotNull()).groupBy("agency", days.alias("days")).agg(F.count(F.lit(1)).alias("n"))
     checks = []
@@ -528,8 +555,8 @@ QUERIES: dict[str, Query] = {
         profile_columns, clean_dedup, parse_timestamps, parse_typed, sla_features, resolution_features,
         kpi_measures, backfill_columns, backfill_from_text, kpi_summary, kpi_summary_clean,
         ses_by_agency, kpi_daily_trend, kpi_top_types, kpi_type_impact, kpi_top_agencies,
-        kpi_boroughs, kpi_backlog_ageing, kpi_agency_type, kpi_status, kpi_cube, kpi_pack,
-        median_approx, insights_global, insights_by_agency, insights_by_day,
+        kpi_boroughs, kpi_backlog_ageing, kpi_agency_type, kpi_status, kpi_cube, kpi_pack, kpi_pack_kept,
+        median_approx, median_merged, insights_global, insights_by_agency, insights_by_day,
         insights_slow_boroughs, actions_global, action_evidence, actions_by_agency,
         actions_by_day, actions_slow_boroughs, report_rows, distinct_values, group_dict, group_keys, row_count,
         raw_snapshot, processed_snapshot,

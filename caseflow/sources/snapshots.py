@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 from uuid import uuid4
 
@@ -94,6 +94,15 @@ def publish(spark: SparkSession, staging: str, path: str, rows: int) -> str:
     return path
 
 
+def published(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the published folders in ``folder``, in order."""
+    files, place = _place(spark, folder)
+    if not files.exists(place):
+        return []
+    names = sorted(f.getPath().getName() for f in files.listStatus(place) if f.isDirectory())
+    return [name for name in names if not name.startswith("_") and is_published(spark, f"{folder.rstrip('/')}/{name}")]
+
+
 def discard(spark: SparkSession, staging: str) -> None:
     """Removes a staging folder of our own."""
     files, place = _place(spark, staging)
@@ -108,7 +117,7 @@ def _figures(seen: Observation) -> dict | None:
         return None
 
 
-def _publish_rows(df: DataFrame, path: str, write) -> str:
+def publish_rows(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> str:
     """Writes ``df`` by ``write(frame, folder)`` to a staging folder and publishes it."""
     spark = df.sparkSession
     if _place(spark, path)[0].exists(_place(spark, path)[1]):
@@ -140,7 +149,7 @@ def write_snapshot(
             writer = writer.option("maxRecordsPerFile", max_records)
         writer.mode("errorifexists").options(**TIME_FORMATS).json(folder)
 
-    return _publish_rows(df, path, write)
+    return publish_rows(df, path, write)
 
 
 def write_rows(df: DataFrame, path: str, day_column: str | None = None) -> DataFrame:

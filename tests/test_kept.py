@@ -1,0 +1,103 @@
+"""Kept cells and sketches against reports over the records themselves."""
+
+from __future__ import annotations
+
+import random
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from caseflow.operators import cells, clean, features, kpis
+from caseflow.plans.kept import KeptReports
+from caseflow.sources import snapshots
+from tests.records import SCHEMA_STATUS, may
+
+AS_OF = "2024-06-20"
+
+
+def records(seed=2, count=600):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        day = None if i % 41 == 0 else rng.randint(1, 28)
+        closed = None if day is None or rng.random() < 0.3 else may(min(31, day + rng.randint(0, 9)))
+        due = may(min(31, (day or 1) + rng.randint(0, 5)))
+        pick = lambda *names: rng.choice((None, *names))
+        rows.append((f"k{i}", may(day) if day else None, due, closed, pick("PARKS", "ROADS"), pick("Leak", "Pothole", "Tree"), pick("EAST", "WEST"), pick("Done", "Waiting")))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    df = spark.createDataFrame(records(), SCHEMA_STATUS)
+    return kpis.measures(features.add_features(clean.keep_first(df, "unique_key")), AS_OF).cache()
+
+
+def test_pack_of_batches_is_the_pack_of_their_union(spark, rows, tmp_path):
+    want = kpis.kpi_pack(kpis.kpi_cube(rows)).collect()
+    kept = KeptReports(spark, str(tmp_path / "kept"))
+    third = F.pmod(F.xxhash64("unique_key"), F.lit(3))
+    added = [kept.add(f"day/{i % 3}", rows.where(third == i % 3)) for i in range(5)]  # two of them again
+    assert added == [True, True, True, False, False] and kept.batches() == ["day/0", "day/1", "day/2"]
+    assert kept.pack(AS_OF).collect() == want
+    whole = KeptReports(spark, str(tmp_path / "whole"))
+    whole.add("all", rows)
+    assert whole.pack(AS_OF).collect() == want
+    assert kept.cells().count() == whole.cells().count()  # cells of batches merge
+
+
+def test_cube_of_cells_is_the_cube(rows):
+    for frame in (rows, rows.drop("borough"), rows.drop("agency", "status"), rows.limit(0)):
+        want = kpis.kpi_cube(frame).collect()
+        assert sorted(map(str, cells.cube_of_cells(cells.day_cells(frame), AS_OF).collect())) == sorted(map(str, want))
+
+
+def test_ages_are_those_of_the_report_day(spark, tmp_path):
+    df = spark.createDataFrame(records(5, 200), SCHEMA_STATUS)
+    processed = features.add_features(df)
+    kept = KeptReports(spark, str(tmp_path / "kept"))
+    kept.add("one", kpis.measures(processed, "2024-05-28"))
+    later = kpis.kpi_pack(kpis.kpi_cube(kpis.measures(processed, "2024-09-01"))).collect()
+    assert kept.pack("2024-09-01").collect() == later
+
+
+def test_reports_over_some_days_and_batches(spark, rows, tmp_path):
+    kept = KeptReports(spark, str(tmp_path / "kept"))
+    with pytest.raises(ValueError, match="no batch"):
+        kept.pack(AS_OF)
+    for i in (0, 1):
+        kept.add(f"b{i}", rows.where(F.pmod(F.hash("unique_key"), F.lit(2)) == i))
+    low, high = date(2024, 5, 5), date(2024, 5, 11)
+    want = kpis.kpi_pack(kpis.kpi_cube(rows.where(F.col("created_day").between(F.lit(low), F.lit(high))))).collect()
+    assert kept.pack(AS_OF, start=low, end=high).collect() == want
+    one = kpis.kpi_pack(kpis.kpi_cube(rows.where(F.pmod(F.hash("unique_key"), F.lit(2)) == 1))).collect()
+    assert kept.pack(AS_OF, batches=["b1"]).collect() == one
+    with pytest.raises(ValueError, match="not kept: b7"):
+        kept.cells(batches=["b7"])
+
+
+def test_a_batch_that_failed_can_be_added_again(spark, rows, tmp_path, monkeypatch):
+    kept = KeptReports(spark, str(tmp_path / "kept"))
+    broken = rows.withColumn("agency", F.when(F.col("unique_key") == "k7", F.raise_error(F.lit("lost"))).otherwise(F.col("agency")))
+    with pytest.raises(Exception, match="lost"):
+        kept.add("b", broken, ("borough",))
+    assert kept.batches() == []
+    assert kept.add("b", rows, ("borough",)) and kept.pack(AS_OF).first()["total_requests"] == rows.count()
+    assert not [p for p in (tmp_path / "kept").rglob("_staging*")] and snapshots.published(spark, str(tmp_path / "none")) == []
+
+
+def test_merged_sketches_keep_their_rank(spark):
+    rows = spark.range(40_000).selectExpr("id % 3 AS agency", "cast(pow(id % 4001, 1.3) AS int) AS resolution_time_days", "id")
+    rows = rows.withColumn("resolution_time_days", F.expr("if(agency = 2, NULL, resolution_time_days)"))
+    slices = [cells.sketch_states(rows.where(f"id % 4 = {i}"), ["agency"]) for i in range(4)]
+    states = slices[0].union(slices[1]).union(slices[2]).union(slices[3])
+    merged = cells.sketched_quantiles(cells.merge_sketches(states, ["agency"])).collect()
+    assert sorted((r.agency, r.total_requests) for r in merged) == [(0, 13334), (1, 13333), (2, 13333)]
+    for r in merged:
+        own = sorted(x.resolution_time_days for x in rows.where(f"agency = {r.agency}").collect() if x.resolution_time_days is not None)
+        for share, got in ((0.5, r.median_resolution_time), (0.9, r.p90_resolution_time)):
+            if not own:
+                assert got is None
+            else:
+                assert sum(x < got for x in own) / len(own) - 1e-3 <= share <= sum(x <= got for x in own) / len(own) + 1e-3
