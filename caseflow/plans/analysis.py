@@ -38,12 +38,13 @@ def analyse(
     snapshot_path: str | None = None,
     gated: bool = True,
     renames: dict[str, str] | None = None,
+    rules: actions.Rules | None = None,
 ) -> Analysis:
     """Aliases, verdict, gate, clean, features, KPIs, insights, actions.
 
     An invalid verdict leaves every later frame without rows; ``gated=False``
     goes on regardless. One set of ``formats`` serves checks, parsing and KPIs;
-    ``renames`` are aliases resolved before. With a snapshot path one pass reads the raw
+    ``renames`` are aliases resolved before; ``rules`` are the action rules. With a snapshot path one pass reads the raw
     records, counts what the verdict needs and writes the processed records as Parquet
     beside the path; the gate then is known, and the snapshot (JSON lines) and the KPIs
     are read from the Parquet.
@@ -85,7 +86,7 @@ def analyse(
         records=processed,
         pack=pack,
         insights=found,
-        actions=actions.recommend(found, []),
+        actions=actions.recommend(found, [], rules),
         snapshot=written,
     )
 

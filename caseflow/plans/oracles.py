@@ -621,3 +621,5 @@ SELECT unique_key, created_date, due_date, closed_date, agency, complaint_type,
 # kept batches give what their union gives
 ORACLES["kpi_pack_kept"] = ORACLES["kpi_pack"]
 ORACLES["median_merged"] = ORACLES["median_approx"]
+# rules in a frame act like the built-in ones
+ORACLES["actions_from_rules"] = ORACLES["actions_global"]

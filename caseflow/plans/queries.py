@@ -457,8 +457,8 @@ def actions_slow_boroughs(spark, sf_dir):
     return _action_rows(insights.derive_insights(_pack(_district_rows(spark, sf_dir))), [])
 
 
-def _action_rows(found: DataFrame, keys: list[str]) -> DataFrame:
-    return actions.recommend(found, keys).select(
+def _action_rows(found: DataFrame, keys: list[str], rules: actions.Rules | None = None) -> DataFrame:
+    return actions.recommend(found, keys, rules).select(
         *keys,
         "id",
         "category",
@@ -475,6 +475,12 @@ def actions_global(spark, sf_dir):
     return _action_rows(_global_insights(spark, sf_dir), [])
 
 
+def actions_from_rules(spark, sf_dir):
+    """The same actions by rules that are read from a frame."""
+    rules = actions.rules_of(actions.rule_frame(spark))
+    return _action_rows(_global_insights(spark, sf_dir), [], rules)
+
+
 def action_evidence(spark, sf_dir):
     made = actions.recommend(_global_insights(spark, sf_dir), [])
     return _shown(actions.evidence_rows(made, []))
@@ -557,7 +563,7 @@ QUERIES: dict[str, Query] = {
         ses_by_agency, kpi_daily_trend, kpi_top_types, kpi_type_impact, kpi_top_agencies,
         kpi_boroughs, kpi_backlog_ageing, kpi_agency_type, kpi_status, kpi_cube, kpi_pack, kpi_pack_kept,
         median_approx, median_merged, insights_global, insights_by_agency, insights_by_day,
-        insights_slow_boroughs, actions_global, action_evidence, actions_by_agency,
+        insights_slow_boroughs, actions_global, actions_from_rules, action_evidence, actions_by_agency,
         actions_by_day, actions_slow_boroughs, report_rows, distinct_values, group_dict, group_keys, row_count,
         raw_snapshot, processed_snapshot,
     )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow import fixed_values as fixed
 from caseflow.operators import actions, insights
@@ -91,23 +92,45 @@ def test_one_action_per_category_keeps_all_its_evidence(spark):
     assert {e["evidence_strength"] for r in got for e in r["evidence"]} == {85, 70}
 
 
-def test_signals_outweigh_sentences_and_bands_rank(spark):
-    sentences = [
-        fixed.BOROUGHS_SENTENCE.format(names="OLD TOWN"),
-        fixed.BAND_SENTENCE.format(band="critical"),
-        fixed.TYPES_SENTENCE.format(names="Leak, Graffiti"),
-        fixed.BAND_SENTENCE.format(band="needs_attention"),
-    ]
-    got = {r["id"]: r for r in _recommend(spark, sentences, (["Leak", "Graffiti"], ["OLD TOWN"]))}
-    assert list(got) == ["REC-001", "REC-005", "REC-006"]
-    assert [e["evidence_strength"] for e in got["REC-001"]["evidence"]] == [100, 90]
-    assert got["REC-001"]["strongest_evidence"]["insight_index"] == 1
-    for key, value, action in (
-        ("priority_complaint_types", ["Leak", "Graffiti"], "REC-005"), ("priority_boroughs", ["OLD TOWN"], "REC-006"),
-    ):
-        best = got[action]["strongest_evidence"]
-        assert (best["source"], best["signal_key"], best["signal_value"], best["evidence_strength"]) == ("signal", key, value, 95)
-        assert [e["source"] for e in got[action]["evidence"]] == ["signal", "insight"]
+def test_a_signal_beside_sentences(spark):
+    """One signal, a sentence for two categories, and one for none."""
+    sentences = ["Nothing of note on Sunday", "Resolution time grew with the backlog"]
+    got = {r["id"]: r for r in _recommend(spark, sentences, ([], ["HARBOUR"]))}
+    assert {i: r["category"] for i, r in got.items()} == {
+        "REC-003": "backlog_management", "REC-004": "resolution_flow", "REC-006": "borough_operations",
+    }
+    assert [got[i]["strongest_evidence"]["insight_index"] for i in ("REC-003", "REC-004", "REC-006")] == [1, 1, None]
+    (only,) = got["REC-006"]["evidence"]
+    assert (only["source"], only["signal_value"], only["evidence_strength"]) == ("signal", ["HARBOUR"], fixed.SIGNAL_STRENGTH)
+
+
+def test_rules_from_a_frame(spark):
+    frame = actions.rule_frame(spark)
+    assert actions.rules_of(frame).actions == dict(fixed.ACTIONS)
+    extra = spark.createDataFrame(
+        [("weekend crews", "OWN-1", 0, "Staff the weekend", None, ["Sunday"], 50), ("backlog_management", *fixed.ACTIONS["backlog_management"], None, ["queue", "long"], 99)],
+        frame.schema,
+    )
+    sentences = ["Queue is LONG on sunday", "The backlog grows"]
+    rows = spark.createDataFrame([(1, sentences), (2, ["all quiet"])], "k int, insights array<string>")
+    got = {(r["k"], r["id"]): r for r in actions.recommend(rows, ["k"], actions.rules_of(frame.union(extra))).collect()}
+    assert set(got) == {(1, "OWN-1"), (1, "REC-003"), (2, "REC-900"), (2, "REC-901")}
+    assert [e["evidence_strength"] for e in got[1, "REC-003"]["evidence"]] == [99, 80]
+    assert got[1, "OWN-1"]["strongest_evidence"]["trigger"] == sentences[0]
+    plain = actions.recommend(rows, ["k"]).collect()
+    assert plain == actions.recommend(rows, ["k"], actions.rules_of(frame)).collect()
+
+
+def test_rules_that_cannot_be(spark):
+    frame = actions.rule_frame(spark)
+    with pytest.raises(ValueError, match="more than one action"):
+        actions.rules_of(frame.withColumn("id", F.concat("id", F.size("words").cast("string"))))
+    with pytest.raises(ValueError, match="more than 1000"):
+        actions.rules_of(frame.withColumn("words", F.explode(F.array_repeat("words", 200))))
+    with pytest.raises(ValueError, match="no action for the category lost"):
+        actions.Rules(keywords=[("lost", ["x"], 1)])
+    with pytest.raises(ValueError, match="no words"):
+        actions.Rules(keywords=[("service_recovery", [], 1)])
 
 
 def test_fallback(spark):
