@@ -10,7 +10,7 @@ import pyarrow as pa
 from caseflow.llm import queries
 from caseflow.llm import quality_classifier as classifier
 from caseflow.llm import quality_rules as rules
-from caseflow.llm.text_stats import COUNTS, FEATURES, counts_of, features_of
+from caseflow.llm.text_stats import COUNTS, FEATURES, counts_of, features_of, text_counts
 from caseflow.llm.word_arrays import groups
 from tests.llm.frames import ODD, docs
 
@@ -137,3 +137,55 @@ def test_isotonic():
     steps, levels = classifier.isotonic(np.arange(6.0), np.array([0.1, 0.3, 0.2, 0.2, 0.9, 0.8]), np.array([1, 1, 1, 2, 1, 1.0]))
     assert (np.diff(levels) > 0).all() and np.isclose(levels[1], (0.3 + 0.2 + 0.4) / 4) and np.isclose(levels[-1], 0.85)
     assert (np.diff(steps) > 0).all()
+
+
+def test_tree_scores_by_walking_every_node(spark, monkeypatch):
+    grown, grow = [], rules.grow_forest
+    monkeypatch.setattr(rules, "grow_forest", lambda x, y: grown.append(grow(x, y)) or grown[-1])
+    found = {r.doc_id: r for r in queries.op8_quality_rules(spark, SF).collect()}
+    (forest,) = grown
+    counted = text_counts(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text").collect()
+    assert len(found) == len(counted)
+    for row in counted:
+        x = features_of(np.array(row[1:]))[0]
+        margin = forest.start
+        for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+            margin += value[node - len(feature)]
+        score = 1 / (1 + np.exp(-margin))
+        r = found[row.id]
+        assert np.isclose(r.score, score, atol=1e-12) and r.kept == (not r.base_failed and r.score >= 0.3)
+
+
+def test_scores_by_one_matrix(spark):
+    """Kernel ridge and isotonic calibration as one system on the driver."""
+    docs_table, marked = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    counted = {r.id: np.array(r[1:]) for r in text_counts(docs_table, "doc_id", "text").collect()}
+    learnt = [(r.doc_id, r.quality) for r in marked.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    x, y = features_of(np.stack([counted[i] for i, _ in learnt])), np.array([q for _, q in learnt], float)
+    base = classifier.Kernel(x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-6)))
+
+    def waves(features):
+        scaled = np.clip((features - base.means) / base.scales, -8, 8)
+        angles = np.einsum("ij,jk->ik", scaled, base.directions) + base.phases
+        return np.hstack((np.cos(angles) * (2 / classifier.FOURIER) ** 0.5, np.ones((len(features), 1))))
+
+    z = waves(x)
+    ridge = np.diag([classifier.RIDGE] * classifier.FOURIER + [1e-6])
+    weights = np.linalg.lstsq(z.T @ z + ridge, z.T @ y, rcond=None)[0]
+    half = classifier.BINS / 2
+    steps = np.floor(np.clip(z @ weights, -0.5, 1.5) * half + 0.5) / half
+    places = np.unique(steps)
+    n = np.array([(steps == p).sum() for p in places])
+    total = np.array([y[steps == p].sum() for p in places])
+    mean = lambda a, b: total[a : b + 1].sum() / n[a : b + 1].sum()
+    size = range(len(places))
+    levels = np.array([max(min(mean(a, b) for b in size[i:]) for a in size[: i + 1]) for i in size])  # max-min form
+    blocks = np.cumsum(np.concatenate(([0], ~np.isclose(levels[1:], levels[:-1], atol=1e-12))))
+    centres = np.bincount(blocks, places * n) / np.bincount(blocks, n)
+    heights = np.array([levels[blocks == k][0] for k in range(blocks[-1] + 1)])
+    for r in queries.op2_quality_classifier(spark, SF).collect():
+        raw = (waves(features_of(counted[r.doc_id])) @ weights)[0]
+        assert np.isclose(r.score, np.interp(raw, centres, heights), atol=1e-5)
