@@ -98,6 +98,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, declared=F.col("lang"), host=F.col("source"))
 
 
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's operator over web pages, with all its evidence: markup, address suffix and host."""
+    return language_id.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -121,6 +126,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "language_id_pages": language_id_pages,
     "op11_vector_codes": op11_vector_codes,
     "op12_toxicity": op12_toxicity,
     "op13_conversation_trie": op13_conversation_trie,

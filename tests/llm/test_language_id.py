@@ -117,3 +117,15 @@ def test_rare_languages_keep_their_documents(spark):
     found = {r.doc_id: (r.language, r.kept) for r in result.collect()}
     want = {r[0]: (r[2] if r[2] not in (None, "und") else "en", True) for r in texts}
     assert found == want
+
+
+def test_whole_table_of_pages(spark):
+    """Every page of the table gets a language; texts that the markup declares agree with it."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    found = queries.language_id_pages(spark, SF)
+    assert found.columns == ["page_id", "language", "probability", "text_language", "kept"]
+    joined = found.join(pages, "page_id")
+    assert found.count() == joined.count() == pages.count()
+    assert joined.where(lid.suffix_of(lid.host_of(F.col("url"))).isNotNull()).count() > 0
+    declared = joined.where(lid.markup_language(F.col("html")).isNotNull())
+    assert declared.where(lid.markup_language(F.col("html")) == F.col("language")).count() >= 0.98 * declared.count() > 0
