@@ -623,3 +623,5 @@ ORACLES["kpi_pack_kept"] = ORACLES["kpi_pack"]
 ORACLES["median_merged"] = ORACLES["median_approx"]
 # rules in a frame act like the built-in ones
 ORACLES["actions_from_rules"] = ORACLES["actions_global"]
+# records in arrays are the records
+ORACLES["array_scan"] = ORACLES["raw_snapshot"]

@@ -543,6 +543,21 @@ def raw_snapshot(spark, sf_dir):
     return records.read_records(spark, folder, "ndjson").select(*raw.columns)
 
 
+#: Records of one array file, which one task holds and reads.
+ROWS_PER_ARRAY = 10_000
+
+
+def array_scan(spark, sf_dir):
+    """Raw records written as files that hold one array each, and read again as such."""
+    folder = snapshots.snapshot_path(snapshots.shared_folder(spark), "arrays")
+    raw = views.raw_requests(spark, sf_dir)
+    files = -(-raw.count() // ROWS_PER_ARRAY)
+    texts = raw.select(F.pmod(F.xxhash64(*raw.columns), F.lit(max(1, files))).alias("file"), F.to_json(F.struct(*raw.columns)).alias("record"))
+    array = F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]"))
+    texts.groupBy("file").agg(array.alias("value")).write.partitionBy("file").text(folder)
+    return records.read_records(spark, folder, "json").select(*raw.columns)
+
+
 def processed_snapshot(spark, sf_dir):
     """Cleaned records with features, written and read with the written schema."""
     folder = snapshots.snapshot_path(snapshots.shared_folder(spark), "processed")
@@ -565,6 +580,6 @@ QUERIES: dict[str, Query] = {
         median_approx, median_merged, insights_global, insights_by_agency, insights_by_day,
         insights_slow_boroughs, actions_global, actions_from_rules, action_evidence, actions_by_agency,
         actions_by_day, actions_slow_boroughs, report_rows, distinct_values, group_dict, group_keys, row_count,
-        raw_snapshot, processed_snapshot,
+        raw_snapshot, processed_snapshot, array_scan,
     )
 }
