@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import BROADCAST_ROWS, cut, draw, text_key, without_rows
+from caseflow.llm.common import cut, draw, text_key, without_rows
 
 UNKNOWN = "und"
 NO_LANGUAGE = re.compile(r"[0-9@=]")
@@ -65,6 +65,10 @@ DECLARED_WEIGHT = 5.0
 SUFFIX_TRUST = 0.8
 UNKNOWN_PRIOR = 0.001
 ACCEPT_FROM = 0.5
+#: Bytes of host priors up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a prior's row beside its probabilities: the host's name and headers.
+ROW_BYTES = 200
 
 
 def _language_of_word(word: str) -> str:
@@ -169,9 +173,8 @@ def text_evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
         for texts in batches:
             out = []
             for text in texts.fillna(""):
-                at = buckets(text)
-                uses = np.bincount(at, minlength=BUCKETS)
-                out.append((len(at), model @ uses / max(1, len(at))))
+                at, uses = np.unique(buckets(text), return_counts=True)
+                out.append((int(uses.sum()), model[:, at] @ uses / max(1, uses.sum())))
             yield pd.DataFrame(out, columns=["trigrams", "means"])
 
     return rows.withColumn("evidence", evidence("text")).select("*", "evidence.*").drop("evidence", "text")
@@ -215,6 +218,7 @@ def _judged(
     text_col: str,
     declared: Column | None,
     host: Column | None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Per row of ``df``: id, text_key, language, probability, text_language, kept."""
     none = F.lit(None).cast("string")
@@ -252,8 +256,10 @@ def _judged(
     says_suffix = np.log(np.full((size, len(languages)), (1 - SUFFIX_TRUST) * even))
     says_suffix[np.arange(len(languages)), np.arange(len(languages))] = np.log(SUFFIX_TRUST + (1 - SUFFIX_TRUST) * even)
 
-    if priors.count() <= BROADCAST_ROWS:
+    if priors.count() * (8 * (size + 1) + ROW_BYTES) <= broadcast_bytes:
         priors = F.broadcast(priors)
+    else:
+        priors = priors.hint("merge")
     joined = scored.join(priors, F.col("host") == F.col("__host"), "left")
     joined = joined.withColumn("prior", F.coalesce("prior", F.array(*[F.lit(p) for p in prior_of_all])))
 
@@ -298,13 +304,14 @@ def identify(
     text_col: str = "text",
     declared: Column | None = None,
     host: Column | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Per row of ``df``: id, language, probability, text_language, kept.
 
     ``declared`` and ``host`` are columns of ``df``; the suffix and domain follow
-    from the host.
+    from the host. Host priors of more than ``broadcast_bytes`` are not broadcast.
     """
-    judged = _judged(df, id_col, text_col, declared, host)
+    judged = _judged(df, id_col, text_col, declared, host, broadcast_bytes)
     return judged.drop("text_key").withColumnRenamed("id", id_col)
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import time
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -129,3 +131,122 @@ def test_whole_table_of_pages(spark):
     assert joined.where(lid.suffix_of(lid.host_of(F.col("url"))).isNotNull()).count() > 0
     declared = joined.where(lid.markup_language(F.col("html")).isNotNull())
     assert declared.where(lid.markup_language(F.col("html")) == F.col("language")).count() >= 0.98 * declared.count() > 0
+
+
+def plain_posteriors(rows):
+    """The method in plain loops: {id: (language, probability)} of (id, text, declared, host) rows."""
+
+    def trigrams(text):
+        data = lid.language_of(text or "").lower().encode()
+        data += b" " * (3 - len(data)) if 0 < len(data) < 3 else b""
+        codes = (data[i] << 16 | data[i + 1] << 8 | data[i + 2] for i in range(len(data) - 2))
+        return Counter((c * 2654435761 % 2**32) >> 19 for c in codes)
+
+    rows = [(i, trigrams(text), bool(text), None if said in (None, "", lid.UNKNOWN) else said, host) for i, text, said, host in rows]
+    declared = Counter(said for _, _, text, said, _ in rows if said is not None and text)
+    languages = sorted(v for v, n in declared.items() if n >= lid.LEAST_TEXTS)
+    well = {v for v in languages if declared[v] >= lid.WELL_FITTED}
+    assert max(declared.values()) <= lid.SAMPLE and len(languages) <= lid.MOST_MODELS
+    names = [*languages, lid.UNKNOWN]
+    logs = {lid.UNKNOWN: [-math.log(lid.BUCKETS)] * lid.BUCKETS}
+    for name in languages:
+        uses = Counter()
+        for _, grams, _, said, _ in rows:
+            if said == name:
+                uses.update(grams)
+        total = sum(uses.values()) + 0.5 * lid.BUCKETS
+        logs[name] = [math.log((uses[b] + 0.5) / total) for b in range(lid.BUCKETS)]
+
+    means, looks = {}, {}
+    for at, (_, grams, _, said, _) in enumerate(rows):
+        size = sum(grams.values())
+        means[at] = {name: sum(n * logs[name][b] for b, n in grams.items()) / max(1, size) for name in names}
+        looks[at] = max(names, key=means[at].get) if size else lid.UNKNOWN
+        if said is not None and said not in well and size:
+            looks[at] = "rare"
+
+    def domain(host):
+        return "" if host is None else ".".join(host.split(".")[-2:])
+
+    slots = [*names, "rare"]
+    of_all, of_domain, of_host = Counter(), defaultdict(Counter), defaultdict(Counter)
+    said_by = defaultdict(Counter)
+    for at, (_, _, _, said, host) in enumerate(rows):
+        of_all[looks[at]] += 1
+        if host is not None:
+            of_domain[domain(host)][looks[at]] += 1
+            of_host[host][looks[at]] += 1
+        if said in well and looks[at] != "rare":
+            said_by[looks[at]][said] += 1
+
+    def prior(host, slot):
+        share = (of_all[slot] + 1) / (len(rows) + len(slots))
+        for counts, weight in ((of_domain[domain(host)], lid.DOMAIN_WEIGHT), (of_host[host], lid.HOST_WEIGHT)):
+            if host is not None:
+                share = (counts[slot] + weight * share) / (sum(counts.values()) + weight)
+        return share
+
+    even = 1 / max(1, len(languages))
+    found = {}
+    for at, (i, grams, _, said, host) in enumerate(rows):
+        size = sum(grams.values())
+        if not size:
+            found[i] = (lid.UNKNOWN, 1.0)
+            continue
+        suffix = host.split(".")[-1] if host and "." in host else None
+        log, likelihoods = {}, []
+        for name in names:
+            text = lid.TEMPER * min(size, lid.MOST_TRIGRAMS) * means[at][name]
+            likelihoods.append(text)
+            before = prior(host, name)
+            log[name] = text + math.log(min(before, lid.UNKNOWN_PRIOR) if name == lid.UNKNOWN else before)
+            weight = sum(said_by[name].values()) + lid.DECLARED_WEIGHT
+            if looks[at] == "rare":
+                log[name] += math.log(lid.RARE_SLIP * lid.DECLARED_WEIGHT * even / weight)
+            elif said in languages:
+                log[name] += math.log((said_by[name][said] + lid.DECLARED_WEIGHT * even) / weight)
+            if suffix in languages:
+                log[name] += math.log(lid.SUFFIX_TRUST * (suffix == name) + (1 - lid.SUFFIX_TRUST) * even)
+        if looks[at] == "rare":
+            log[("rare", said)] = max(likelihoods) + math.log(prior(host, "rare"))
+        best = max(log, key=log.get)
+        odds = sum(math.exp(v - log[best]) for v in log.values())
+        found[i] = (best[1] if isinstance(best, tuple) else best, 1 / odds)
+    return found
+
+
+def same_posteriors(result, want):
+    got = {r[0]: r for r in result.select(result.columns[0], "language", "probability", "kept").collect()}
+    assert got.keys() == want.keys()
+    for i, (language, probability) in want.items():
+        assert got[i].language == language and abs(got[i].probability - probability) <= 2e-9
+        assert got[i].kept == (language != lid.UNKNOWN and got[i].probability >= lid.ACCEPT_FROM)
+
+
+def test_posteriors_of_whole_tables_by_plain_loops(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    same_posteriors(queries.op10_language_id(spark, SF), plain_posteriors([tuple(r) for r in documents.collect()]))
+    html = F.col("html")
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", html, lid.markup_language(html), lid.host_of(F.col("url")))
+    same_posteriors(queries.language_id_pages(spark, SF), plain_posteriors([tuple(r) for r in pages.collect()]))
+
+
+def untidy_rows():
+    """Common, rare and undeclared languages, short and empty texts, hosts with and without a suffix."""
+    town = {"en": "the people of the town met in the old house", "de": "die leute der stadt trafen sich im alten haus"}
+    rows = [(i, town["en" if i % 3 else "de"] + f" {i} " * (i % 4), "en" if i % 3 else "de", f"{'ab'[i % 2]}.x.{'de' if i % 5 == 0 else 'org'}") for i in range(90)]
+    rows += [(200 + i, "люди города собрались в доме", "ru", "c.y.ru" if i % 2 else None) for i in range(7)]
+    rows += [(300, "folk o the toun", "sco", "a.x.org"), (301, "ok", None, "b.x.de"), (302, "a", "de", "src"), (303, "", "en", "a.x.org")]
+    return rows + [(304, None, None, None), (305, "123 a1@b", "en", "a.x.org"), (306, town["de"], "en", "b.x.de"), (307, town["en"], "und", None)]
+
+
+def test_posteriors_of_untidy_rows(spark):
+    """Also without a broadcast: priors over the bound are joined by a shuffle, with the same result."""
+    rows = untidy_rows()
+    want = plain_posteriors(rows)
+    df = docs(spark, rows, KIND)
+    for most in (lid.BROADCAST_BYTES, 0):
+        result = lid.identify(df, declared=F.col("lang"), host=F.col("source"), broadcast_bytes=most)
+        same_posteriors(result, want)
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (most > 0) and ("SortMergeJoin" in plan) == (most == 0)
