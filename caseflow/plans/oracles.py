@@ -479,6 +479,9 @@ ORDER BY ts, event_id""",
     "window_scan_hit": f"""SELECT {_EVENT} FROM events
 WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:59:59'
 ORDER BY ts, event_id LIMIT 5000""",
+    "first_tenth": f"""SELECT {_EVENT} FROM events
+QUALIFY row_number() OVER (ORDER BY date_trunc('hour', ts), user_id, event_type, event_id)
+  <= (SELECT count(*) // 10 FROM events)""",
     "window_scan_text": f"""WITH {_RAW}, parsed AS (SELECT *, {_PARSED} FROM raw)
 SELECT unique_key, created_date, due_date, closed_date, agency, complaint_type, borough, status FROM parsed
 WHERE created_ts >= DATE '1996-01-01' AND created_ts <= TIMESTAMP '1996-12-31 23:59:59'""",

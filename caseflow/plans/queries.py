@@ -24,6 +24,7 @@ from caseflow.operators import (
     kpis,
     quality,
     schema,
+    selection,
 )
 from caseflow.plans import views
 from caseflow.plans.kept import KeptReports
@@ -98,6 +99,13 @@ def window_scan_hit(spark, sf_dir):
     )
 
 
+def first_tenth(spark, sf_dir):
+    """The first tenth of all events by hour, ties by user, kind and id: a limit that grows with the table."""
+    events = _events(spark, sf_dir)
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    return selection.smallest_rows(events, hour, ["user_id", "event_type", "event_id"], events.count() // 10)
+
+
 def window_normalise(spark, sf_dir):
     """A window per event: reversed, future and date-time bounds all occur."""
     end = F.expr("timestampadd(DAY, user_id % 41 - 20, ts)")
@@ -571,6 +579,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         window_scan, window_scan_default, window_scan_fallback, window_scan_hit, window_scan_text, window_normalise,
+        first_tenth,
         alias_normalise, quality_counts, quality_verdict, quality_verdict_valid,
         quality_verdict_formats, quality_verdict_missing, quality_verdict_all_null, quality_gate_pass, quality_gate_fail,
         profile_columns, clean_dedup, parse_timestamps, parse_typed, sla_features, resolution_features,

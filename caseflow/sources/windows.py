@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from caseflow import fixed_values as fixed
 from caseflow.functions.times import parse_column
+from caseflow.operators import selection
 
 
 def _day(text: Column) -> Column:
@@ -111,14 +112,18 @@ def first_rows(
     they are read, without a sort or shuffle.
 
     Rows without a key come last. A plain sort with limit sends up to ``limit``
-    rows of *every* input split to one task. Two steps keep that task small: rows
-    are cut to the slot (hour) of the key in which the limit is reached, and what
-    is left is limited per split, then per bucket of splits, before it meets. So
-    one task sees ``limit`` rows per bucket, even if all rows fall in one hour.
+    rows of *every* input split to one task. Up to ``SPREAD_FROM`` rows, two steps keep
+    that task small: rows are cut to the slot (hour) of the key in which the limit is
+    reached, and what is left is limited per split, then per bucket of splits, before it
+    meets. So one task sees ``limit`` rows per bucket, even if all rows fall in one hour.
+    For larger limits the exact cut is searched at once, by histograms of the key and then
+    of the ties, and the result stays spread over tasks (``selection.smallest_rows``).
     """
     by = [order.asc_nulls_last(), *[F.col(f"`{c}`").asc_nulls_last() for c in ties]]
     if limit is None or limit <= 0:
         return df.orderBy(*by) if ordered else df
+    if limit > SPREAD_FROM:
+        return selection.smallest_rows(df, order, ties, limit, ordered)
     slot = F.coalesce(F.floor(order / _SLOT_MICROS), F.lit(_LAST_SLOT))
     counts = df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # one row per hour that has rows, so this window stays small
@@ -130,13 +135,11 @@ def first_rows(
         .filter(F.col("before") < limit)
         .agg(F.max("slot"))
     )
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    early = df.filter(slot <= cut.scalar()).withColumn("_bucket", F.spark_partition_id() % buckets)
-    ranked = F.row_number().over(Window.partitionBy("_bucket").orderBy(*by))
-    leading = early.withColumn("_place", ranked).filter(F.col("_place") <= limit)
-    return leading.drop("_bucket", "_place").orderBy(*by).limit(limit)
+    return selection.leading_rows(df.filter(slot <= cut.scalar()), by, limit)
 
 
+#: Limits above this are searched for when the scan is built.
+SPREAD_FROM = 10_000
 _SLOT_MICROS = 3_600_000_000
 _LAST_SLOT = 2**63 - 1
 
