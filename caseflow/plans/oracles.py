@@ -519,6 +519,7 @@ SELECT bool_and(malformed_count = 0 AND NOT all_null) AS is_valid, max(row_count
     ),
     # --- rows
     "clean_dedup": f"WITH {_CLEAN} SELECT * FROM cleaned",
+    "clean_dedup_narrow": f"WITH {_CLEAN} SELECT * FROM cleaned",
     "parse_timestamps": f"""WITH {_RAW}, parsed AS (SELECT *, {_PARSED} FROM raw)
 SELECT unique_key, {_text("created_ts")}, {_text("due_ts")}, {_text("closed_ts")}, {_FAILED} FROM parsed""",
     "parse_typed": f"""WITH {_TYPED}

@@ -213,6 +213,10 @@ def clean_dedup(spark, sf_dir):
     return _cleaned(spark, sf_dir)
 
 
+def clean_dedup_narrow(spark, sf_dir):
+    return clean.clean(views.raw_requests(spark, sf_dir), narrow=True)
+
+
 def parse_timestamps(spark, sf_dir):
     parsed = features.add_times(views.raw_requests(spark, sf_dir))
     return parsed.withColumns(_time_text("created_ts", "due_ts", "closed_ts")).select(
@@ -582,7 +586,7 @@ QUERIES: dict[str, Query] = {
         first_tenth,
         alias_normalise, quality_counts, quality_verdict, quality_verdict_valid,
         quality_verdict_formats, quality_verdict_missing, quality_verdict_all_null, quality_gate_pass, quality_gate_fail,
-        profile_columns, clean_dedup, parse_timestamps, parse_typed, sla_features, resolution_features,
+        profile_columns, clean_dedup, clean_dedup_narrow, parse_timestamps, parse_typed, sla_features, resolution_features,
         kpi_measures, backfill_columns, backfill_from_text, kpi_summary, kpi_summary_clean,
         ses_by_agency, kpi_daily_trend, kpi_top_types, kpi_type_impact, kpi_top_agencies,
         kpi_boroughs, kpi_backlog_ageing, kpi_agency_type, kpi_status, kpi_cube, kpi_pack, kpi_pack_kept,

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseflow.operators import clean
@@ -45,3 +46,68 @@ def test_hot_key(spark):
     assert dict(got) == wanted
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 1, Partial" in plan
+
+
+def _shuffled(spark, run):
+    """(bytes, rows) that the jobs of ``run`` write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    first_job, written, rows = store.jobsList(None).size(), 0, 0
+    run()
+    jobs = store.jobsList(None)
+    for i in range(jobs.size()):
+        if jobs.apply(i).jobId() < first_job:
+            continue
+        stages = jobs.apply(i).stageIds()
+        for s in range(stages.size()):
+            tasks = store.taskList(stages.apply(s), 0, 10_000)
+            for t in range(tasks.size()):
+                metrics = tasks.apply(t).taskMetrics()
+                if metrics.isDefined():
+                    written += metrics.get().shuffleWriteMetrics().bytesWritten()
+                    rows += metrics.get().shuffleWriteMetrics().recordsWritten()
+    return written, rows
+
+
+def _wide(spark, folder, n=40_000):
+    """Wide records with repeated keys, one of them hot, and NULL keys."""
+    df = spark.range(n, numPartitions=8).select(
+        F.expr("CASE WHEN id % 50 = 0 THEN 'hot' WHEN id % 97 = 0 THEN NULL WHEN id % 10 = 0 THEN 'k' || (id % 900) ELSE 'u' || id END").alias("unique_key"),
+        F.format_string("2026-01-%02d", 1 + F.col("id") % 28).alias("created_date"),
+        *[F.sha2(F.concat_ws("-", F.col("id"), F.lit(i)), 512).alias(f"text_{i}") for i in range(6)],
+        F.col("id").alias("_position_"),
+        F.col("id").alias("__page_"),
+    )
+    df.write.parquet(str(folder))
+    return spark.read.parquet(str(folder))
+
+
+@pytest.mark.parametrize("bits", [clean.FILTER_BITS, clean.PAGE_BITS, 1])
+def test_narrow_keeps_the_same_rows(spark, tmp_path, bits):
+    """By the default filter, by one with many strangers in a cell, and without repeated keys at all."""
+    df = _wide(spark, tmp_path / "wide", 6000)
+    assert Counter(clean.keep_first_narrow(df, "unique_key", filter_bits=bits).collect()) == Counter(clean.keep_first(df, "unique_key").collect())
+    once = df.filter("unique_key like 'u%'")
+    assert clean.keep_first_narrow(once, "unique_key", filter_bits=bits).count() == once.count()
+    by_id = clean.keep_first_narrow(df, "unique_key", ["_position_"], bits).filter("unique_key = 'hot'").collect()
+    assert [r["_position_"] for r in by_id] == [0]
+    assert clean.keep_first_narrow(df.limit(0), "unique_key").columns == df.columns
+    assert clean.keep_first_narrow(df.limit(0), "unique_key").count() == 0
+
+
+def test_narrow_by_keys_that_are_equal_but_not_the_same(spark):
+    """-0.0 is 0.0 and NaN is NaN; by a collation other texts may be equal."""
+    rows = [(0.0, 1), (-0.0, 2), (float("nan"), 3), (float("nan"), 4), (None, 5), (None, 6), (7.5, 7)]
+    found = clean.keep_first_narrow(spark.createDataFrame(rows, "x double, n int"), "x").collect()
+    assert sorted(r["n"] for r in found) == [1, 3, 5, 7]
+    texts = spark.createDataFrame([("a", 1), ("A", 2), ("b", 3)], "x string collate UTF8_LCASE, n int")
+    assert sorted(r["n"] for r in clean.keep_first_narrow(texts, "x").collect()) == [1, 3]
+
+
+def test_narrow_shuffles_less_than_half(spark, tmp_path):
+    """Of wide records with few repeated keys; no wide row of a key that occurs once is shuffled."""
+    df = _wide(spark, tmp_path / "wide")
+    whole, _ = _shuffled(spark, lambda: clean.keep_first(df, "unique_key").write.format("noop").mode("overwrite").save())
+    narrow, _ = _shuffled(spark, lambda: clean.keep_first_narrow(df, "unique_key").write.format("noop").mode("overwrite").save())
+    assert 2 * narrow < whole
+    plan = clean.keep_first_narrow(df, "unique_key")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 1, Partial" in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
