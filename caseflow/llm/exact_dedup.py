@@ -1,7 +1,8 @@
 """Exact dedup by two passes over a Bloom filter.
 
-Pass one counts the filter cells that the text hashes fall into; cells hit more
-than once form a second filter, kept as bitmaps. Pass two tests every row against
+Pass one counts the filter cells that the text hashes fall into (two narrow numbers a
+row are shuffled, added up on the map side first); cells hit more than once form a
+second filter, kept as bitmaps. Pass two tests every row against
 it: rows that miss a cell are surely unique and pass straight through, and only
 the rest ("possibly repeated") is shuffled and compared by full hash.
 
