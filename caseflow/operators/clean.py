@@ -69,10 +69,13 @@ def keep_first_narrow(
     order = [c for c in df.columns if c != key] if order is None else order
     pages = max(1, filter_bits // PAGE_BITS)
     cells = _shared_cells(df, key, pages)
-    page, cell = _cell(key, pages)
-    marked = df.select("*", page, cell).join(F.broadcast(cells), "__page", "left")
-    byte = F.conv(F.hex(F.substring("__bits", (F.col("__cell") / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    shared = F.coalesce(F.getbit(byte.cast("int"), (F.col("__cell") % 8).cast("int")) == 1, F.lit(False))
+    own = "_" * max(len(c) for c in df.columns)  # so that no column of the caller has these names
+    page, cell = (c.alias(own + n) for c, n in zip(_cell(key, pages), ("page", "cell")))
+    cells = cells.toDF(f"{own}page", f"{own}bits")
+    marked = df.select("*", page, cell).join(F.broadcast(cells), f"{own}page", "left")
+    place = F.col(f"{own}cell")
+    byte = F.conv(F.hex(F.substring(f"{own}bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    shared = F.coalesce(F.getbit(byte.cast("int"), (place % 8).cast("int")) == 1, F.lit(False))
     columns = [F.col(f"`{c}`") for c in df.columns]
     repeated = keep_first(marked.filter(shared).select(*columns), key, order)
     return marked.filter(~shared).select(*columns).unionByName(repeated)

@@ -69,13 +69,14 @@ def _shuffled(spark, run):
 
 
 def _wide(spark, folder, n=40_000):
-    """Wide records with repeated keys, one of them hot, and NULL keys."""
+    """Wide records with repeated keys, one of them hot, NULL keys, and columns named like helpers."""
     df = spark.range(n, numPartitions=8).select(
         F.expr("CASE WHEN id % 50 = 0 THEN 'hot' WHEN id % 97 = 0 THEN NULL WHEN id % 10 = 0 THEN 'k' || (id % 900) ELSE 'u' || id END").alias("unique_key"),
         F.format_string("2026-01-%02d", 1 + F.col("id") % 28).alias("created_date"),
         *[F.sha2(F.concat_ws("-", F.col("id"), F.lit(i)), 512).alias(f"text_{i}") for i in range(6)],
         F.col("id").alias("_position_"),
-        F.col("id").alias("__page_"),
+        F.col("id").alias("__page"),
+        F.lit(b"x").alias("__bits"),
     )
     df.write.parquet(str(folder))
     return spark.read.parquet(str(folder))
