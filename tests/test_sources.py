@@ -47,6 +47,21 @@ def test_snapshot(spark, tmp_path):
         snapshots.write_snapshot(df, path)
 
 
+def test_snapshot_is_compressed_in_bounded_parts(spark, tmp_path):
+    """Names are in every record, so the parts take a small share of their text."""
+    df = spark.range(0, 30_000, numPartitions=2).selectExpr("id", "if(id % 3 = 0, NULL, 'agency ' || id % 7) AS agency", "date_add(date'2024-05-06', cast(id % 90 AS int)) AS day")
+    sizes = {}
+    for name, options in (("plain", {"compression": "none"}), ("packed", {}), ("bounded", {"max_records": 4000})):
+        path = snapshots.write_snapshot(df, str(tmp_path / name), **options)
+        sizes[name] = [p.stat().st_size for p in (tmp_path / name).glob("part-*")]
+        back = snapshots.read_snapshot(spark, path, df.schema)
+        assert back.count() == 30_000 and back.exceptAll(df).isEmpty()
+        lines = records.read_records(spark, path, "ndjson")
+        assert lines.count() == 30_000 and set(lines.columns) == {"id", "agency", "day"}
+    assert 3 * sum(sizes["packed"]) < sum(sizes["plain"])
+    assert len(sizes["packed"]) == 2 and len(sizes["bounded"]) == 2 * 4
+
+
 def test_snapshot_of_no_rows(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA_STATUS)
     path = snapshots.write_snapshot(df, str(tmp_path / "none"))
