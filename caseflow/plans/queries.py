@@ -566,7 +566,7 @@ def array_scan(spark, sf_dir):
     files = -(-raw.count() // ROWS_PER_ARRAY)
     texts = raw.select(F.pmod(F.xxhash64(*raw.columns), F.lit(max(1, files))).alias("file"), F.to_json(F.struct(*raw.columns)).alias("record"))
     array = F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]"))
-    texts.groupBy("file").agg(array.alias("value")).write.partitionBy("file").text(folder)
+    texts.groupBy("file").agg(array.alias("value")).write.partitionBy("file").text(folder, compression="lz4")
     return records.read_records(spark, folder, "json").select(*raw.columns)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import report_json
 from caseflow.operators import frames
+from caseflow.plans import queries
 from caseflow.sources import records, snapshots, windows
 from tests.records import FIELDS, SCHEMA_STATUS, UNTIDY, may
 
@@ -23,6 +24,18 @@ def test_array_file(spark, tmp_path):
     assert df.count() == 5 and set(df.columns) == {*FIELDS, "status"}
 
 
+def test_array_files_are_compressed(spark, tmp_path, monkeypatch):
+    """Names are in every record, so the arrays take a small share of their text."""
+    raw = spark.range(0, 6000, numPartitions=3).selectExpr("cast(id AS string) AS unique_key", "if(id % 3 = 0, NULL, 'agency ' || id % 7) AS agency")
+    monkeypatch.setattr(queries.views, "raw_requests", lambda *_: raw)
+    monkeypatch.setattr(queries.snapshots, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(queries, "ROWS_PER_ARRAY", 1500)
+    assert sorted(map(str, queries.array_scan(spark, "").collect())) == sorted(map(str, raw.collect()))
+    parts = list(tmp_path.glob("arrays_*/file=*/part-*"))
+    text = sum(len(r["value"]) for r in spark.read.text([str(p) for p in parts]).collect())
+    assert len(parts) == 4 and 2 * sum(p.stat().st_size for p in parts) < text
+
+
 def test_line_file(spark, tmp_path):
     (tmp_path / "a.ndjson").write_text("\n".join(json.dumps({**o, "n": 1}) for o in _objects()))
     df = records.read_records(spark, str(tmp_path / "a.ndjson"), "ndjson")
