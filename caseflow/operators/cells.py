@@ -25,6 +25,8 @@ from caseflow.operators.kpis import DAYS
 KEPT = kpis.TALLIES[:7]
 #: Grains of the cells: their keys besides created day and whether a record is open.
 GRAINS = {"work": ("agency", "complaint_type"), "borough": ("borough",), "status": ("status",)}
+#: Columns of ``measures`` rows that cells and sketch states are made of.
+READ = ("created_day", "is_open", "is_closed", DAYS, "sla_breach_int", *kpis.SEGMENTS)
 #: Scopes that report on a grain's cells.
 _SCOPES = {
     "work": ("all", "agency", "complaint_type", "agency_complaint_type", "created_day", "age_bucket"),

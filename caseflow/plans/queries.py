@@ -17,6 +17,7 @@ from caseflow import fixed_values as fixed
 from caseflow.functions import report_json
 from caseflow.operators import (
     actions,
+    cells,
     clean,
     features,
     frames,
@@ -355,11 +356,17 @@ def kpi_pack(spark, sf_dir):
 
 
 def _kept(spark, rows: DataFrame, slices: int, sketch_keys: tuple[str, ...] = ()) -> KeptReports:
-    """The rows kept in so many batches, by a hash of their day; one of them is added twice."""
-    kept = KeptReports(spark, snapshots.snapshot_path(snapshots.shared_folder(spark), "kept"))
+    """The rows kept in so many batches, by a hash of their day; one of them is added twice.
+
+    The rows are computed once and written by slice, so that a batch reads its own rows only.
+    """
+    folder = snapshots.shared_folder(spark)
+    kept = KeptReports(spark, snapshots.snapshot_path(folder, "kept"))
+    own = F.pmod(F.xxhash64("created_day"), F.lit(slices)).cast("int").alias("slice")
+    needed = rows.select(*[c for c in cells.READ if c in rows.columns], own)
+    held = snapshots.write_rows(needed, snapshots.snapshot_path(folder, "sliced"), "slice")
     for i in [*range(slices), 0]:
-        own = F.pmod(F.xxhash64("created_day"), F.lit(slices)) == i
-        kept.add(f"slice {i}", rows.filter(own), sketch_keys)
+        kept.add(f"slice {i}", held.filter(F.col("slice") == i), sketch_keys)
     return kept
 
 

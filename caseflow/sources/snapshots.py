@@ -166,7 +166,7 @@ def write_rows(df: DataFrame, path: str, day_column: str | None = None) -> DataF
     """A run's own intermediate: Parquet, read again; by ``day_column`` in folders if given."""
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(day_column) if day_column else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # stated, as no rows may mean no files
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

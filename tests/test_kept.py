@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.operators import cells, clean, features, kpis
+from caseflow.plans import queries
 from caseflow.plans.kept import KeptReports
 from caseflow.sources import snapshots
 from tests.records import SCHEMA_STATUS, may
@@ -101,3 +102,23 @@ def test_merged_sketches_keep_their_rank(spark):
                 assert got is None
             else:
                 assert sum(x < got for x in own) / len(own) - 1e-3 <= share <= sum(x <= got for x in own) / len(own) + 1e-3
+
+
+def test_rows_of_slices_are_computed_once(spark):
+    """However many batches and sketches are made of them."""
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        computed.add(1)
+        return row
+
+    made = spark.createDataFrame(records(count=300), SCHEMA_STATUS)
+    watched = spark.createDataFrame(made.rdd.map(seen), made.schema)
+    rows = kpis.measures(features.add_features(watched), AS_OF)
+    kept = queries._kept(spark, rows, 4, ("agency",))
+    assert len(kept.batches()) == 4 and computed.value == 300
+    plain = kpis.measures(features.add_features(made), AS_OF)
+    assert kept.pack(AS_OF).collect() == kpis.kpi_pack(kpis.kpi_cube(plain)).collect()
+    counts = {r["agency"]: r["total_requests"] for r in kept.quantiles(("agency",)).collect()}
+    assert counts == {r["agency"]: r["count"] for r in plain.groupBy("agency").count().collect()}
+    assert len(queries._kept(spark, rows.limit(0), 2).batches()) == 2
